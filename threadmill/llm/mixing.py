@@ -23,7 +23,7 @@ from threadmill.llm.common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 
 
 @dataclass
