@@ -90,9 +90,12 @@ def legacy(tmp_path):
     return path
 
 
-def test_sqlite_filters_reach_the_file(spark, legacy):
-    t = sqlite_table(spark, legacy, "session", 2)
-    assert [r.id for r in t.filter(F.col("time_updated") > 5000).collect()] == ["s1"] and layout(legacy) == "legacy" and t.count() == 2
+def test_sqlite_conditions_reach_the_file(spark, legacy):
+    t = sqlite_table(spark, legacy, "session", [("time_updated", ">", 5000)], 2)
+    assert [r.id for r in t.collect()] == ["s1"] and t.filter("id = 's2'").count() == 0 and layout(legacy) == "legacy"
+    assert sqlite_table(spark, legacy, "session").filter(F.col("time_updated") < 5000).count() == 1
+    with pytest.raises(Exception, match="unknown operator"):
+        sqlite_table(spark, legacy, "session", [("id", "; drop", 1)]).collect()
 
 
 def test_opencode_legacy(spark, legacy):

@@ -62,9 +62,8 @@ def opencode_sessions(spark: SparkSession, path: str, cutoff_ms: int = 0, direct
     """The 200 most recent sessions of a window (0: unbounded) with counts, bytes and children.  The window is cut first;
     only its sessions' rows are aggregated."""
     v2 = layout(path) == "v2"
-    s = sqlite_table(spark, path, "session_v2" if v2 else "session")
-    s = s.filter(F.col("time_updated") >= cutoff_ms) if cutoff_ms else s
-    s = s.filter(F.col("directory").ilike(f"%{directory}%")) if directory is not None else s
+    where = ([("time_updated", ">=", cutoff_ms)] if cutoff_ms else []) + ([("directory", "like", f"%{directory}%")] if directory is not None else [])
+    s = sqlite_table(spark, path, "session_v2" if v2 else "session", where)
     window, _ = window_sessions(s.withColumn("session_id", F.col("id")), "time_updated")
     ids = F.broadcast(window.select("session_id"))
     if v2:

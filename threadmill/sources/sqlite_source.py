@@ -1,17 +1,21 @@
-"""A read-only Spark data source for SQLite tables: filters become WHERE clauses, row ranges become partitions."""
+"""A read-only Spark data source for SQLite tables: conditions become WHERE clauses, row ranges become partitions.
+
+Conditions are an option of the table and not left to filter pushdown: Spark 4.1 keeps the filters pushed into a Python
+source with the table, and a second query over the same DataFrame would still see the first one's."""
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+_OPS = ("=", ">", ">=", "<", "<=", "like")
 _TYPES = {"INT": "long", "INTEGER": "long", "BIGINT": "long", "REAL": "double", "DOUBLE": "double"}
 
 
@@ -27,17 +31,13 @@ class Range(InputPartition):
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, schema: StructType, path: str, name: str, partitions: int):
-        self.schema, self.path, self.name, self.parts, self.where = schema, path, name, partitions, []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if type(f) in _OPS and len(f.attribute) == 1:
-                self.where.append((f'"{f.attribute[0]}" {_OPS[type(f)]} ?', [f.value]))
-            elif isinstance(f, In) and len(f.attribute) == 1:
-                self.where.append((f'"{f.attribute[0]}" IN ({",".join("?" * len(f.value))})', list(f.value)))
-            else:
-                yield f
+    def __init__(self, schema: StructType, path: str, name: str, partitions: int, where: list[list]):
+        self.schema, self.path, self.name, self.parts = schema, path, name, partitions
+        if bad := [op for _, op, _ in where if op not in _OPS]:
+            raise ValueError(f"unknown operator {bad[0]!r}")
+        if bad := [c for c, _, _ in where if c not in schema.names]:
+            raise ValueError(f"no column {bad[0]!r}")
+        self.where = [(f'"{c}" {op} ?', v) for c, op, v in where]
 
     def partitions(self):
         with connect(self.path) as c:
@@ -50,7 +50,7 @@ class SqliteReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in self.schema.fields]
         cond = " AND ".join(["rowid >= ?", "rowid < ?", *(w for w, _ in self.where)])
-        args = [partition.low, partition.high, *(x for _, v in self.where for x in v)]
+        args = [partition.low, partition.high, *(v for _, v in self.where)]
         kinds = {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}
         with connect(self.path) as c:
             rows = c.execute(f'SELECT {", ".join(f"{chr(34)}{n}{chr(34)}" for n in names)} FROM "{self.name}" WHERE {cond}', args)
@@ -60,7 +60,7 @@ class SqliteReader(DataSourceReader):
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, partitions (4)."""
+    """Options: path, table, partitions (4), where (JSON list of [column, operator, value], all of which must hold)."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,13 +74,12 @@ class SqliteSource(DataSource):
         return ", ".join(f"{n} {_TYPES.get(t.upper(), 'string')}" for _, n, t, *_ in cols)
 
     def reader(self, schema: StructType) -> SqliteReader:
-        return SqliteReader(schema, self.options["path"], self.options["table"], int(self.options.get("partitions", 4)))
+        return SqliteReader(schema, self.options["path"], self.options["table"], int(self.options.get("partitions", 4)), json.loads(self.options.get("where", "[]")))
 
 
-def sqlite_table(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def sqlite_table(spark: SparkSession, path: str, table: str, where: list[tuple[str, str, object]] = (), partitions: int = 4) -> DataFrame:
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_ro").option("path", path).option("table", table).option("partitions", partitions).load()
+    return spark.read.format("sqlite_ro").option("path", path).option("table", table).option("partitions", partitions).option("where", json.dumps(list(where))).load()
 
 
 def layout(path: str) -> str:
