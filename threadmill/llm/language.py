@@ -11,7 +11,7 @@ any labelled row all predictions are `und`; repeated rows are predicted alike; a
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ DOCS, WORDS, HIDDEN = 120, 200, 12
 #: Bytes of a word that one sequence holds; a longer word is read in pieces of this many.
 PIECE = 24
 MEMORY = 400_000
+#: Words that are labelled at a time.
+LOT = 300_000
 
 
 @dataclass
@@ -158,17 +160,35 @@ class Reader:
         self.seen |= {w: self.n + i for i, w in enumerate(words)}
         self.n += len(words)
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
-            if new := sorted(set(part) - self.seen.keys()):
-                if self.n + len(new) > MEMORY:
-                    self.seen, self.n = {}, 0
-                    new = sorted(set(part))
-                self.learn(new)
-            got = np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))
-            total = self.rows[got].sum(0, dtype=np.float64) + (total if i else 0)
-        return total
+    def pooled(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row of summed log-probabilities per text (a list of words)."""
+        new = sorted(set().union(*texts) - self.seen.keys())
+        if self.n + len(new) > MEMORY:
+            self.seen, self.n = {}, 0
+            new = sorted(set().union(*texts))
+        for i in range(0, len(new), 65_536):
+            self.learn(new[i : i + 65_536])
+        out = np.zeros((len(texts), len(self.net.langs)))
+        for i, words in enumerate(texts):
+            at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+            out[i] = self.rows[at].sum(0, dtype=np.float64)
+        return out
+
+
+def parts(texts: list[tuple[int, bytes]], most: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The words of the texts in lots of about `most`; a very long text is spread over several lots."""
+    lot: list[tuple[int, list[bytes]]] = []
+    held = 0
+    for i, text in texts:
+        words = text.split()
+        for j in range(0, len(words), most):
+            lot.append((i, words[j : j + most]))
+            held += len(lot[-1][1])
+            if held >= most:
+                yield lot
+                lot, held = [], 0
+    if lot:
+        yield lot
 
 
 def identify(docs: DataFrame, teach: DataFrame | None = None, per_lang: int = DOCS) -> DataFrame:
@@ -177,18 +197,17 @@ def identify(docs: DataFrame, teach: DataFrame | None = None, per_lang: int = DO
     net = docs.sparkSession.sparkContext.broadcast(train(rows) if rows else None)
 
     def predict(batch):
-        langs, scores = [], []
+        n, flags = batch.num_rows, batch.column("letters").to_pylist()
+        langs, scores = ["und"] * n, [0.0] * n
         if net.value is not None:
             reader = _READERS.get(id(net.value)) or _READERS.setdefault(id(net.value), Reader(net.value))
-        for text, letters in zip(utf8(batch), batch.column("letters").to_pylist(), strict=True):
-            if not letters or net.value is None:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            y = reader.pooled(text.split())
-            y = np.exp((y - y.max()) / max(1, len(text)) ** 0.5)
-            langs.append(net.value.langs[int(y.argmax())])
-            scores.append(float(y.max() / y.sum()))
+            texts = [(i, t) for i, t in enumerate(utf8(batch)) if flags[i]]
+            total = np.zeros((n, len(net.value.langs)))
+            for lot in parts(texts, LOT):
+                np.add.at(total, [i for i, _ in lot], reader.pooled([w for _, w in lot]))
+            for i, t in texts:
+                y = np.exp((total[i] - total[i].max()) / len(t) ** 0.5)
+                langs[i], scores[i] = net.value.langs[int(y.argmax())], float(y.max() / y.sum())
         return {"doc_id": batch.column("doc_id"), "lang_pred": langs, "score": scores}
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
