@@ -3,10 +3,11 @@
 1. Documents with the same shingle set form a class; its smallest doc_id stands for it.
 2. A class's sketch is the k smallest hashes of its shingles.  The inverted list of a retained value holds the classes
    whose sketch has it.  Two classes at the threshold share at least `need` retained values (exactly so for sets that fit
-   in the sketch, else but for a chance of about 1e-9), so it is enough to list a class under the rarest
+   in the sketch, else but for a chance of about 3e-6), so it is enough to list a class under the rarest
    k - need + 1 of its values: very common shingles then need no list.
 3. Lists are worked off in rounds.  In a round each list compares its hubs, the members whose values are most shared,
-   with the members that are not yet known to be connected to them.  Pairs pass the union-sketch estimate and are then
+   with the members that are not yet known to be connected to them; the number of hubs grows eightfold per round.
+   Pairs whose sizes, or whose places of the shared value in their orders, rule out the threshold are left out; others pass the union-sketch estimate and are then
    verified by exact Jaccard on whole texts; verified links are merged into components.  A list is done when all its
    members are connected or every member has been a hub, so no link between components is lost and no list is expanded
    into all its pairs while its members are connected.
@@ -19,16 +20,16 @@ than a shingle are one shingle of all their words; an empty table gives an empty
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import MIX, cut, hashes, per_batch, scramble, utf8, windows
 from threadmill.llm.graph import components
 
-SKETCH, SLACK_SD = 64, 6.0
-#: Hubs that a list compares per round.
-HUBS = 2
+SKETCH, SLACK_SD = 128, 4.5
+#: Hubs that a list compares in the first round, and their growth per round.
+HUBS, GROWTH = 2, 8
 _SIGN = np.uint64(1 << 63)
 
 
@@ -41,17 +42,6 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     return np.unique(windows(h, k) if len(h) >= k else windows(scramble(h ^ MIX), len(h)))
 
 
-def need(n: int, sketch: int, percent: int) -> int:
-    """Values that the sketch of a set of n shares at least with that of any set at the threshold."""
-    if n <= sketch:
-        exact = -(-percent * n // 100)
-        if n * 100 <= sketch * percent:  # the partner fits in its sketch as well
-            return exact
-        n = sketch
-    p = percent / 100
-    return max(1, int(p * min(n, sketch) - SLACK_SD * (min(n, sketch) * p * (1 - p)) ** 0.5))
-
-
 def sketches(docs: DataFrame, k: int, sketch: int) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, a digest of the whole set, and its sketch as signed longs, ascending."""
 
@@ -125,32 +115,39 @@ def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: in
     shared = shared.withColumns({"place": F.row_number().over(by_rarity), "all": F.count("*").over(W.partitionBy("rep")), "weight": F.sum("f").over(W.partitionBy("rep"))})
     # place among all m values: the m - all unshared ones come first
     prefix = shared.filter(F.col("place") + m - F.col("all") <= m - least + 1)
-    lists = cut(prefix.select("v", "rep", "n_shingles", "weight"))
+    rest = m - (F.col("place") + m - F.col("all"))  # values behind this one
+    lists = cut(prefix.select("v", "rep", "n_shingles", "weight", rest.alias("rest")))
     sets = classes.select("rep", "n_shingles", "sketch")
     ids = lists.join(lists.groupBy("v").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1"), "v", "left_semi").select("rep").distinct()
     texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
-    state, links, turn = lists.withColumn("comp", F.col("rep")), None, 0
+    order = W.partitionBy("v").orderBy(F.desc("weight"), "rep")
+    state, links, low, high = lists.withColumns({"comp": F.col("rep"), "nth": F.row_number().over(order)}), None, 1, hubs
     while True:
-        order = W.partitionBy("v").orderBy(F.desc("weight"), "rep")
-        ranked = state.withColumn("nth", F.row_number().over(order)) if turn == 0 else state
-        live = ranked.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("nth").alias("size")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > turn * hubs + 1)).select("v")
-        ranked = cut(ranked.join(live, "v", "left_semi"))
+        live = state.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("nth").alias("size")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > low)).select("v")
+        ranked = cut(state.join(live, "v", "left_semi"))
         if ranked.isEmpty():
             return links
-        low, high = turn * hubs + 1, (turn + 1) * hubs
-        hub = ranked.filter(F.col("nth").between(low, high)).select("v", F.col("rep").alias("hub"), F.col("nth").alias("hub_nth"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("hub_n"))
+        hub = ranked.filter(F.col("nth").between(low, high)).select("v", F.col("rep").alias("hub"), F.col("nth").alias("hub_nth"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("hub_n"), F.col("rest").alias("hub_rest"))
         pair = ranked.join(hub, "v").filter((F.col("comp") != F.col("hub_comp")) & (F.col("nth") > F.col("hub_nth")))
         pair = pair.filter((F.col("n_shingles") * 100 >= percent * F.col("hub_n")) & (F.col("hub_n") * 100 >= percent * F.col("n_shingles")))
+        pair = pair.filter(1 + F.least("rest", "hub_rest") >= _shared(F.col("n_shingles"), F.col("hub_n"), percent, sketch))
         pair = pair.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         close = cut(_verify(_estimated(pair, sets, sketch, percent), texts, k, percent))
         links = close if links is None else cut(links.union(close))
-        turn += 1
+        low, high = high + 1, high * GROWTH
         if not close.isEmpty():
             comp = components(links)
             ranked = ranked.drop("comp").join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
         state = ranked
 
 
+def _shared(a: Column, b: Column, percent: int, sketch: int) -> Column:
+    """Values that the sketches of sets of sizes a and b share at least if they reach the threshold."""
+    larger, both = F.greatest(a, b), F.lit(percent) * (a + b) / (100 + percent)
+    part = F.least(both / larger, F.lit(1.0))
+    return F.when(larger <= sketch, F.ceil(both - 1e-9)).otherwise(sketch * part - SLACK_SD * F.sqrt(sketch * part * (1 - part)))
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, sketch: int, percent: int) -> DataFrame:
     """Pairs whose estimate from the union's sketch can belong to a pair at the threshold."""
     a, b = sets.toDF("a", "n_a", "s_a"), sets.toDF("b", "n_b", "s_b")
