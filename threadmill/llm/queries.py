@@ -83,9 +83,9 @@ WITH RECURSIVE words AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
 ), reach AS (
-  SELECT a AS node, a AS at FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.at = l.a
+  SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
 ), comp AS (
-  SELECT node, min(at) AS root FROM reach GROUP BY node
+  SELECT node, min(seen) AS root FROM reach GROUP BY node
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, s.doc_id = coalesce(c.root, s.doc_id) AS kept
 FROM sets s LEFT JOIN comp c ON c.node = s.doc_id
