@@ -98,3 +98,13 @@ def top_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
     """At most `n` rows in the order of a hash of `key`: the same rows on every run and however the table is split."""
     order = F.xxhash64(*key)
     return df.orderBy(order, *key).limit(n)
+
+
+def near_ids(ids: DataFrame, bits: int = 20) -> DataFrame:
+    """(bit) of the ids of `ids` (doc_id): a hash into 2**bits values, so it can be broadcast however many ids there are.
+    A row whose bit is missing has none of the ids; one whose bit is there may have."""
+    return F.broadcast(ids.select(id_bit(F.col("doc_id"), bits).alias("bit")).distinct())
+
+
+def id_bit(doc_id: Column, bits: int = 20) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)).cast("int")

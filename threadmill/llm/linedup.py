@@ -7,9 +7,11 @@ in the order of (doc_id, line number), has the same set or a Jaccard similarity
    rarer and stand in the order of their hashes.  Any fixed order gives exact results, this one makes lists short.
 2. Each line's words are put in that order.  Lines with one set form a class, of which the first line stands for all.
    A class of m words is listed under its first m - ceil(t m) + 1 words (prefix filter).
-3. Lists are worked off in rounds: in each, `hubs` of a list's earliest classes meet the later classes that have not
-   matched yet.  Length and positional filters drop pairs; the rest are verified on whole lines.  A class leaves all
-   its lists once it has matched, and rounds go on until every list's unmatched classes have met all earlier ones.
+3. Lists are worked off in rounds: in each, some of a list's earliest classes (its hubs) meet the later classes that have
+   not matched yet.  The length filter, the positional filter and a parity bitmap (a bound of the symmetric difference)
+   drop pairs; the rest are verified on whole lines.  The first round needs no join: a window over each list hands its
+   first `hubs` classes to the later ones.  A class leaves all its lists once it has matched, and rounds, with eight
+   times as many hubs each, go on until every list's unmatched classes have met all earlier ones.
 
 Defined results: null text has no lines and stays null; empty text stays empty; repeated rows of a doc_id are one
 document and get the same result; a null doc_id neither removes nor loses lines; a document that loses all its lines
@@ -22,14 +24,15 @@ import heapq
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, per_batch, per_task, scramble, utf8, xxh
+from threadmill.llm.common import MIX, cut, hashes, id_bit, near_ids, per_batch, per_task, scramble, utf8, xxh
 
-PERCENT, HEAD, HUBS = 80, 1 << 16, 8
-_TAIL = (1 << 62) - 1
+PERCENT, HEAD, HUBS, GROWTH = 80, 1 << 16, 8, 8
+#: Rare words are told apart by this many bits of their hash; two that fall together only make a list longer.
+_TAIL = (1 << 44) - 1
 
 
 def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
@@ -66,27 +69,29 @@ class Order(dict):
 
 
 def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT) -> DataFrame:
-    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, its prefix in order."""
+    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it, and its
+    prefix in order."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def split(batches):
         rank = Order(shared.value)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "line", "m", "lo", "hi", "prefix")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "line", "m", "lo", "hi", "bits", "prefix")}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
                 lines = [x.split() for x in text.lower().split(b"\n")]
                 sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-                words = rank.of([w for x in lines for w in x])
-                if not len(words):
+                flat = [w for x in lines for w in x]
+                if not flat:
                     continue
+                words, u = rank.of(flat), hashes(flat)
                 of = np.repeat(np.arange(len(lines)), sizes)
-                by = np.lexsort((words, of))
-                words, of = words[by], of[by]
-                new = np.concatenate([[True], (words[1:] != words[:-1]) | (of[1:] != of[:-1])])
-                words, of = words[new], of[new]
+                by = np.lexsort((u, words, of))
+                words, of, u = words[by], of[by], u[by]
+                new = np.concatenate([[True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])])
+                words, of, u = words[new], of[new], u[new]
                 starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 m = np.diff(np.concatenate([starts, [len(words)]]))
-                u = words.view(np.uint64)
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (scramble(u) >> np.uint64(58)), starts).view(np.int64)
                 lo, hi = np.add.reduceat(scramble(u), starts).view(np.int64), np.add.reduceat(scramble(u ^ MIX), starts).view(np.int64)
                 long = np.where(m * percent <= (m - 1) * 100, m - (m * percent + 99) // 100 + 1, 0)
                 if percent < 100:  # a line with one word more can match as well
@@ -96,6 +101,7 @@ def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT
                 out["m"] += m.tolist()
                 out["lo"] += lo.tolist()
                 out["hi"] += hi.tolist()
+                out["bits"] += parity.tolist()
                 out["prefix"] += [words[s : s + k] for s, k in zip(starts.tolist(), long.tolist(), strict=True)]
                 if len(out["m"]) > 50_000:
                     yield out
@@ -104,7 +110,7 @@ def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT
                 yield out
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, prefix array<long>", split)
+    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits long, prefix array<long>", split)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +128,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     out["text"].append(split[i])
         return out
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id")
+    need = cut(need)
+    some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(need), "bit", "left_semi")
+    texts = some.join(need, "doc_id")
     picked = per_batch(texts, "doc_id long, line int, text binary", pick).dropDuplicates(["doc_id", "line"])
     lines = cut(picked.select(F.struct("doc_id", "line").alias("x"), "text"))
     joined = pairs.join(lines.toDF("at", "text"), "at").join(lines.toDF("earlier", "other"), "earlier").select("at.doc_id", "at.line", "text", "other")
@@ -142,30 +150,39 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def matched_lines(docs: DataFrame, percent: int = PERCENT, head: int = HEAD, hubs: int = HUBS) -> DataFrame:
     """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one matches."""
     lines = cut(class_lines(docs, head_words(docs, head), percent))
-    made = lines.groupBy("m", "lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
-    firsts = made.select("m", "at")
-    copies = _later_copies(lines, made)
-    value = lines.filter(F.size("prefix") > 0).withColumn("at", F.struct("doc_id", "line")).join(firsts.select("at"), "at", "left_semi").select("at", "m", F.posexplode("prefix").alias("pos", "word"))
-    often = value.groupBy("word").agg(F.count("*").alias("f")).filter("f > 1").select("word")
-    state = cut(value.join(often, "word", "left_semi").withColumn("nth", F.row_number().over(W.partitionBy("word").orderBy("at"))))
-    matched, turn = None, 0
+    made = lines.groupBy("m", "lo", "hi").agg(F.min(F.struct("doc_id", "line", "bits", "prefix")).alias("at"), F.count("*").alias("n"))
+    copies = _later_copies(lines, lines.groupBy("m", "lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
+    value = made.filter(F.size("at.prefix") > 0).select("m", "at.doc_id", "at.line", "at.bits", F.posexplode_outer("at.prefix").alias("pos", "word"))
+    by_age = W.partitionBy("word").orderBy("doc_id", "line")
+    so_far = by_age.rowsBetween(W.unboundedPreceding, W.currentRow)
+    hub = F.struct("doc_id", "line", "m", "pos", "bits")
+    first = value.withColumns({"nth": F.row_number().over(by_age), "size": F.count("*").over(W.partitionBy("word")), **{f"h{i}": F.nth_value(hub, i + 1).over(so_far) for i in range(hubs)}}).filter("size > 1")
+    near = F.array_compact(F.array(*(F.when((F.col("nth") > i + 1) & _possible(*(F.col(c) for c in ("m", "pos", "bits")), *(F.col(f"h{i}")[c] for c in ("m", "pos", "bits")), percent), F.struct(F.col(f"h{i}.doc_id"), F.col(f"h{i}.line"))) for i in range(hubs))))
+    kept = first.select("word", F.struct("doc_id", "line").alias("at"), "m", "pos", "bits", "nth", "size", near.alias("near"))
+    state = cut(kept.filter((F.size("near") > 0) | (F.col("size") > hubs + 1)))
+    pairs, matched, low, high = state.select("at", F.explode("near").alias("earlier")).distinct(), None, hubs + 1, hubs * GROWTH
+    rest = state.filter(F.col("size") > hubs + 1).drop("near")
     while True:
-        low = turn * hubs
-        hub = state.filter(F.col("nth").between(low + 1, low + hubs)).select("word", F.col("at").alias("earlier"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("nth").alias("nth2"))
-        rest = state.filter(F.col("nth") > low + 1)
-        if matched is not None:
-            rest = cut(rest.join(matched, "at", "left_anti"))
-        if rest.isEmpty():
-            break
-        least = F.ceil(F.lit(percent) * (F.col("m") + F.col("m2")) / (100 + percent))
-        most = 1 + F.least(F.col("m") - F.col("pos"), F.col("m2") - F.col("pos2")) - 1
-        pairs = rest.join(hub, "word").filter((F.col("nth") > F.col("nth2")) & (F.col("m") * 100 >= percent * F.col("m2")) & (F.col("m2") * 100 >= percent * F.col("m")) & (most >= least))
-        pairs = cut(pairs.select("at", "earlier").distinct())
+        pairs = cut(pairs)
         if not pairs.isEmpty():
             hit = _verify(pairs, docs, percent)
             matched = cut(hit if matched is None else matched.union(hit).distinct())
-        turn += 1
-    return copies if matched is None else copies.union(matched.select("at.doc_id", "at.line"))
+        rest = rest.filter(F.col("size") > low)
+        open_ = rest.filter(F.col("nth") > low)
+        open_ = cut(open_ if matched is None else open_.join(matched, "at", "left_anti"))
+        if open_.isEmpty():
+            return copies if matched is None else copies.union(matched.select("at.doc_id", "at.line"))
+        hub = rest.filter(F.col("nth").between(low, high)).select("word", F.col("at").alias("earlier"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("nth").alias("nth2"))
+        met = open_.join(hub, "word").filter((F.col("nth") > F.col("nth2")) & _possible(*map(F.col, ("m", "pos", "bits", "m2", "pos2", "bits2")), percent))
+        pairs, low, high = met.select("at", "earlier").distinct(), high + 1, high * GROWTH
+
+
+def _possible(m: Column, pos: Column, bits: Column, m2: Column, pos2: Column, bits2: Column, percent: int) -> Column:
+    """Whether lines of m and m2 words that share the words at pos and pos2 of their orders can reach the threshold: by
+    their lengths, by what is left behind those places, and by the difference that their bitmaps prove."""
+    lengths = (m * 100 >= percent * m2) & (m2 * 100 >= percent * m)
+    places = F.least(m - pos, m2 - pos2) * (100 + percent) >= percent * (m + m2)
+    return lengths & places & (F.bit_count(bits.bitwiseXOR(bits2)) * (100 + percent) <= (100 - percent) * (m + m2))
 
 
 def _later_copies(lines: DataFrame, made: DataFrame) -> DataFrame:
@@ -184,7 +201,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """`docs`, all columns, with the lines of `removed` taken out of text."""
-    gone = removed.select(F.col("doc_id").alias("__gone_id"), F.col("removed").alias("__gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left").withColumn("text", text).select(docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("bit", id_bit(F.col("doc.doc_id").cast("long")))
+    gone = cut(removed.select("doc_id", "removed"))
+    kept = F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
+    bits = near_ids(gone)
+    # documents that surely lose nothing are not shuffled
+    some = whole.join(bits, "bit", "left_semi").join(gone, F.col("doc.doc_id") == F.col("doc_id"), "left")
+    changed = some.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
+    return whole.join(bits, "bit", "left_anti").select("doc.*").union(changed)
