@@ -95,9 +95,29 @@ def crc_mod(doc_id: Column, m: int) -> Column:
 
 
 def top_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
-    """At most `n` rows in the order of a hash of `key`: the same rows on every run and however the table is split."""
-    order = F.xxhash64(*key)
-    return df.orderBy(order, *key).limit(n)
+    """At most `n` rows, the first in the order of a hash of `key`: the same rows on every run and however the table is
+    split.  Of a large table only the rows whose hash is low enough for twice `n` are sorted."""
+    low = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+    total = df.count()
+    some = df.filter(low < -(-2 * n * (1 << 30) // total)) if total > 2 * n else df
+    return some.orderBy(low, *key).limit(n)
+
+
+def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The words of `counts` (word, c) with the highest counts, `most` at most: all that reach the lowest count class (a
+    twelfth of a doubling) with which they still fit.  The driver holds a row per class, then those words."""
+    kind = F.floor(F.log2("c") * 12)
+    classes = sorted(((r["k"], r["n"]) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for k, n in classes:
+        held += n
+        if held > most:
+            break
+        least = k
+    if least is None:
+        return {}
+    rows = counts.filter(kind >= least).collect()
+    return {r["word"].encode(): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], r["word"]))}
 
 
 def near_ids(ids: DataFrame, bits: int = 20) -> DataFrame:

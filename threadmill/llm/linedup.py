@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, hashes, id_bit, near_ids, per_batch, per_task, scramble, utf8, xxh
+from threadmill.llm.common import MIX, cut, hashes, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
 
 PERCENT, HEAD, HUBS, GROWTH = 80, 1 << 16, 8, 8
 #: Rare words are told apart by this many bits of their hash; two that fall together only make a list longer.
@@ -50,8 +50,7 @@ def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
             yield {"word": [w for w, _ in top], "c": np.array([c for _, c in top], np.int64)}
 
     counts = per_task(docs.select("text"), "word string, c long", count).groupBy("word").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
-    return {r["word"].encode(): i for i, r in enumerate(reversed(top))}
+    return {w: i for i, w in enumerate(reversed(most_frequent(cut(counts), head)))}
 
 
 class Order(dict):
