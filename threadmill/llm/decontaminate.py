@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.llm.common import cut, id_bit, near_ids
 from threadmill.llm.licenses import SEPARATOR
 
 #: Places of the window that a seed looks at.
@@ -57,7 +58,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...]
     length = items.select("item_id", F.size("w").alias("long"))
     sized = hits.join(F.broadcast(length) if few else length, "item_id")
     per_doc = sized.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "start", "long")).alias("hits"))
-    texts = rows.join(per_doc, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "hits")
+    found = cut(per_doc)
+    some = rows.withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(found), "bit", "left_semi")
+    texts = some.join(found, "doc_id").select("doc_id", words_of(F.col("text")).alias("w"), "hits")
     part = lambda x: F.struct(x["item_id"].alias("item_id"), x["start"].alias("start"), F.slice("w", F.greatest(x["start"], F.lit(0)) + 1, x["long"]).alias("part"))
     near = texts.select("doc_id", F.explode_outer(F.transform("hits", part)).alias("hit")).select("doc_id", "hit.*")
     known = items.withColumnRenamed("w", "item")
