@@ -27,10 +27,12 @@ PASSES = [
         "$1$2$3[REDACTED:secret]",
     ),
 ]
+#: No text without one of these holds a secret: most texts need one cheap scan instead of six.
+HINT = rf"-----BEGIN |(?i:bearer)|{'|'.join(VENDOR + VENDOR_UPPER + GITHUB)}|eyJ|(?i:{_NAME})[\"']?\s*+[=:]"
 
 
 def redact_secrets(text: Column | str) -> Column:
-    out = F.col(text) if isinstance(text, str) else text
+    text = out = F.col(text) if isinstance(text, str) else text
     for _, pattern, marker in PASSES:
         out = F.regexp_replace(out, pattern, marker)
-    return out
+    return F.when(text.rlike(HINT), out).otherwise(text)
