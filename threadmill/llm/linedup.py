@@ -24,15 +24,17 @@ import heapq
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, hashes, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
+from threadmill.llm.common import MIX, cut, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
 
 PERCENT, HEAD, HUBS, GROWTH = 80, 1 << 16, 8, 8
-#: Rare words are told apart by this many bits of their hash; two that fall together only make a list longer.
-_TAIL = (1 << 44) - 1
+#: Places of rare words are below this.  In lists they are told apart by the lower bits of their hash alone; two that fall
+#: together only make a list longer.
+_RARE, _LISTED = 1 << 62, 1 << 44
 
 
 def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
@@ -53,18 +55,50 @@ def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(reversed(most_frequent(cut(counts), head)))}
 
 
-class Order(dict):
-    """A word's place in the order of rarity: hashes of rare words, then the head's numbers."""
+class Order:
+    """Hashes of words, and their places in the order of rarity: rare words by hash, then the head by its numbers."""
 
     def __init__(self, head: dict[bytes, int]):
-        super().__init__({w: _TAIL + 1 + i for w, i in head.items()})
-        self.fixed = len(self)
-
-    def __missing__(self, word: bytes) -> int:
-        return xxh(word) & _TAIL
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.number = {w: i + 1 for w, i in head.items()}
+        self.hash = np.array([0, *(xxh(w) for w in sorted(head, key=head.__getitem__))], np.uint64)
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of each word; one look into the head, and a hash only for what is not in it."""
+        number = self.number.get
+        got = np.fromiter((number(w) or xxh(w) for w in words), np.uint64, len(words))
+        is_head = got < len(self.hash)
+        hashed = np.where(is_head, self.hash[np.where(is_head, got, 0)], got)
+        return hashed, np.where(is_head, got + np.uint64(_RARE), hashed & np.uint64(_RARE - 1)).astype(np.int64)
+
+
+def prefixes(texts: list[tuple[int, bytes]], order: Order, percent: int) -> dict[str, object]:
+    """The rows of class_lines for some documents (doc_id, text)."""
+    flat: list[bytes] = []
+    ids, numbers, sizes = [], [], []
+    for doc_id, text in texts:
+        for i, line in enumerate(text.lower().split(b"\n")):
+            if words := line.split():
+                flat += words
+                ids.append(doc_id)
+                numbers.append(i)
+                sizes.append(len(words))
+    hashed, place = order.of(flat)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((place, of))
+    hashed, place, of = hashed[by], place[by], of[by]
+    new = np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (of[1:] != of[:-1])])
+    hashed, place, of = hashed[new], place[new], of[new]
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    m = np.diff(np.concatenate([starts, [len(of)]]))
+    # a line is listed if one with a word more or less could match it
+    long = np.where((percent < 100) & (m * 100 >= percent * (m + 1)), m - (m * percent + 99) // 100 + 1, 0)
+    inside = np.arange(len(of)) - np.repeat(starts, m) < np.repeat(long, m)
+    offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
+    low = place & (_LISTED - 1) | np.where(place >= _RARE, _LISTED, 0)
+    return {
+        "doc_id": ids, "line": numbers, "m": m.astype(np.int32), "lo": np.add.reduceat(scramble(hashed), starts).view(np.int64), "hi": np.add.reduceat(scramble(hashed ^ MIX), starts).view(np.int64),
+        "bits": np.bitwise_xor.reduceat(np.uint64(1) << (scramble(hashed) >> np.uint64(58)), starts).view(np.int64), "prefix": pa.ListArray.from_arrays(offsets, low[inside]),
+    }
 
 
 def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT) -> DataFrame:
@@ -73,40 +107,17 @@ def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def split(batches):
-        rank = Order(shared.value)
+        rank, lot, held = Order(shared.value), [], 0
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "line", "m", "lo", "hi", "bits", "prefix")}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-                lines = [x.split() for x in text.lower().split(b"\n")]
-                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-                flat = [w for x in lines for w in x]
-                if not flat:
-                    continue
-                words, u = rank.of(flat), hashes(flat)
-                of = np.repeat(np.arange(len(lines)), sizes)
-                by = np.lexsort((u, words, of))
-                words, of, u = words[by], of[by], u[by]
-                new = np.concatenate([[True], (u[1:] != u[:-1]) | (of[1:] != of[:-1])])
-                words, of, u = words[new], of[new], u[new]
-                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                m = np.diff(np.concatenate([starts, [len(words)]]))
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (scramble(u) >> np.uint64(58)), starts).view(np.int64)
-                lo, hi = np.add.reduceat(scramble(u), starts).view(np.int64), np.add.reduceat(scramble(u ^ MIX), starts).view(np.int64)
-                long = np.where(m * percent <= (m - 1) * 100, m - (m * percent + 99) // 100 + 1, 0)
-                if percent < 100:  # a line with one word more can match as well
-                    long = np.maximum(long, np.where(m * 100 >= percent * (m + 1), m - (m * percent + 99) // 100 + 1, 0))
-                out["doc_id"] += [doc_id] * len(starts)
-                out["line"] += of[starts].tolist()
-                out["m"] += m.tolist()
-                out["lo"] += lo.tolist()
-                out["hi"] += hi.tolist()
-                out["bits"] += parity.tolist()
-                out["prefix"] += [words[s : s + k] for s, k in zip(starts.tolist(), long.tolist(), strict=True)]
-                if len(out["m"]) > 50_000:
-                    yield out
-                    out = {k: [] for k in out}
-            if out["m"]:
-                yield out
+                if text.strip():
+                    lot.append((doc_id, text))
+                    held += len(text)
+                if held > 1_000_000:
+                    yield prefixes(lot, rank, percent)
+                    lot, held = [], 0
+        if lot:
+            yield prefixes(lot, rank, percent)
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits long, prefix array<long>", split)
