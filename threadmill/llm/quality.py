@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, hashes, per_batch, scramble, top_by_hash, utf8, windows
+from threadmill.llm.common import MIX, hashes, per_batch, per_task, scramble, top_by_hash, utf8, windows
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.2
@@ -57,22 +57,23 @@ def repeated_words(h: np.ndarray, k: int = 5) -> int:
 
 
 def cell_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(cell, n) over the words and word pairs of all of `docs`: each batch sends a row per cell at most."""
+    """(cell, n) over the words and word pairs of all of `docs`: each task sends a row per cell at most."""
 
-    def count(batch):
+    def count(batches):
         n, waiting, held = np.zeros(buckets, np.int64), [np.empty(0, np.int64)], 0
-        for text in utf8(batch):
-            if words := text.split():
-                waiting.append(cells(words, buckets))
-                held += len(waiting[-1])
-            if held > 1_000_000:
-                n += np.bincount(np.concatenate(waiting), minlength=buckets)
-                waiting, held = [np.empty(0, np.int64)], 0
+        for batch in batches:
+            for text in utf8(batch):
+                if words := text.split():
+                    waiting.append(cells(words, buckets))
+                    held += len(waiting[-1])
+                if held > 1_000_000:
+                    n += np.bincount(np.concatenate(waiting), minlength=buckets)
+                    waiting, held = [np.empty(0, np.int64)], 0
         n += np.bincount(np.concatenate(waiting), minlength=buckets)
         at = np.flatnonzero(n)
-        return {"cell": at.astype(np.int32), "n": n[at]}
+        yield {"cell": at.astype(np.int32), "n": n[at]}
 
-    return per_batch(docs.select("text"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
+    return per_task(docs.select("text"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth: float = 1.0, sample: int = TRUSTED) -> np.ndarray:

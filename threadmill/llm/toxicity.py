@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import per_batch, top_by_hash, utf8, xxh
+from threadmill.llm.common import per_batch, small_batches, top_by_hash, utf8, xxh
 
 #: Labelled documents in the sample: toxic ones, others.
 TOXIC, OTHERS = 2500, 5000
@@ -56,7 +56,7 @@ class Chain:
         for w in words_of(text):
             got = self.seen.get(w)
             if got is None:
-                if len(self.seen) > 400_000:
+                if len(self.seen) > 200_000:
                     self.seen.clear()
                 got = self.seen[w] = tuple(self.cells[c] for c in features(w) if c in self.cells)
             if got:
@@ -147,6 +147,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str
         for batch in batches:
             yield batch if chain.value is None else batch.filter(pa.array([chain.value.predict(t)[-1] < threshold for t in utf8(batch)], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 
