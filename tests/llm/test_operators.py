@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,13 +125,26 @@ def test_line_dedup(docs, rows, empty):
     assert linedup.removed_lines(empty).count() == 0
 
 
+def test_bitmaps_never_drop_a_match():
+    base = [f"t{i}".encode() for i in range(60)]
+    texts = [b" ".join(base[: 60 - j] + [f"z{i}{j}".encode() for i in range(j)]) for j in range(7)]
+    rows = linedup.prefixes(list(enumerate(texts)), linedup.Order({}), 80)
+    x = {c: np.asarray(rows[c]) for c in ("m", "bits")} | {"pos": np.zeros(7, "int32")}
+    i, j = np.triu_indices(7, 1)
+    ok, apart = linedup.Lists(80, 8, 8).possible(x, i, j)
+    sets = [set(t.split()) for t in texts]
+    for a, b, keep, bits in zip(i, j, ok, apart, strict=True):
+        assert bits <= len(sets[a] ^ sets[b]) and (keep or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]))
+
+
 def test_line_dedup_of_a_group_of_similar_lines(spark):
     base = [f"w{i}" for i in range(20)]
     texts = [" ".join(base[:j] + [f"x{j}"] + base[j + 1 :]) for j in range(20)] + [" ".join(f"y{i}{j}" for i in range(20)) for j in range(10)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id for r in linedup.matched_lines(df, hubs=1, head=4).collect()}
     sets = [set(t.split()) for t in texts]
-    assert got == {i for i in range(30) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))} and got
+    for hubs, kept in ((4096, 16), (1, 1), (2, 3)):
+        got = {r.doc_id for r in linedup.matched_lines(df, hubs=hubs, kept=kept, head=4).collect()}
+        assert got == {i for i in range(30) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))} and got
 
 
 def test_license_scan(docs, rows, empty, spark):
@@ -268,8 +282,6 @@ def test_lm(spark, docs, rows, empty):
 
 def test_lm_is_normalised():
     """From each class, the chances of all words and of each class's unseen word add up to one."""
-    import numpy as np
-
     n = np.array([[0, 3, 1, 0], [2, 1, 4, 1], [2, 3, 0, 2], [0, 1, 2, 0]], float)
     of = perplexity.exchange(n, 3)
     assert of[0] == 0 and set(of[1:]) <= {1, 2}
@@ -311,8 +323,6 @@ def test_mixing(spark, docs, rows, empty):
 
 
 def test_permutation_and_shares():
-    import numpy as np
-
     for n in (1, 2, 3, 17, 1000):
         for key in (0, 5):
             assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))) == list(range(n))

@@ -7,11 +7,10 @@ in the order of (doc_id, line number), has the same set or a Jaccard similarity
    rarer and stand in the order of their hashes.  Any fixed order gives exact results, this one makes lists short.
 2. Each line's words are put in that order.  Lines with one set form a class, of which the first line stands for all.
    A class of m words is listed under its first m - ceil(t m) + 1 words (prefix filter).
-3. Lists are worked off in rounds: in each, some of a list's earliest classes (its hubs) meet the later classes that have
-   not matched yet.  The length filter, the positional filter and a parity bitmap (a bound of the symmetric difference)
-   drop pairs; the rest are verified on whole lines.  The first round needs no join: a window over each list hands its
-   first `hubs` classes to the later ones.  A class leaves all its lists once it has matched, and rounds, with eight
-   times as many hubs each, go on until every list's unmatched classes have met all earlier ones.
+3. Each list is read in the order of its lines, and every class is compared with the earlier ones.  The length filter, the
+   positional filter and a parity bitmap (a bound of the symmetric difference) leave candidate pairs, which are verified
+   on whole lines: first the nearest by bitmap, then the others of the classes that have not matched.  A class with more
+   candidates than are kept, or far down a very long list, is joined with all earlier members of its lists instead.
 
 Defined results: null text has no lines and stays null; empty text stays empty; repeated rows of a doc_id are one
 document and get the same result; a null doc_id neither removes nor loses lines; a document that loses all its lines
@@ -25,13 +24,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import MIX, cut, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
 
-PERCENT, HEAD, HUBS, GROWTH = 80, 1 << 16, 8, 8
+PERCENT, HEAD = 80, 1 << 16
+#: Earlier classes of a list that a class is compared with as the list is read, and candidates that are kept of them; what is
+#: beyond either is joined.  Lists up to SHORT are compared all at once.
+HUBS, KEPT, SHORT = 4096, 16, 16
+#: Sets that a task remembers to tell copies without a shuffle.
+REMEMBERED = 200_000
 #: Places of rare words are below this.  In lists they are told apart by the lower bits of their hash alone; two that fall
 #: together only make a list longer.
 _RARE, _LISTED = 1 << 62, 1 << 44
@@ -102,25 +106,124 @@ def prefixes(texts: list[tuple[int, bytes]], order: Order, percent: int) -> dict
 
 
 def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT) -> DataFrame:
-    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it, and its
-    prefix in order."""
+    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it, its
+    prefix in order, and whether the task has seen the set in an earlier line (then the prefix does not matter)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def split(batches):
-        rank, lot, held = Order(shared.value), [], 0
+        rank, lot, held, seen = Order(shared.value), [], 0, {}
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
                 if text.strip():
                     lot.append((doc_id, text))
                     held += len(text)
                 if held > 1_000_000:
-                    yield prefixes(lot, rank, percent)
+                    yield told(prefixes(lot, rank, percent), seen)
                     lot, held = [], 0
         if lot:
-            yield prefixes(lot, rank, percent)
+            yield told(prefixes(lot, rank, percent), seen)
+
+    def told(rows, seen):
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        copy = []
+        for at, *digest in zip(zip(rows["doc_id"], rows["line"], strict=True), rows["m"].tolist(), rows["lo"].tolist(), rows["hi"].tolist(), strict=True):
+            first = seen.setdefault(key := tuple(digest), at)
+            copy.append(first < at)
+            if at < first:
+                seen[key] = at
+        return rows | {"copy": copy}
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits long, prefix array<long>", split)
+    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits long, prefix array<long>, copy boolean", split)
+
+
+def listed(lines: DataFrame) -> DataFrame:
+    """(word, doc_id, line, m, pos, bits): the prefix of each class's first line, a row per word.  A task has left a set's
+    first line at most, so however often a line is repeated, few rows of a class meet here."""
+
+    def firsts(batches):
+        last = None
+        for batch in batches:
+            lo, hi, m = (batch.column(c).to_numpy() for c in ("lo", "hi", "m"))
+            new = np.concatenate([[(int(lo[0]), int(hi[0]), int(m[0])) != last], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (m[1:] != m[:-1])])
+            last = (int(lo[-1]), int(hi[-1]), int(m[-1]))
+            kept = batch.filter(pa.array(new))
+            prefix = kept.column("prefix")
+            size = np.diff(prefix.offsets.to_numpy())
+            at = np.repeat(np.arange(kept.num_rows), size)
+            pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            yield {"word": prefix.flatten(), **{c: kept.column(c).to_numpy()[at] for c in ("doc_id", "line", "m")}, "pos": pos.astype(np.int32), "bits": kept.column("bits").to_numpy()[at]}
+
+    rows = lines.filter(~F.col("copy") & (F.size("prefix") > 0)).select("lo", "hi", "m", "doc_id", "line", "bits", "prefix")
+    return per_task(rows.repartition("lo").sortWithinPartitions("lo", "hi", "m", "doc_id", "line"), "word long, doc_id long, line int, m int, pos int, bits long", firsts)
+
+
+class Lists:
+    """Reads lists in order and gives, for each class, the earlier ones that it may match."""
+
+    NAMES = ("word", "doc_id", "line", "m", "pos", "bits")
+
+    def __init__(self, percent: int, hubs: int, kept: int):
+        self.percent, self.hubs, self.kept = percent, hubs, kept
+
+    def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs (i, j) can reach the threshold, and how many bits they differ in."""
+        p, m, n = self.percent, x["m"][i].astype(np.int64), x["m"][j].astype(np.int64)
+        apart = np.bitwise_count((x["bits"][i] ^ x["bits"][j]).view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's
+        places = np.minimum(m - x["pos"][i], n - x["pos"][j])
+        return (m * 100 >= p * n) & (n * 100 >= p * m) & (places * (100 + p) >= p * (m + n)) & (apart * (100 + p) <= (100 - p) * (m + n)), apart
+
+    def pairs(self, x: dict[str, np.ndarray], done: int = 0) -> dict[str, object]:
+        """Candidates among the rows of whole lists; of the first list the first `done` rows have had theirs."""
+        n = len(x["word"])
+        starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))
+        sizes = np.diff(np.concatenate([starts, [n]]))
+        nth = np.arange(n) - np.repeat(starts, sizes)
+        short = np.repeat((sizes <= SHORT) & ((starts > 0) | (done == 0)), sizes)
+        found = []
+        for back in range(1, min(SHORT, int(sizes.max()))):
+            i = np.flatnonzero(short & (nth >= back))
+            if not len(i):
+                break
+            ok, apart = self.possible(x, i, i - back)
+            found.append((i[ok], i[ok] - back, apart[ok]))
+        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+            skip = done if start == 0 else 0
+            if size > SHORT or skip:
+                for low in range(start + max(1, skip), start + size, 256):
+                    i, j = np.meshgrid(np.arange(low, min(low + 256, start + size)), np.arange(start, start + min(size, self.hubs)), indexing="ij")
+                    i, j = i[j < i], j[j < i]
+                    ok, apart = self.possible(x, i, j)
+                    found.append((i[ok], j[ok], apart[ok]))
+        i, j, apart = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+        by = np.lexsort((j, apart, i))
+        i, j = i[by], j[by]
+        count = np.bincount(i, minlength=n)
+        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        more = (count > self.kept) | (nth >= self.hubs)
+        if done:
+            more[:done] = False
+        alone = np.flatnonzero(more & (count == 0))
+        keep = rank < self.kept
+        at, other, rank = np.concatenate([i[keep], alone]), np.concatenate([j[keep], alone]), np.concatenate([rank[keep], np.full(len(alone), -1)])
+        return {"doc_id": x["doc_id"][at], "line": x["line"][at], "earlier_id": x["doc_id"][other], "earlier_line": x["line"][other], "rank": rank.astype(np.int32), "more": more[at]}
+
+    def read(self, batches):
+        held, done = None, 0
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy() for c in self.NAMES}
+            x = x if held is None else {c: np.concatenate([held[c], x[c]]) for c in self.NAMES}
+            last = int(np.searchsorted(x["word"], x["word"][-1]))
+            if last:
+                yield self.pairs({c: v[:last] for c, v in x.items()}, done)
+                done = 0
+            held = {c: v[last:] for c, v in x.items()}
+            if len(held["word"]) > 2 * self.hubs:  # a very long list: its hubs stay, the others have had their turn
+                yield self.pairs(held, done)
+                held, done = {c: v[: self.hubs] for c, v in held.items()}, self.hubs
+        if held is not None:
+            yield self.pairs(held, done)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -157,51 +260,33 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return hit.select(F.struct("doc_id", "line").alias("at")).distinct()
 
 
-def matched_lines(docs: DataFrame, percent: int = PERCENT, head: int = HEAD, hubs: int = HUBS) -> DataFrame:
+def matched_lines(docs: DataFrame, percent: int = PERCENT, head: int = HEAD, hubs: int = HUBS, kept: int = KEPT) -> DataFrame:
     """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one matches."""
     lines = cut(class_lines(docs, head_words(docs, head), percent))
-    made = lines.groupBy("m", "lo", "hi").agg(F.min(F.struct("doc_id", "line", "bits", "prefix")).alias("at"), F.count("*").alias("n"))
-    copies = _later_copies(lines, lines.groupBy("m", "lo", "hi").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
-    value = made.filter(F.size("at.prefix") > 0).select("m", "at.doc_id", "at.line", "at.bits", F.posexplode_outer("at.prefix").alias("pos", "word"))
-    by_age = W.partitionBy("word").orderBy("doc_id", "line")
-    so_far = by_age.rowsBetween(W.unboundedPreceding, W.currentRow)
-    hub = F.struct("doc_id", "line", "m", "pos", "bits")
-    first = value.withColumns({"nth": F.row_number().over(by_age), "size": F.count("*").over(W.partitionBy("word")), **{f"h{i}": F.nth_value(hub, i + 1).over(so_far) for i in range(hubs)}}).filter("size > 1")
-    near = F.array_compact(F.array(*(F.when((F.col("nth") > i + 1) & _possible(*(F.col(c) for c in ("m", "pos", "bits")), *(F.col(f"h{i}")[c] for c in ("m", "pos", "bits")), percent), F.struct(F.col(f"h{i}.doc_id"), F.col(f"h{i}.line"))) for i in range(hubs))))
-    kept = first.select("word", F.struct("doc_id", "line").alias("at"), "m", "pos", "bits", "nth", "size", near.alias("near"))
-    state = cut(kept.filter((F.size("near") > 0) | (F.col("size") > hubs + 1)))
-    pairs, matched, low, high = state.select("at", F.explode("near").alias("earlier")).distinct(), None, hubs + 1, hubs * GROWTH
-    rest = state.filter(F.col("size") > hubs + 1).drop("near")
-    while True:
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            hit = _verify(pairs, docs, percent)
-            matched = cut(hit if matched is None else matched.union(hit).distinct())
-        rest = rest.filter(F.col("size") > low)
-        open_ = rest.filter(F.col("nth") > low)
-        open_ = cut(open_ if matched is None else open_.join(matched, "at", "left_anti"))
-        if open_.isEmpty():
-            return copies if matched is None else copies.union(matched.select("at.doc_id", "at.line"))
-        hub = rest.filter(F.col("nth").between(low, high)).select("word", F.col("at").alias("earlier"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("bits").alias("bits2"), F.col("nth").alias("nth2"))
-        met = open_.join(hub, "word").filter((F.col("nth") > F.col("nth2")) & _possible(*map(F.col, ("m", "pos", "bits", "m2", "pos2", "bits2")), percent))
-        pairs, low, high = met.select("at", "earlier").distinct(), high + 1, high * GROWTH
-
-
-def _possible(m: Column, pos: Column, bits: Column, m2: Column, pos2: Column, bits2: Column, percent: int) -> Column:
-    """Whether lines of m and m2 words that share the words at pos and pos2 of their orders can reach the threshold: by
-    their lengths, by what is left behind those places, and by the difference that their bitmaps prove."""
-    lengths = (m * 100 >= percent * m2) & (m2 * 100 >= percent * m)
-    places = F.least(m - pos, m2 - pos2) * (100 + percent) >= percent * (m + m2)
-    return lengths & places & (F.bit_count(bits.bitwiseXOR(bits2)) * (100 + percent) <= (100 - percent) * (m + m2))
-
-
-def _later_copies(lines: DataFrame, made: DataFrame) -> DataFrame:
-    """All lines of a class but its first.  A class may hold a third of all lines, so its row is met under salts."""
-    salts = 16
-    several = made.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = lines.drop("prefix").withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(salts)).cast("int"))
-    later = salted.join(several, ["m", "lo", "hi", "salt"]).filter(F.struct("doc_id", "line") > F.col("at"))
-    return later.select("doc_id", "line").distinct()
+    lists = listed(lines).repartition("word").sortWithinPartitions("word", "doc_id", "line")
+    found = cut(per_task(lists, "doc_id long, line int, earlier_id long, earlier_line int, rank int, more boolean", Lists(percent, hubs, kept).read))
+    found = found.select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"), "rank", "more")
+    matched = cut(_verify(cut(found.filter("rank between 0 and 1").select("at", "earlier").distinct()), docs, percent))
+    others = cut(found.filter("rank > 1").join(matched, "at", "left_anti").select("at", "earlier").distinct())
+    if not others.isEmpty():
+        matched = cut(matched.union(_verify(others, docs, percent)).distinct())
+    beyond = cut(found.filter("more").select("at").distinct().join(matched, "at", "left_anti"))
+    if not beyond.isEmpty():
+        matched = cut(matched.union(_verify(cut(_joined(lines, beyond, percent)), docs, percent)).distinct())
+    again = lines.filter("not copy").select("m", "lo", "hi", "doc_id", "line").withColumn("nth", F.row_number().over(W.partitionBy("m", "lo", "hi").orderBy("doc_id", "line"))).filter("nth > 1")
+    return lines.filter("copy").select("doc_id", "line").union(again.select("doc_id", "line")).union(matched.select("at.doc_id", "at.line")).distinct()
+
+
+def _joined(lines: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (at, earlier) of the lines of `some` (at): an equi-join on the words of their prefixes."""
+    value = lines.filter(~F.col("copy")).select(F.struct("doc_id", "line").alias("at"), "m", "bits", F.posexplode_outer("prefix").alias("pos", "word")).filter("word is not null")
+    later = value.join(some, "at", "left_semi")
+    earlier = value.select("word", F.col("at").alias("earlier"), F.col("m").alias("m2"), F.col("bits").alias("bits2"), F.col("pos").alias("pos2"))
+    m, n = F.col("m"), F.col("m2")
+    lengths = (m * 100 >= percent * n) & (n * 100 >= percent * m)
+    places = F.least(m - F.col("pos"), n - F.col("pos2")) * (100 + percent) >= percent * (m + n)
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) * (100 + percent) <= (100 - percent) * (m + n)
+    return later.join(earlier, "word").filter((F.col("earlier") < F.col("at")) & lengths & places & apart).select("at", "earlier").distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
