@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import MIX, hashes, per_batch, per_task, scramble, top_by_hash, utf8, windows
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.2
+THRESHOLD = -0.25
 MIN_WORDS, MAX_REPEAT = 10, 20
 #: Trusted documents that the target is counted over.
 TRUSTED = 8192
