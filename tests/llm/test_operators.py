@@ -76,7 +76,7 @@ def test_near_duplicates(docs, rows, empty, k):
                 if 100 * both >= 80 * len(sets[a] | sets[b]):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
-    got = neardup.near_duplicates(docs, k=k, sketch=16, hubs=1).collect()
+    got = neardup.near_duplicates(docs, k=k, sketch=16).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
@@ -95,7 +95,9 @@ def test_near_duplicate_group_of_different_texts(spark):
             w[RND.randrange(120)] = f"new{i}{j}"
         rows.append((i, " ".join(w)))
     rows += [(100 + i, prose(100)) for i in range(20)]
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, k=2).collect()}
+    assert got == {r.doc_id: r.component_id for r in neardup.near_duplicates(df, k=2, hubs=3, kept=2).collect()}
     sets = {i: shingle_set(t, 2) for i, t in rows}
     linked = [i for i in range(60) if i == 0 or 100 * len(sets[0] & sets[i]) >= 80 * len(sets[0] | sets[i])]
     assert len(linked) > 50 and all(got[i] == 0 for i in linked) and all(got[i] == i for i in got if i >= 100)
@@ -131,7 +133,7 @@ def test_bitmaps_never_drop_a_match():
     rows = linedup.prefixes(list(enumerate(texts)), linedup.Order({}), 80)
     x = {c: np.asarray(rows[c]) for c in ("m", "bits")} | {"pos": np.zeros(7, "int32")}
     i, j = np.triu_indices(7, 1)
-    ok, apart = linedup.Lists(80, 8, 8).possible(x, i, j)
+    ok, apart = linedup.LineLists(80, 8, 8).possible(x, i, j)
     sets = [set(t.split()) for t in texts]
     for a, b, keep, bits in zip(i, j, ok, apart, strict=True):
         assert bits <= len(sets[a] ^ sets[b]) and (keep or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]))

@@ -1,4 +1,4 @@
-"""Connected components by hooking and pointer jumping, all in joins and aggregates."""
+"""Connected components by label propagation and pointer jumping, all in joins and aggregates."""
 
 from __future__ import annotations
 
@@ -11,18 +11,19 @@ from threadmill.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node that `edges` (a, b) reach from node; only nodes that have an edge.
 
-    Each round gives every node the smallest root among its own and its neighbours', hooks that onto the old root, and
-    halves the paths; labels only fall, and the rounds end when none changes (about the logarithm of the longest path).
-    """
-    both = cut(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    Each round gives every node the smallest label among its own and its neighbours', and then the label of that label,
+    so known paths double.  Labels only fall, and the rounds end when none changes.  A hub's labels are combined before
+    they are shuffled."""
+    apart = edges.filter("a <> b").select("a", "b")
+    both = apart.union(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(both.union(both.select("a", F.col("a").alias("b"))).distinct())
+    label = both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    label = cut(label)
     while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        seen = label.join(near, label["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("low"))
-        hooked = seen.groupBy(F.col("root").alias("old")).agg(F.min("low").alias("via"))
-        moved = seen.join(hooked, seen["root"] == hooked["old"]).select("node", "root", F.least("low", "via").alias("low"))
-        jump = moved.select(F.col("node").alias("at"), F.col("low").alias("next"))
-        new = cut(moved.join(jump, moved["low"] == jump["at"], "left").select("node", F.least("low", F.coalesce("next", "low")).alias("root"), (F.least("low", F.coalesce("next", "low")) < F.col("root")).alias("fell")))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("root"))).alias("was")
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("low"), own)
+        jump = near.select(F.col("a").alias("at"), F.col("low").alias("next"))
+        new = cut(near.join(jump, near["low"] == jump["at"]).select(F.col("a").alias("node"), F.least("low", "next").alias("root"), (F.least("low", "next") < F.col("was")).alias("fell")))
         label = new.select("node", "root")
         if new.filter("fell").isEmpty():
             return label

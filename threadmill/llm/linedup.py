@@ -29,11 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import MIX, cut, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
+from threadmill.llm.lists import SortedLists
 
 PERCENT, HEAD = 80, 1 << 16
 #: Earlier classes of a list that a class is compared with as the list is read, and candidates that are kept of them; what is
 #: beyond either is joined.  Lists up to SHORT are compared all at once.
-HUBS, KEPT, SHORT = 4096, 16, 16
+HUBS, KEPT = 4096, 16
 #: Sets that a task remembers to tell copies without a shuffle.
 REMEMBERED = 200_000
 #: Places of rare words are below this.  In lists they are told apart by the lower bits of their hash alone; two that fall
@@ -159,13 +160,12 @@ def listed(lines: DataFrame) -> DataFrame:
     return per_task(rows.repartition("lo").sortWithinPartitions("lo", "hi", "m", "doc_id", "line"), "word long, doc_id long, line int, m int, pos int, bits long", firsts)
 
 
-class Lists:
-    """Reads lists in order and gives, for each class, the earlier ones that it may match."""
-
-    NAMES = ("word", "doc_id", "line", "m", "pos", "bits")
+class LineLists(SortedLists):
+    """Lists of lines; the earlier line comes first."""
 
     def __init__(self, percent: int, hubs: int, kept: int):
-        self.percent, self.hubs, self.kept = percent, hubs, kept
+        super().__init__(hubs, kept)
+        self.percent = percent
 
     def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs (i, j) can reach the threshold, and how many bits they differ in."""
@@ -174,57 +174,6 @@ class Lists:
         places = np.minimum(m - x["pos"][i], n - x["pos"][j])
         return (m * 100 >= p * n) & (n * 100 >= p * m) & (places * (100 + p) >= p * (m + n)) & (apart * (100 + p) <= (100 - p) * (m + n)), apart
 
-    def pairs(self, x: dict[str, np.ndarray], done: int = 0) -> dict[str, object]:
-        """Candidates among the rows of whole lists; of the first list the first `done` rows have had theirs."""
-        n = len(x["word"])
-        starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))
-        sizes = np.diff(np.concatenate([starts, [n]]))
-        nth = np.arange(n) - np.repeat(starts, sizes)
-        short = np.repeat((sizes <= SHORT) & ((starts > 0) | (done == 0)), sizes)
-        found = []
-        for back in range(1, min(SHORT, int(sizes.max()))):
-            i = np.flatnonzero(short & (nth >= back))
-            if not len(i):
-                break
-            ok, apart = self.possible(x, i, i - back)
-            found.append((i[ok], i[ok] - back, apart[ok]))
-        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            skip = done if start == 0 else 0
-            if size > SHORT or skip:
-                for low in range(start + max(1, skip), start + size, 256):
-                    i, j = np.meshgrid(np.arange(low, min(low + 256, start + size)), np.arange(start, start + min(size, self.hubs)), indexing="ij")
-                    i, j = i[j < i], j[j < i]
-                    ok, apart = self.possible(x, i, j)
-                    found.append((i[ok], j[ok], apart[ok]))
-        i, j, apart = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
-        by = np.lexsort((j, apart, i))
-        i, j = i[by], j[by]
-        count = np.bincount(i, minlength=n)
-        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        more = (count > self.kept) | (nth >= self.hubs)
-        if done:
-            more[:done] = False
-        alone = np.flatnonzero(more & (count == 0))
-        keep = rank < self.kept
-        at, other, rank = np.concatenate([i[keep], alone]), np.concatenate([j[keep], alone]), np.concatenate([rank[keep], np.full(len(alone), -1)])
-        return {"doc_id": x["doc_id"][at], "line": x["line"][at], "earlier_id": x["doc_id"][other], "earlier_line": x["line"][other], "rank": rank.astype(np.int32), "more": more[at]}
-
-    def read(self, batches):
-        held, done = None, 0
-        for batch in batches:
-            x = {c: batch.column(c).to_numpy() for c in self.NAMES}
-            x = x if held is None else {c: np.concatenate([held[c], x[c]]) for c in self.NAMES}
-            last = int(np.searchsorted(x["word"], x["word"][-1]))
-            if last:
-                yield self.pairs({c: v[:last] for c, v in x.items()}, done)
-                done = 0
-            held = {c: v[last:] for c, v in x.items()}
-            if len(held["word"]) > 2 * self.hubs:  # a very long list: its hubs stay, the others have had their turn
-                yield self.pairs(held, done)
-                held, done = {c: v[: self.hubs] for c, v in held.items()}, self.hubs
-        if held is not None:
-            yield self.pairs(held, done)
-
 
 def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(at) of the later lines of `pairs` (at, earlier) that reach the threshold; at and earlier: (doc_id, line)."""
@@ -264,8 +213,8 @@ def matched_lines(docs: DataFrame, percent: int = PERCENT, head: int = HEAD, hub
     """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one matches."""
     lines = cut(class_lines(docs, head_words(docs, head), percent))
     lists = listed(lines).repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    found = cut(per_task(lists, "doc_id long, line int, earlier_id long, earlier_line int, rank int, more boolean", Lists(percent, hubs, kept).read))
-    found = found.select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"), "rank", "more")
+    found = cut(per_task(lists, "doc_id long, line int, earlier_doc_id long, earlier_line int, rank int, more boolean", LineLists(percent, hubs, kept).read))
+    found = found.select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_doc_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"), "rank", "more")
     matched = cut(_verify(cut(found.filter("rank between 0 and 1").select("at", "earlier").distinct()), docs, percent))
     others = cut(found.filter("rank > 1").join(matched, "at", "left_anti").select("at", "earlier").distinct())
     if not others.isEmpty():

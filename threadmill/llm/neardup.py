@@ -5,12 +5,12 @@
    whose sketch has it.  Two classes at the threshold share at least `need` retained values (exactly so for sets that fit
    in the sketch, else but for a chance of about 3e-6), so it is enough to list a class under the rarest
    k - need + 1 of its values: very common shingles then need no list.
-3. Lists are worked off in rounds.  In a round each list compares its hubs, the members whose values are most shared,
-   with the members that are not yet known to be connected to them; the number of hubs grows eightfold per round.
-   Pairs whose sizes, or whose places of the shared value in their orders, rule out the threshold are left out; others pass the union-sketch estimate and are then
-   verified by exact Jaccard on whole texts; verified links are merged into components.  A list is done when all its
-   members are connected or every member has been a hub, so no link between components is lost and no list is expanded
-   into all its pairs while its members are connected.
+3. Each list is read in the order of its members, those with the most shared values first, and every member is compared
+   with the earlier ones: sizes, what is left behind the shared value in both orders, and a parity bitmap of the sketch
+   leave candidate pairs.  They pass the union-sketch estimate and are verified by exact Jaccard on whole texts, the
+   nearest by bitmap first; then only those between different components.  A member with more candidates than are kept,
+   or far down a very long list, is joined with its lists' members of other components.  So no link between components
+   is lost, and no list is expanded into its pairs while its members are connected.
 
 Defined results: null text and text without words have an empty set, link with nothing and are kept; a null doc_id is
 not linked, its component is null and it is kept; repeated rows of a doc_id share its result; texts with fewer words
@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, hashes, per_batch, scramble, utf8, windows
+from threadmill.llm.common import MIX, cut, hashes, id_bit, near_ids, per_batch, per_task, scramble, utf8, windows
 from threadmill.llm.graph import components
+from threadmill.llm.lists import SortedLists
 
 SKETCH, SLACK_SD = 128, 4.5
-#: Hubs that a list compares in the first round, and their growth per round.
-HUBS, GROWTH = 2, 8
+#: Earlier members of a list that one is compared with as the list is read, and candidates that are kept of them.
+HUBS, KEPT = 4096, 16
 _SIGN = np.uint64(1 << 63)
 
 
@@ -43,10 +44,11 @@ def shingles(text: bytes, k: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, sketch: int) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, a digest of the whole set, and its sketch as signed longs, ascending."""
+    """A row per row of docs: doc_id, n_shingles, a digest of the whole set, its sketch as signed longs, ascending, and a
+    parity bitmap of the sketch's values (256 bits)."""
 
     def fold(batch):
-        n, lo, hi, rows = [], [], [], []
+        n, lo, hi, rows, bits = [], [], [], [], []
         for text in utf8(batch):
             s = shingles(text, k)
             n.append(len(s))
@@ -54,9 +56,10 @@ def sketches(docs: DataFrame, k: int, sketch: int) -> DataFrame:
                 lo.append(int(scramble(s).sum(dtype=np.uint64).view(np.int64)))
                 hi.append(int(scramble(s ^ MIX).sum(dtype=np.uint64).view(np.int64)))
             rows.append((s[:sketch] ^ _SIGN).view(np.int64))
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "lo": lo, "hi": hi, "sketch": rows}
+            bits.append(np.packbits(np.bincount((s[:sketch] & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64))
+        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "lo": lo, "hi": hi, "sketch": rows, "bits": bits}
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_shingles long, lo long, hi long, sketch array<long>", fold)
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_shingles long, lo long, hi long, sketch array<long>, bits array<long>", fold)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -83,24 +86,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return per_batch(joined, "a long, b long, ok boolean", exact).filter("ok").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: int = SKETCH, hubs: int = HUBS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, sketch: int = SKETCH, hubs: int = HUBS, kept: int = KEPT) -> DataFrame:
     """A row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     rows = cut(sketches(docs, k, sketch))
-    made = rows.filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "lo", "hi").agg(F.min_by("sketch", "doc_id").alias("sketch"), F.min("doc_id").alias("rep"))
+    made = rows.filter("doc_id is not null and n_shingles > 0").groupBy("n_shingles", "lo", "hi").agg(F.min_by(F.struct("sketch", "bits"), "doc_id").alias("s"), F.min("doc_id").alias("rep")).select("n_shingles", "lo", "hi", "rep", "s.*")
     classes = cut(made)
-    links = _links(classes, docs, k, percent, sketch, hubs)
-    comp = components(links) if links is not None else spark.createDataFrame([], "node long, root long")
+    comp = _components(classes, docs, k, percent, sketch, hubs, kept)
+    comp = spark.createDataFrame([], "node long, root long") if comp is None else comp
     known = classes.select("n_shingles", "lo", "hi", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("n_shingles", "lo", "hi", F.coalesce("root", "rep").alias("root"))
     # a third of the rows may be copies of one text: the side with a row per class is salted against them
     salts = 16
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = rows.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["n_shingles", "lo", "hi", "salt"], "left")
+    out = rows.drop("sketch", "bits").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["n_shingles", "lo", "hi", "salt"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("root")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: int, hubs: int) -> DataFrame | None:
+def _components(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: int, hubs: int, kept: int) -> DataFrame | None:
+    """(node, root) of the classes that have a verified link; None if there are none."""
     p = percent / 100
     listed = classes.filter(F.col("n_shingles") * 100 >= percent * (F.col("n_shingles") + 1) if percent < 100 else F.lit(False))
     value = listed.select("rep", "n_shingles", F.explode("sketch").alias("v"))
@@ -116,29 +120,68 @@ def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketch: in
     # place among all m values: the m - all unshared ones come first
     prefix = shared.filter(F.col("place") + m - F.col("all") <= m - least + 1)
     rest = m - (F.col("place") + m - F.col("all"))  # values behind this one
-    lists = cut(prefix.select("v", "rep", "n_shingles", "weight", rest.alias("rest")))
-    sets = classes.select("rep", "n_shingles", "sketch")
-    ids = lists.join(lists.groupBy("v").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 < r1"), "v", "left_semi").select("rep").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]))
-    order = W.partitionBy("v").orderBy(F.desc("weight"), "rep")
-    state, links, low, high = lists.withColumns({"comp": F.col("rep"), "nth": F.row_number().over(order)}), None, 1, hubs
-    while True:
-        live = state.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("nth").alias("size")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > low)).select("v")
-        ranked = cut(state.join(live, "v", "left_semi"))
-        if ranked.isEmpty():
-            return links
-        hub = ranked.filter(F.col("nth").between(low, high)).select("v", F.col("rep").alias("hub"), F.col("nth").alias("hub_nth"), F.col("comp").alias("hub_comp"), F.col("n_shingles").alias("hub_n"), F.col("rest").alias("hub_rest"))
-        pair = ranked.join(hub, "v").filter((F.col("comp") != F.col("hub_comp")) & (F.col("nth") > F.col("hub_nth")))
-        pair = pair.filter((F.col("n_shingles") * 100 >= percent * F.col("hub_n")) & (F.col("hub_n") * 100 >= percent * F.col("n_shingles")))
-        pair = pair.filter(1 + F.least("rest", "hub_rest") >= _shared(F.col("n_shingles"), F.col("hub_n"), percent, sketch))
-        pair = pair.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        close = cut(_verify(_estimated(pair, sets, sketch, percent), texts, k, percent))
-        links = close if links is None else cut(links.union(close))
-        low, high = high + 1, high * GROWTH
-        if not close.isEmpty():
-            comp = components(links)
-            ranked = ranked.drop("comp").join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
-        state = ranked
+    lists = cut(prefix.select("v", "rep", "n_shingles", (-F.col("weight")).alias("order"), rest.alias("rest")).join(classes.select("rep", "bits"), "rep"))
+    reader = SketchLists(percent, sketch, hubs, kept)
+    read = lists.repartition("v").sortWithinPartitions("v", "order", "rep")
+    found = cut(per_task(read, "rep long, earlier_rep long, rank int, more boolean", reader.read))
+    pairs = found.filter("rank >= 0").select(F.least("rep", "earlier_rep").alias("a"), F.greatest("rep", "earlier_rep").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"))
+    close = _estimated(cut(pairs), classes.select("rep", "n_shingles", "sketch"), sketch, percent)
+    if close.isEmpty():
+        return None
+    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).union(found.filter("more").select("rep")).distinct()
+    some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(ids), "bit", "left_semi")
+    texts = cut(some.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    comp = _joined_to(None, _verify(close.filter("rank < 2"), texts, k, percent))
+    rest = cut(_apart(close.filter("rank >= 2").select("a", "b"), comp))
+    if not rest.isEmpty():
+        comp = _joined_to(comp, _verify(rest, texts, k, percent))
+    # members whose candidates were not all kept meet what their lists hold of other components
+    beyond = lists.join(found.filter("more").select("rep").distinct(), "rep", "left_semi")
+    if not found.filter("more").isEmpty():
+        labelled = lambda df: df.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root", "bits", "order")
+        other = labelled(lists).withColumnsRenamed({"rep": "rep2", "n_shingles": "n2", "rest": "rest2", "comp": "comp2"})
+        met = labelled(beyond).join(other, "v").filter((F.col("comp") != F.col("comp2")) & (F.col("n_shingles") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n_shingles")) & (1 + F.least("rest", "rest2") >= _shared(F.col("n_shingles"), F.col("n2"), percent, sketch)))
+        wide = met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().withColumn("rank", F.lit(0)).join(close.select("a", "b"), ["a", "b"], "left_anti")
+        late = _estimated(wide, classes.select("rep", "n_shingles", "sketch"), sketch, percent)
+        if not late.isEmpty():
+            more_ids = late.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            more_texts = cut(docs.select(F.col("doc_id").cast("long"), "text").join(more_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            comp = _joined_to(comp, _verify(late, more_texts, k, percent))
+    return comp
+
+
+def _joined_to(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, root) with `links` (a, b) added: the ones so far are stars, so few rounds are needed."""
+    return components(links if comp is None else comp.toDF("a", "b").union(links))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) between different components."""
+    a, b = comp.toDF("a", "root_a"), comp.toDF("b", "root_b")
+    met = pairs.join(a, "a", "left").join(b, "b", "left")
+    return met.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+class SketchLists(SortedLists):
+    """Lists of classes by a retained value."""
+
+    LIST, IDS, REST = "v", ("rep",), ("n_shingles", "rest", "bits")
+
+    def __init__(self, percent: int, sketch: int, hubs: int, kept: int):
+        super().__init__(hubs, kept)
+        self.percent, self.sketch = percent, sketch
+
+    def column(self, batch, name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy().view(np.uint64).reshape(-1, 4) if name == "bits" else super().column(batch, name)
+
+    def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, k, a, b = self.percent, self.sketch, x["n_shingles"][i].astype(float), x["n_shingles"][j].astype(float)
+        larger, both = np.maximum(a, b), p * (a + b) / (100 + p)
+        part = np.minimum(both / larger, 1.0)
+        shared = np.where(larger <= k, np.ceil(both - 1e-9), k * part - SLACK_SD * np.sqrt(k * part * (1 - part)))
+        apart = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1).astype(np.int64)
+        near = apart <= np.minimum(a, k) + np.minimum(b, k) - 2 * shared
+        return (a * 100 >= p * b) & (b * 100 >= p * a) & (1 + np.minimum(x["rest"][i], x["rest"][j]) >= shared) & near, apart
 
 
 def _shared(a: Column, b: Column, percent: int, sketch: int) -> Column:
@@ -149,11 +192,11 @@ def _shared(a: Column, b: Column, percent: int, sketch: int) -> Column:
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, sketch: int, percent: int) -> DataFrame:
-    """Pairs whose estimate from the union's sketch can belong to a pair at the threshold."""
+    """Pairs (a, b, rank) whose estimate from the union's sketch can belong to a pair at the threshold."""
     a, b = sets.toDF("a", "n_a", "s_a"), sets.toDF("b", "n_b", "s_b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, sketch)
     m = F.size("u")
     both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
     p = percent / 100
     least = F.greatest(F.lit(1.0), p * m - SLACK_SD * F.sqrt(m * p * (1 - p)))
-    return pairs.join(a, "a").join(b, "b").withColumn("u", union).filter(both >= least).select("a", "b")
+    return cut(pairs.join(a, "a").join(b, "b").withColumn("u", union).filter(both >= least).select("a", "b", "rank"))
