@@ -28,7 +28,7 @@ from threadmill.llm.common import MIX, cut, hashes, id_bit, near_ids, per_batch,
 from threadmill.llm.graph import components
 from threadmill.llm.lists import SortedLists
 
-SKETCH, SLACK_SD = 128, 4.5
+SKETCH, SLACK_SD = 192, 4.5
 #: Earlier members of a list that one is compared with as the list is read, and candidates that are kept of them.
 HUBS, KEPT = 4096, 16
 _SIGN = np.uint64(1 << 63)
@@ -111,7 +111,7 @@ def _components(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketc
     often = value.groupBy("v").agg(F.count("*").alias("f"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")).filter((F.col("f") > 1))
     m = F.least("n_shingles", F.lit(sketch))
     exact = F.ceil(F.lit(percent) * F.col("n_shingles") / 100)
-    loose = F.greatest(F.lit(1), F.floor(p * m - SLACK_SD * F.sqrt(m * p * (1 - p))))
+    loose = F.greatest(F.lit(1), F.floor(p * m - SLACK_SD * F.sqrt(m * p * (1 - p) * _drawn(F.col("n_shingles") * 100 / percent, sketch))))
     least = F.when(F.col("n_shingles") * 100 <= sketch * percent, exact).otherwise(loose).cast("int")
     # values that only one class has stand first in the order of rarity: they take up places of the prefix and need no list
     shared = value.join(often, "v")
@@ -138,9 +138,12 @@ def _components(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketc
     # members whose candidates were not all kept meet what their lists hold of other components
     beyond = lists.join(found.filter("more").select("rep").distinct(), "rep", "left_semi")
     if not found.filter("more").isEmpty():
-        labelled = lambda df: df.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root", "bits", "order")
-        other = labelled(lists).withColumnsRenamed({"rep": "rep2", "n_shingles": "n2", "rest": "rest2", "comp": "comp2"})
-        met = labelled(beyond).join(other, "v").filter((F.col("comp") != F.col("comp2")) & (F.col("n_shingles") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n_shingles")) & (1 + F.least("rest", "rest2") >= _shared(F.col("n_shingles"), F.col("n2"), percent, sketch)))
+        labelled = lambda df: df.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root", "order")
+        other = labelled(lists).withColumnsRenamed({"rep": "rep2", "n_shingles": "n2", "rest": "rest2", "comp": "comp2", "bits": "bits2"})
+        size = lambda n: F.least(F.col(n), F.lit(sketch))
+        differ = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits2"), F.lit(i)))) for i in range(4)), F.lit(0))
+        near = differ <= size("n_shingles") + size("n2") - 2 * _shared(F.col("n_shingles"), F.col("n2"), percent, sketch)
+        met = labelled(beyond).join(other, "v").filter(near & (F.col("comp") != F.col("comp2")) & (F.col("n_shingles") * 100 >= percent * F.col("n2")) & (F.col("n2") * 100 >= percent * F.col("n_shingles")) & (1 + F.least("rest", "rest2") >= _shared(F.col("n_shingles"), F.col("n2"), percent, sketch)))
         wide = met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().withColumn("rank", F.lit(0)).join(close.select("a", "b"), ["a", "b"], "left_anti")
         late = _estimated(wide, classes.select("rep", "n_shingles", "sketch"), sketch, percent)
         if not late.isEmpty():
@@ -178,7 +181,7 @@ class SketchLists(SortedLists):
         p, k, a, b = self.percent, self.sketch, x["n_shingles"][i].astype(float), x["n_shingles"][j].astype(float)
         larger, both = np.maximum(a, b), p * (a + b) / (100 + p)
         part = np.minimum(both / larger, 1.0)
-        shared = np.where(larger <= k, np.ceil(both - 1e-9), k * part - SLACK_SD * np.sqrt(k * part * (1 - part)))
+        shared = np.where(larger <= k, np.ceil(both - 1e-9), k * part - SLACK_SD * np.sqrt(k * part * (1 - part) * np.maximum((larger - k) / np.maximum(larger - 1, 1), 0)))
         apart = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1).astype(np.int64)
         near = apart <= np.minimum(a, k) + np.minimum(b, k) - 2 * shared
         return (a * 100 >= p * b) & (b * 100 >= p * a) & (1 + np.minimum(x["rest"][i], x["rest"][j]) >= shared) & near, apart
@@ -188,7 +191,12 @@ def _shared(a: Column, b: Column, percent: int, sketch: int) -> Column:
     """Values that the sketches of sets of sizes a and b share at least if they reach the threshold."""
     larger, both = F.greatest(a, b), F.lit(percent) * (a + b) / (100 + percent)
     part = F.least(both / larger, F.lit(1.0))
-    return F.when(larger <= sketch, F.ceil(both - 1e-9)).otherwise(sketch * part - SLACK_SD * F.sqrt(sketch * part * (1 - part)))
+    return F.when(larger <= sketch, F.ceil(both - 1e-9)).otherwise(sketch * part - SLACK_SD * F.sqrt(sketch * part * (1 - part) * _drawn(larger, sketch)))
+
+
+def _drawn(n: Column, sketch: int) -> Column:
+    """What remains of the variance when a sketch's values are drawn from n without putting back."""
+    return F.greatest((n - sketch) / (n - 1), F.lit(0.0))
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, sketch: int, percent: int) -> DataFrame:
