@@ -131,7 +131,7 @@ def test_bitmaps_never_drop_a_match():
     base = [f"t{i}".encode() for i in range(60)]
     texts = [b" ".join(base[: 60 - j] + [f"z{i}{j}".encode() for i in range(j)]) for j in range(7)]
     rows = linedup.prefixes(list(enumerate(texts)), linedup.Order({}), 80)
-    x = {c: np.asarray(rows[c]) for c in ("m", "bits")} | {"pos": np.zeros(7, "int32")}
+    x = {"m": rows["m"], "bits": rows["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, 4), "pos": np.zeros(7, "int32")}
     i, j = np.triu_indices(7, 1)
     ok, apart = linedup.LineLists(80, 8, 8).possible(x, i, j)
     sets = [set(t.split()) for t in texts]

@@ -99,15 +99,18 @@ def prefixes(texts: list[tuple[int, bytes]], order: Order, percent: int) -> dict
     long = np.where((percent < 100) & (m * 100 >= percent * (m + 1)), m - (m * percent + 99) // 100 + 1, 0)
     inside = np.arange(len(of)) - np.repeat(starts, m) < np.repeat(long, m)
     offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
+    cell = scramble(hashed) >> np.uint64(56)  # of 256
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    parity = [np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(4)]
     low = place & (_LISTED - 1) | np.where(place >= _RARE, _LISTED, 0)
     return {
         "doc_id": ids, "line": numbers, "m": m.astype(np.int32), "lo": np.add.reduceat(scramble(hashed), starts).view(np.int64), "hi": np.add.reduceat(scramble(hashed ^ MIX), starts).view(np.int64),
-        "bits": np.bitwise_xor.reduceat(np.uint64(1) << (scramble(hashed) >> np.uint64(58)), starts).view(np.int64), "prefix": pa.ListArray.from_arrays(offsets, low[inside]),
+        "bits": pa.ListArray.from_arrays(np.arange(0, 4 * len(starts) + 1, 4, dtype=np.int32), np.stack(parity, 1).ravel().view(np.int64)), "prefix": pa.ListArray.from_arrays(offsets, low[inside]),
     }
 
 
 def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT) -> DataFrame:
-    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it, its
+    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it (256 bits), its
     prefix in order, and whether the task has seen the set in an earlier line (then the prefix does not matter)."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -136,7 +139,7 @@ def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT
         return rows | {"copy": copy}
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits long, prefix array<long>, copy boolean", split)
+    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits array<long>, prefix array<long>, copy boolean", split)
 
 
 def listed(lines: DataFrame) -> DataFrame:
@@ -154,10 +157,10 @@ def listed(lines: DataFrame) -> DataFrame:
             size = np.diff(prefix.offsets.to_numpy())
             at = np.repeat(np.arange(kept.num_rows), size)
             pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            yield {"word": prefix.flatten(), **{c: kept.column(c).to_numpy()[at] for c in ("doc_id", "line", "m")}, "pos": pos.astype(np.int32), "bits": kept.column("bits").to_numpy()[at]}
+            yield {"word": prefix.flatten(), **{c: kept.column(c).to_numpy()[at] for c in ("doc_id", "line", "m")}, "pos": pos.astype(np.int32), "bits": pa.ListArray.from_arrays(np.arange(0, 4 * len(at) + 1, 4, dtype=np.int32), kept.column("bits").flatten().to_numpy().reshape(-1, 4)[at].ravel())}
 
     rows = lines.filter(~F.col("copy") & (F.size("prefix") > 0)).select("lo", "hi", "m", "doc_id", "line", "bits", "prefix")
-    return per_task(rows.repartition("lo").sortWithinPartitions("lo", "hi", "m", "doc_id", "line"), "word long, doc_id long, line int, m int, pos int, bits long", firsts)
+    return per_task(rows.repartition("lo").sortWithinPartitions("lo", "hi", "m", "doc_id", "line"), "word long, doc_id long, line int, m int, pos int, bits array<long>", firsts)
 
 
 class LineLists(SortedLists):
@@ -167,10 +170,14 @@ class LineLists(SortedLists):
         super().__init__(hubs, kept)
         self.percent = percent
 
+    def column(self, batch, name: str) -> np.ndarray:
+        # unsigned: of a signed number bitwise_count would count the absolute value's bits
+        return batch.column(name).flatten().to_numpy().view(np.uint64).reshape(-1, 4) if name == "bits" else super().column(batch, name)
+
     def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs (i, j) can reach the threshold, and how many bits they differ in."""
         p, m, n = self.percent, x["m"][i].astype(np.int64), x["m"][j].astype(np.int64)
-        apart = np.bitwise_count((x["bits"][i] ^ x["bits"][j]).view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's
+        apart = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1).astype(np.int64)
         places = np.minimum(m - x["pos"][i], n - x["pos"][j])
         return (m * 100 >= p * n) & (n * 100 >= p * m) & (places * (100 + p) >= p * (m + n)) & (apart * (100 + p) <= (100 - p) * (m + n)), apart
 
@@ -234,7 +241,7 @@ def _joined(lines: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     m, n = F.col("m"), F.col("m2")
     lengths = (m * 100 >= percent * n) & (n * 100 >= percent * m)
     places = F.least(m - F.col("pos"), n - F.col("pos2")) * (100 + percent) >= percent * (m + n)
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) * (100 + percent) <= (100 - percent) * (m + n)
+    apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits2"), F.lit(i)))) for i in range(4)), F.lit(0)) * (100 + percent) <= (100 - percent) * (m + n)
     return later.join(earlier, "word").filter((F.col("earlier") < F.col("at")) & lengths & places & apart).select("at", "earlier").distinct()
 
 
