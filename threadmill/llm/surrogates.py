@@ -6,7 +6,8 @@ the entity's canonical form alone, so all mentions of an entity, in whatever for
 same one (coreference); it is laid into the mention's own format: digits stand where digits stood, letters keep their
 case and script, card numbers keep their first digit and are valid under the Luhn check, names keep gender and script.  Surrogates are checked:
 where two entities of a type drew the same one, or one that is itself an entity found, all but the first draw again,
-until all are distinct.
+until all are distinct.  An entity whose format has none left (or nothing to draw) gets a keyed digest instead, which
+leaves the format but is distinct too.
 
 Only built-in functions.  Defined results: null text stays null with 0 entities; text without entities is unchanged;
 repeated rows are rewritten alike; an empty table gives an empty result.
@@ -27,7 +28,7 @@ _TITLES = "|".join(sorted(MALE + FEMALE, key=len, reverse=True))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d])",
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -108,23 +109,33 @@ def surrogate(kind: Column, canon: Column, key: Column, attempt: Column) -> Colu
     )
 
 
+def last_resort(kind: Column, canon: Column, key: Column) -> Column:
+    """A replacement where the format has no free one: a keyed digest of 256 bits, so distinct from all others."""
+    digest = F.sha2(F.concat_ws("|", key, F.lit("last resort"), kind, canon), 256)
+    mail = F.concat(F.substring(digest, 1, 32), F.lit("@"), F.substring(digest, 33, 32), F.regexp_extract(canon, r"(\.[^.]*)$", 1))
+    return F.when(kind == "email", mail).when(kind == "secret", digest).otherwise(F.concat(kind, F.lit("-"), digest))
+
+
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """Distinct surrogates for distinct (kind, canon): kind, canon, new.  Draws are repeated for all but the first of those
-    that collide with each other or with a real entity; each round touches only what is still open."""
+    that collide with each other or with a real entity; each round touches only what is still open.  What has nothing to
+    draw, and what is open after the rounds, gets its last resort."""
     keyed = F.lit(key)
     real = entities.select("kind", F.regexp_replace("canon", "^[fm]:", "").alias("new")).distinct()
-    done, open_ = None, entities.select("kind", "canon")
+    fixed = (F.col("kind") == "email") & ~F.regexp_replace("canon", r"\.[^.]*$", "").rlike("[A-Za-z0-9]")
+    resort = lambda df: df.select("kind", "canon", last_resort(F.col("kind"), F.col("canon"), keyed).alias("new"))
+    done, open_ = resort(entities.filter(fixed)), entities.filter(~fixed).select("kind", "canon")
     for attempt in range(ROUNDS):
         drawn = open_.withColumn("new", surrogate(F.col("kind"), F.col("canon"), keyed, F.lit(attempt)))
         low = drawn.withColumn("plain", F.when(F.col("kind") == "person", F.lower("new")).otherwise(F.col("new")))
-        taken = real if done is None else real.union(done.select("kind", "new"))
+        taken = real.union(done.select("kind", "new"))
         free = low.join(taken.select("kind", F.when(F.col("kind") == "person", F.lower("new")).otherwise(F.col("new")).alias("plain")).distinct(), ["kind", "plain"], "left_anti")
         first = free.groupBy("kind", "plain").agg(F.min("canon").alias("canon"), F.min_by("new", "canon").alias("new")).select("kind", "canon", "new")
-        done = cut(first if done is None else done.union(first))
+        done = cut(done.union(first))
         open_ = cut(open_.join(done, ["kind", "canon"], "left_anti"))
         if open_.isEmpty():
             return done
-    raise ValueError("a format has too few surrogates for its entities")
+    return done.union(resort(open_))
 
 
 def _laid(kind: Column, mention: Column, new: Column) -> Column:
@@ -135,7 +146,8 @@ def _laid(kind: Column, mention: Column, new: Column) -> Column:
     name = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
     cased = F.when((name == F.upper(name)) & (F.length(name) > 1), F.upper(new)).otherwise(new)
     mail = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(new)).otherwise(new)
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", spaced).when(kind == "person", F.concat(title, cased)).when(kind == "email", mail).otherwise(new)
+    fits = F.length(new) < 64  # a last resort is laid as it is
+    return F.when(fits & kind.isin("card", "phone", "ssn"), digits).when(fits & (kind == "iban"), spaced).when(kind == "person", F.concat(title, cased)).when(kind == "email", mail).otherwise(new)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
