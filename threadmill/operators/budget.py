@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadmill.functions.text import tail_slice
 
@@ -31,21 +33,28 @@ def tail_budget(rows: DataFrame, budget: int, block: str, separator: int = 1, ke
     return used.withColumn(block, cut).filter(fits | ((F.col("__n") == 1) & F.col(block).isNotNull())).drop("__cost", "__used", "__n")
 
 
-def greedy_admission(rows: DataFrame, max_bytes: int, length: str, head: int = 1, key: str = "session_id", seq: str = "seq", cap: int = 1000) -> DataFrame:
-    """(key, seq, admitted): a record is admitted if the bytes so far, a comma, its length and the closing bracket fit; a
-    smaller one may be after one that did not.  The outcome depends on the path, so a fold goes over each session's
-    records; a report has `cap` records at most (its page), which bounds the array."""
-    one = rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(seq))).filter(F.col("__n") <= cap)
-    state = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(length).cast("long").alias("len"))))
-    zero = F.struct(F.lit(head).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<seq:bigint,admitted:boolean>>").alias("out"))
+def greedy_admission(rows: DataFrame, max_bytes: int, length: str, head: int = 1, key: str = "session_id", seq: str = "seq") -> DataFrame:
+    """(key, seq, admitted) of every record: it is admitted if the bytes so far, a comma, its length and the closing bracket
+    fit; a smaller one may be after one that did not.  The outcome depends on the path, so a fold reads each session's
+    records in order; its state (bytes and whether any was admitted) is carried from batch to batch, so a session may be
+    of any length.  A null length is neither admitted nor refused."""
+    read = rows.select(key, F.col(seq).cast("long").alias(seq), F.col(length).cast("long").alias("__len")).repartition(key).sortWithinPartitions(key, seq)
+    schema = T.StructType([*read.schema[:2], T.StructField("admitted", T.BooleanType())])
 
-    def step(acc, x):
-        comma = F.when(acc["n"] > 0, 1).otherwise(0)
-        ok = acc["used"] + comma + x["len"] + 1 <= max_bytes
-        return F.struct((acc["used"] + F.when(ok, comma + x["len"]).otherwise(F.lit(0))).cast("long").alias("used"), (acc["n"] + ok.cast("int")).alias("n"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("long").alias("seq"), ok.alias("admitted")))).alias("out"))
+    def fold(batches):
+        now, used, some = object(), head, False
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, used, some = k, head, False
+                ok = None if n is None else used + some + n + 1 <= max_bytes
+                if ok:
+                    used, some = used + some + n, True
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=schema.names)
 
-    folded = one.groupBy(key).agg(F.aggregate(state, zero, step, lambda a: a["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.seq").alias(seq), "o.admitted")
+    return read.mapInArrow(fold, schema)
 
 
 def capped_text(text: str, max_bytes: int) -> tuple[str, bool]:
