@@ -231,6 +231,13 @@ def search_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(text.fragment("text", F.lit("License the"))).alias("fragment"))
 
 
+@_query()
+def search_fragment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments around the first hit of all documents that have one, whatever their bytes."""
+    d = table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("license")) | F.contains(F.lower("text"), F.lit("the")))
+    return d.select("doc_id", F.md5(text.fragment("text", F.lit("License the"))).alias("fragment"))
+
+
 @_query("""
 SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) FILTER (role = 'user') AS user, count(*) FILTER (role = 'assistant') AS assistant, count(*) FILTER (role = 'tool') AS tool, 0::BIGINT AS thinking,
   CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars, CAST(sum(strlen(coalesce(text, '')) // 4) AS BIGINT) AS tokens_est FROM conversations GROUP BY conv_id
