@@ -2,11 +2,14 @@
 
 Words are gathered into units: the `members` most frequent training words are units of their own, every other word
 belongs to the unit of its ending.  Exchange clustering moves units between classes while that raises the likelihood of
-the class bigrams of the whole training text.  A text's probability is the product over its tokens of
-P(class | class before) and P(word | class), both additively smoothed; each class keeps one share for an unseen word.
+the class bigrams of the whole training text.  Then every other training word is exchanged by itself, in one batch: from
+the counts of the classes before and after it, it goes where its tokens are likeliest with the classes held fixed.  Only
+a word that training has not seen keeps its ending's class.  Class bigrams are counted again under the final classes.  A
+text's probability is the product over its tokens of P(class | class before) and P(word | class), both additively
+smoothed; each class keeps one share for an unseen word.
 
 All counts cover all training documents.  The `head` most frequent words are known to every task; the other words of a
-text are looked up in an equi-join with the table of counts.
+text are looked up in an equi-join with the table of words, their counts and classes, which grows with the input.
 
 Defined results: null text is empty and has its end token only; repeated rows are scored alike; a null doc_id counts as
 any other id; without training documents every count is 0 and all words are unknown; an empty table gives an empty result.
@@ -21,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import cut, most_frequent, per_task, utf8, xxh
+from threadmill.llm.common import cut, most_frequent, per_batch, per_task, utf8, xxh
 
 HEAD, MEMBERS, ENDINGS, CLASSES, SWEEPS = 1 << 16, 384, 128, 24, 6
 #: Stands for the end of a document; no word holds a space.
@@ -112,21 +115,116 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return of
 
 
+class Classes(dict):
+    """The class of a word: of the head words as given, of any other that of its ending."""
+
+    def __init__(self, known: dict[bytes, int], of: np.ndarray):
+        super().__init__(known)
+        self.ending = of[-ENDINGS:].tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        return self.ending[xxh(word[-3:]) % ENDINGS]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint8, len(words))
+
+
+def contexts(docs: DataFrame, members: list[bytes], of: np.ndarray, classes: int) -> DataFrame:
+    """(word, slot, n) of the words of `docs` that are no members: how often which class stands before (its number) and
+    after (its number and `classes`), as packed bytes and ints; each task hands on a row per word and time at most."""
+
+    def count(batches):
+        known = Classes({END: int(of[0])} | {w: int(of[i + 1]) for i, w in enumerate(members)}, of)
+        apart = {END, *members}
+        ids: dict[bytes, int] = {}
+        waiting, held = [], 0
+
+        def handed():
+            code, n = np.unique(np.concatenate(waiting), return_counts=True)
+            word, slot = np.divmod(code, 2 * classes)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            ends, names = np.append(starts[1:], len(word)).tolist(), list(ids)
+            s, c = slot.astype(np.uint8).tobytes(), n.astype(np.int32).tobytes()
+            cuts = list(zip(starts.tolist(), ends, strict=True))
+            return {"word": [names[i] for i in word[starts].tolist()], "slot": [s[a:b] for a, b in cuts], "n": [c[4 * a : 4 * b] for a, b in cuts]}
+
+        for batch in batches:
+            for text in utf8(batch):
+                words = tokens(text)
+                c = known.of(words).astype(np.int64)
+                before, after = np.concatenate([[of[0]], c[:-1]]), np.concatenate([c[1:], [of[0]]])
+                word = np.fromiter((-1 if w in apart else ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+                at = word >= 0
+                if at.any():
+                    waiting += [word[at] * (2 * classes) + before[at], word[at] * (2 * classes) + classes + after[at]]
+                    held += 2 * int(at.sum())
+                if held > 1_000_000 or len(ids) > HELD:
+                    yield handed()
+                    ids.clear()
+                    waiting, held = [], 0
+        if held:
+            yield handed()
+
+    return per_task(docs.select("text"), "word string, slot binary, n binary", count)
+
+
+def exchanged(seen: DataFrame, g: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(word, c, cls): each word of `seen` (contexts) in the class in which its tokens are likeliest, the class bigrams g
+    held fixed; its ending's class if that is as good."""
+    classes = len(g)
+    t = np.log((g + 0.5) / (g + 0.5).sum(1, keepdims=True))
+    gain, cost = np.concatenate([t, t.T]), np.log(g.sum(0) + 1)
+
+    def choose(batches):
+        known, last, rest = Classes({}, of), None, np.zeros(2 * classes)
+
+        def chosen(words, m):
+            c = m[:, :classes].sum(1)
+            value = m @ gain - c[:, None] * cost
+            value[:, 0] = -np.inf
+            now, best = known.of(words).astype(np.int64), value.argmax(1)
+            row = np.arange(len(words))
+            stays = value[row, now] >= value[row, best] - 1e-9
+            return {"word": words, "c": c.astype(np.int64), "cls": np.where(stays, now, best).astype(np.int32)}
+
+        for batch in batches:
+            words, slots, counts = utf8(batch, "word"), utf8(batch, "slot"), utf8(batch, "n")
+            if last is not None:
+                words, slots, counts = [last, *words], [b"", *slots], [b"", *counts]
+            new = np.array([True, *(a != b for a, b in zip(words, words[1:], strict=False))])
+            nth = np.cumsum(new) - 1
+            k = int(nth[-1]) + 1
+            cell = np.repeat(nth, [len(x) for x in slots]) * (2 * classes) + np.frombuffer(b"".join(slots), np.uint8)
+            m = np.bincount(cell, np.frombuffer(b"".join(counts), np.int32), k * 2 * classes).reshape(k, -1)
+            if last is not None:
+                m[0] += rest
+            words = [words[i] for i in np.flatnonzero(new).tolist()]
+            if k > 1:
+                yield chosen(words[:-1], m[:-1])
+            last, rest = words[-1], m[-1].copy()
+        if last is not None:
+            yield chosen([last], rest[None])
+
+    return per_task(seen.repartition("word").sortWithinPartitions("word"), "word string, c long, cls int", choose)
+
+
 @dataclass
 class Model:
     head: dict[bytes, int]
-    members: list[bytes]
+    classes: dict[bytes, int]  # of the head words
     of: np.ndarray
-    transition: np.ndarray  # log10 P(class | class before)
-    share: np.ndarray  # log10 of a class's tokens and shares: emission is log10(c + 1) - share
+    distinct: np.ndarray  # training words of each class
     n: int
     v: int
 
 
-def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, members: int = MEMBERS, classes: int = CLASSES) -> Model:
-    """The model from all of `docs` and their `counts`; the driver holds `head` words and the units' bigram counts."""
+def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, members: int = MEMBERS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
+    """The words' classes from all of `docs` and their `counts`, and (word, c, cls) of all words that are no members; the
+    driver holds `head` words and the units' bigram counts."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words = most_frequent(counts, head)
+    if END not in words:  # where the head is very small
+        words |= {END: r["c"] for r in counts.filter(F.col("word") == END.decode()).collect()}
     chosen = [w for w in words if w != END][:members]
     size = len(chosen) + 1 + ENDINGS
 
@@ -150,20 +248,34 @@ def fit(docs: DataFrame, counts: DataFrame, head: int = HEAD, members: int = MEM
         bigrams[r["cell"]] = r["n"]
     bigrams = bigrams.reshape(size, size)
 
-    def kinds(batches):
-        unit, n = Units(chosen), np.zeros(size, np.int64)
-        for batch in batches:
-            n += np.bincount(unit.of(utf8(batch, "word")), minlength=size)
-        yield {"unit": np.arange(size, dtype=np.int32), "v": n}
-
-    distinct = np.zeros(size)
-    for r in per_task(counts.select("word"), "unit int, v long", kinds).groupBy("unit").agg(F.sum("v").alias("v")).toLocalIterator():
-        distinct[r["unit"]] = r["v"]
     of = exchange(bigrams, classes)
     hot = np.eye(classes)[of]
-    t = hot.T @ bigrams @ hot + 0.5
-    share = hot.T @ (bigrams.sum(0) + distinct) + 1
-    return Model(words, chosen, of, np.log10(t / t.sum(1, keepdims=True)), np.log10(share), totals["n"], totals["v"])
+    table = cut(exchanged(contexts(docs, chosen, of, classes), hot.T @ bigrams @ hot, of))
+    known = {END: int(of[0])} | {w: int(of[i + 1]) for i, w in enumerate(chosen)}
+    distinct = np.bincount([known[w] for w in words if w in known], minlength=classes).astype(float)
+    for r in table.groupBy("cls").agg(F.count("*").alias("v")).collect():
+        distinct[r["cls"]] += r["v"]
+    if words:  # the head is all words of its lowest count or more
+        known |= {w: r["cls"] for r in table.filter(F.col("c") >= min(words.values())).collect() if (w := r["word"].encode()) in words}
+    return Model(words, known, of, distinct, totals["n"], totals["v"]), table
+
+
+def class_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
+    """Bigram counts of the classes over the training rows of `resolved`."""
+
+    def count(batches):
+        n = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for seq, copies in zip(utf8(batch, "cls"), batch.column("copies").to_pylist(), strict=True):
+                c = np.frombuffer(seq, np.uint8).astype(np.int64)
+                n += copies * np.bincount(np.concatenate([[0], c[:-1]]) * classes + c, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield {"cell": at.astype(np.int32), "n": n[at]}
+
+    g = np.zeros(classes * classes)
+    for r in per_task(resolved.filter("not held_out").select("cls", "copies"), "cell int, n long", count).groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        g[r["cell"]] = r["n"]
+    return g.reshape(classes, classes)
 
 
 def score_texts(docs: DataFrame, held_out: Column, head: int = HEAD, members: int = MEMBERS, classes: int = CLASSES) -> DataFrame:
@@ -172,44 +284,68 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = HEAD, members: in
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out"))
     train = rows.filter(~F.col("held_out"))
     counts = cut(count_words(train))
-    model = fit(train, counts, head, members, classes)
+    model, table = fit(train, counts, head, members, classes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ("key", "doc_id", "digest", "tf", "pos", "held_out", "n_tokens", "n_known", "logs", "cls")
 
     def read(batches):
         m = shared.value
-        unit, logs = Units(m.members), {w: float(np.log10(c + 1)) for w, c in m.head.items()}
+        known, logs = Classes(m.classes, m.of), {w: float(np.log10(c + 1)) for w, c in m.head.items()}
+        out = {k: [] for k in names}
         for batch in batches:
-            out = {k: [] for k in ("key", "doc_id", "digest", "tf", "held_out", "n_tokens", "n_known", "logs", "model")}
             flags = zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), utf8(batch), strict=True)
             for doc_id, held, text in flags:
                 words = tokens(text)
-                cls = m.of[unit.of(words)]
-                tail: Counter[bytes] = Counter()
                 got = [logs.get(w) for w in words]
+                tail: dict[bytes, list[int]] = {}
                 if None in got:
-                    tail.update(w for w, x in zip(words, got, strict=True) if x is None)
-                known = [x for x in got if x is not None]
-                fixed = float(m.transition[np.concatenate([[0], cls[:-1]]), cls].sum() - m.share[cls].sum())
-                digest = (xxh(text) >> 1)
-                row = [(END + str(doc_id).encode(), 0, len(words), len(known), sum(known), fixed), *((w, k, 0, 0, 0.0, 0.0) for w, k in tail.items())]
-                key, tf, n, n_known, ls, fx = zip(*row, strict=True)
-                for name, values in zip(out, (key, [doc_id] * len(row), [digest] * len(row), tf, [held] * len(row), n, n_known, ls, fx), strict=True):
+                    for i, x in enumerate(got):
+                        if x is None:
+                            tail.setdefault(words[i], []).append(i)
+                seen = [x for x in got if x is not None]
+                row = [(END + str(doc_id).encode(), 0, b"", len(words), len(seen), sum(seen), known.of(words).tobytes()), *((w, len(at), np.array(at, np.int32).tobytes(), 0, 0, 0.0, None) for w, at in tail.items())]
+                key, tf, pos, n, n_known, ls, cls = zip(*row, strict=True)
+                digest = xxh(text) >> 1
+                for name, values in zip(names, (key, [doc_id] * len(row), [digest] * len(row), tf, pos, [held] * len(row), n, n_known, ls, cls), strict=True):
                     out[name].extend(values)
-                if len(out["key"]) > 100_000:
+                if len(out["key"]) > 30_000:
                     yield out
-                    out = {k: [] for k in out}
-            if out["key"]:
-                yield out
-
-    flat = per_task(rows, "key string, doc_id long, digest long, tf int, held_out boolean, n_tokens long, n_known long, logs double, model double", read)
+                    out = {k: [] for k in names}
+        if out["key"]:
+            yield out
+
+    def fill(batch):
+        """The classes of the texts' tokens, those looked up put in place."""
+        seqs, found = utf8(batch, "cls"), batch.column("found")
+        size = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        ends = np.cumsum(size)
+        c = np.frombuffer(b"".join(seqs), np.uint8).copy()
+        pos = found.flatten().field("pos").to_pylist()
+        times = np.fromiter(map(len, pos), np.int64, len(pos)) // 4
+        first = np.repeat(ends - size, found.value_lengths().to_numpy())
+        c[np.repeat(first, times) + np.frombuffer(b"".join(pos), np.int32)] = np.repeat(found.flatten().field("of").to_numpy(), times)
+        done, ends = c.tobytes(), ends.tolist()
+        return {**{k: batch.column(k) for k in batch.schema.names if k not in ("cls", "found")}, "cls": [done[e - n : e] for e, n in zip(ends, size.tolist(), strict=True)]}
+
+    flat = per_task(rows, "key string, doc_id long, digest long, tf int, pos binary, held_out boolean, n_tokens long, n_known long, logs double, cls binary", read)
     c = F.when(F.col("tf") > 0, F.col("c"))
-    each = flat.join(counts.withColumnRenamed("word", "key"), "key", "left").groupBy("doc_id", "digest", "held_out").agg(
+    each = flat.join(table.select(F.col("word").alias("key"), "c", F.col("cls").alias("of")), "key", "left").groupBy("doc_id", "digest", "held_out").agg(
         F.sum((F.col("tf") == 0).cast("int")).alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(c.isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("logs") + F.coalesce(F.col("tf") * F.log10(c + 1), F.lit(0.0))).alias("logs"), F.sum("model").alias("model"),
+        F.sum(F.col("logs") + F.coalesce(F.col("tf") * F.log10(c + 1), F.lit(0.0))).alias("logs"), F.max("cls").alias("cls"), F.collect_set(F.when(c.isNotNull(), F.struct("pos", "of"))).alias("found"),
     )
+    resolved = cut(per_batch(each.select("doc_id", "held_out", "copies", "n_tokens", "n_known", "logs", "cls", "found"), "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, logs double, cls binary", fill))
+    g = class_bigrams(resolved, classes)
+    transition = np.log10((g + 0.5) / (g + 0.5).sum(1, keepdims=True))
+    chance = transition - np.log10(g.sum(0) + model.distinct + 1)  # of a class after another, over its tokens and shares
+
+    def judge(batch):
+        seqs = (np.frombuffer(x, np.uint8) for x in utf8(batch, "cls"))
+        return {**{k: batch.column(k) for k in batch.schema.names if k != "cls"}, "model": [float(chance[np.concatenate([[0], x[:-1]]).astype(np.int64), x].sum()) for x in seqs]}
+
+    judged = per_batch(resolved, "doc_id long, held_out boolean, copies long, n_tokens long, n_known long, logs double, model double", judge)
     share = lambda x: F.col(x) / F.col("copies")
     n_tokens, logs = share("n_tokens").cast("long"), share("logs")
     base = logs - n_tokens * float(np.log10(model.n + model.v + 1))
-    score = logs + share("model")
-    out = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    score = logs + F.col("model")
+    out = judged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "held_out", n_tokens.alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / n_tokens).alias("perplexity"))
