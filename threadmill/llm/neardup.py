@@ -3,7 +3,8 @@
 1. Documents with the same shingle set form a class; its smallest doc_id stands for it.
 2. A class's sketch is the k smallest hashes of its shingles.  The inverted list of a retained value holds the classes
    whose sketch has it.  Two classes at the threshold share at least `need` retained values (exactly so for sets that fit
-   in the sketch, else but for a chance of about 3e-6), so it is enough to list a class under the rarest
+   in the sketch, else but for a chance, in a review's simulation of equal sets at the threshold, of 3e-5 at 900 shingles
+   and 6e-5 at 9,000), so it is enough to list a class under the rarest
    k - need + 1 of its values: very common shingles then need no list.
 3. Each list is read in the order of its members, those with the most shared values first, and every member is compared
    with the earlier ones: sizes, what is left behind the shared value in both orders, and a parity bitmap of the sketch
@@ -126,19 +127,20 @@ def _components(classes: DataFrame, docs: DataFrame, k: int, percent: int, sketc
     found = cut(per_task(read, "rep long, earlier_rep long, rank int, more boolean", reader.read))
     pairs = found.filter("rank >= 0").select(F.least("rep", "earlier_rep").alias("a"), F.greatest("rep", "earlier_rep").alias("b"), "rank").groupBy("a", "b").agg(F.min("rank").alias("rank"))
     close = _estimated(cut(pairs), classes.select("rep", "n_shingles", "sketch"), sketch, percent)
-    if close.isEmpty():
-        return None
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).union(found.filter("more").select("rep")).distinct()
-    some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(ids), "bit", "left_semi")
-    texts = cut(some.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
-    comp = _joined_to(None, _verify(close.filter("rank < 2"), texts, k, percent))
-    rest = cut(_apart(close.filter("rank >= 2").select("a", "b"), comp))
-    if not rest.isEmpty():
-        comp = _joined_to(comp, _verify(rest, texts, k, percent))
+    comp = None
+    if not close.isEmpty():
+        ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).union(found.filter("more").select("rep")).distinct()
+        some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(ids), "bit", "left_semi")
+        texts = cut(some.join(ids, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
+        comp = _joined_to(None, _verify(close.filter("rank < 2"), texts, k, percent))
+        rest = cut(_apart(close.filter("rank >= 2").select("a", "b"), comp))
+        if not rest.isEmpty():
+            comp = _joined_to(comp, _verify(rest, texts, k, percent))
     # members whose candidates were not all kept meet what their lists hold of other components
     beyond = lists.join(found.filter("more").select("rep").distinct(), "rep", "left_semi")
     if not found.filter("more").isEmpty():
-        labelled = lambda df: df.join(comp, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root", "order")
+        known = docs.sparkSession.createDataFrame([], "node long, root long") if comp is None else comp
+        labelled = lambda df: df.join(known, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root", "order")
         other = labelled(lists).withColumnsRenamed({"rep": "rep2", "n_shingles": "n2", "rest": "rest2", "comp": "comp2", "bits": "bits2"})
         size = lambda n: F.least(F.col(n), F.lit(sketch))
         differ = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits2"), F.lit(i)))) for i in range(4)), F.lit(0))
