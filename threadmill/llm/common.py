@@ -135,3 +135,175 @@ def near_ids(ids: DataFrame, bits: int = 20) -> DataFrame:
 
 def id_bit(doc_id: Column, bits: int = 20) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(1 << bits)).cast("int")
+
+
+# ---- words of many texts at once ----
+_BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * MIX)
+_LOWER = _BYTE.copy()
+_LOWER[65:91] = _BYTE[97:123]
+#: Bytes of text that are split at once.
+LOT = 1 << 18
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `n` powers of ROLL and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 2 * LOT)
+        both = []
+        for base in (int(ROLL), pow(int(ROLL), -1, 1 << 64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        if size > 2 * LOT:  # one very long word: not kept
+            return both[0], both[1]
+        _powers[:] = both
+    return _powers[0], _powers[1]
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte behind the last) of all words of the texts that stand one after the other in `buf` and begin at `starts`.  A word is
+    a run of bytes other than ASCII white space; its hash is a polynomial in its bytes (A-Z as a-z if `lower`), taken from
+    running sums and mixed, so no word is handled by itself."""
+    n, table, found = len(buf), _LOWER if lower else _BYTE, []
+    at = 0
+    while at < n:
+        end = min(at + LOT, n)
+        while end < n:  # a piece ends at a break, so that no word is cut
+            gaps = np.flatnonzero(blank(buf[at:end]))
+            text = starts[np.searchsorted(starts, end, "right") - 1]
+            back = max(at + int(gaps[-1]) + 1 if len(gaps) else at, int(text))
+            if back > at:
+                end = back
+                break
+            end = min(n, at + 2 * (end - at))
+        piece = buf[at:end]
+        solid = ~blank(piece)
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
+        inner = starts[np.searchsorted(starts, at, "right") : np.searchsorted(starts, end)] - at
+        first[inner] = solid[inner]
+        last[inner - 1] = solid[inner - 1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last)
+        if len(s):
+            up, down = powers(len(piece))
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(table.take(piece) * up[: len(piece)], out=total[1:])
+            found.append((scramble((total.take(e + 1) - total.take(s)) * down.take(s)), s + at, e + (at + 1)))
+        at = end
+    if len(found) == 1:
+        return found[0]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def blank(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return (buf == 32) | (buf - np.uint8(9) <= 4)
+
+
+def bytes_of(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, and where each row's begin (one more: the end); null counts as empty."""
+    col = batch.column(name)
+    col = col.cast(pa.large_binary())
+    if col.null_count:
+        col = col.fill_null(b"")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def lots(batch: pa.RecordBatch, name: str = "text", most: int = LOT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row behind the last, bytes, where each row's begin and the end) of a string column, in lots of about
+    `most` bytes or of one row."""
+    data, offsets = bytes_of(batch, name)
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        low = high
+
+
+def sum_cells(df: DataFrame, cells: int, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], parts: int = 16) -> np.ndarray:
+    """The sum of the arrays of `cells` counts that `count` makes of each task's batches.  The counts travel in parts, a row
+    per task and part, and the driver gets the sums alone."""
+
+    def send(batches):
+        n = np.zeros(-(-cells // parts) * parts, np.int64)
+        n[:cells] = count(batches)
+        if n.any():
+            yield {"part": np.arange(parts, dtype=np.int32), "n": [p.tobytes() for p in n.reshape(parts, -1)]}
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                n = np.frombuffer(n, np.int64)
+                total[part] = total[part] + n if part in total else n
+        if total:
+            yield {"part": np.array(list(total), np.int32), "n": [n.tobytes() for n in total.values()]}
+
+    found = np.zeros((parts, -(-cells // parts)), np.int64)
+    for r in per_task(per_task(df, "part int, n binary", send).repartition("part"), "part int, n binary", add).collect():
+        found[r["part"]] += np.frombuffer(r["n"], np.int64)
+    return found.ravel()[:cells]
+
+
+def mark_cells(df: DataFrame, cells: int, cells_of: Callable[[pa.RecordBatch], np.ndarray], parts: int = 16) -> np.ndarray:
+    """Which of `cells` (a power of two) the rows of `df` fall into, as packed bits."""
+
+    def send(batches):
+        flags = np.zeros(cells, bool)
+        for batch in batches:
+            flags[cells_of(batch)] = True
+        if flags.any():
+            yield {"part": np.arange(parts, dtype=np.int32), "bits": [p.tobytes() for p in np.packbits(flags).reshape(parts, -1)]}
+
+    def join(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, bits in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                bits = np.frombuffer(bits, np.uint8)
+                total[part] = total[part] | bits if part in total else bits
+        if total:
+            yield {"part": np.array(list(total), np.int32), "bits": [b.tobytes() for b in total.values()]}
+
+    out = np.zeros((parts, cells // 8 // parts), np.uint8)
+    for r in per_task(per_task(df, "part int, bits binary", send).repartition("part"), "part int, bits binary", join).collect():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether each of `cells` is marked in the packed `bits`."""
+    return (bits.take(cells >> 3) >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
+class HashIndex:
+    """Where a 64-bit hash stands in `keys` (distinct), or -1: an open table, asked for many hashes at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+        self.keys, self.mask = keys, np.uint64((1 << bits) - 1)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(left):
+            free = self.slot[at] < 0
+            place, first = np.unique(at[free], return_index=True)
+            put = np.flatnonzero(free)[first]
+            self.slot[place] = left[put]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            left, at = left[stay], (at[stay] + 1) & int(self.mask)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(h), -1, np.int32)
+        at = (h & self.mask).astype(np.int64)
+        got = self.slot.take(at)
+        open_ = np.flatnonzero((got >= 0) & (self.keys.take(got) != h))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & int(self.mask)
+            got[open_] = self.slot.take(at[open_])
+            open_ = open_[(got[open_] >= 0) & (self.keys.take(got[open_]) != h[open_])]
+        return got

@@ -3,205 +3,283 @@
 A line is the set of its lower-cased words; lines without words are left alone.  A line is removed if an earlier line,
 in the order of (doc_id, line number), has the same set or a Jaccard similarity of `percent` or more.
 
-1. A first pass ranks words: each task sends its most frequent words, and the sums order the head; all other words are
-   rarer and stand in the order of their hashes.  Any fixed order gives exact results, this one makes lists short.
-2. Each line's words are put in that order.  Lines with one set form a class, of which the first line stands for all.
-   A class of m words is listed under its first m - ceil(t m) + 1 words (prefix filter).
-3. Each list is read in the order of its lines, and every class is compared with the earlier ones.  The length filter, the
-   positional filter and a parity bitmap (a bound of the symmetric difference) leave candidate pairs, which are verified
-   on whole lines: first the nearest by bitmap, then the others of the classes that have not matched.  A class with more
-   candidates than are kept, or far down a very long list, is joined with all earlier members of its lists instead.
-
-Defined results: null text has no lines and stays null; empty text stays empty; repeated rows of a doc_id are one
-document and get the same result; a null doc_id neither removes nor loses lines; a document that loses all its lines
-stays with empty text; an empty table gives an empty result.
+1. A first pass counts words in cells of their hash.  The cells' counts order all words by rarity, words of like counts by
+   hash.  Any fixed order gives exact results, this one makes lists short.
+2. Each line's words are put in that order.  A line of m words is listed under its first m - ceil(t m) + 1 words (prefix
+   filter).  A word in a cell of more than `hot` words is listed together with each later word of the prefix, one word
+   longer: two lines that match and share first a hot word share a second word there.  So a list of one word has `hot`
+   members at most, whatever the corpus.
+3. Postings travel as packed records in buckets.  In each list every line is compared with the earlier ones.  The length
+   filter, the positional filter and a parity bitmap (a bound of the symmetric difference; wider for long lines) leave
+   candidate pairs, which are verified on whole lines: first the nearest by bitmap, then the others of the lines that
+   have not matched.  What of them has more candidates than are kept, or stands far down a list, is then compared with
+   all earlier members of its lists.
+
+Words are told apart by 64-bit hashes up to the verification, which compares the words themselves.  Lines with one set are
+found by a digest of 128 bits; each task passes on a set's first line only, so a line that fills a third of the corpus
+makes a few records of each task.
+
+Defined results: null text has no lines and stays null; empty text stays empty; very long texts and lines are read in
+pieces and compared whole; of lines that tie (equal sets) the first stays; repeated rows of a doc_id are one document and
+get the same result; a null doc_id neither removes nor loses lines; a document that loses all its lines stays with empty
+text; an empty table gives an empty result; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, id_bit, most_frequent, near_ids, per_batch, per_task, scramble, utf8, xxh
-from threadmill.llm.lists import SortedLists
+from threadmill.llm.common import MIX, cut, id_bit, lots, mark_cells, marked, near_ids, per_batch, per_task, scramble, sum_cells, utf8, word_hashes
+from threadmill.llm.lists import HELD, Lists, buckets, dealt, gathered, hot_rank, in_lists, listed, rarity
 
-PERCENT, HEAD = 80, 1 << 16
-#: Earlier classes of a list that a class is compared with as the list is read, and candidates that are kept of them; what is
-#: beyond either is joined.  Lists up to SHORT are compared all at once.
-HUBS, KEPT = 4096, 16
+PERCENT = 80
+#: Cells in which words are counted, and counts above which a word is listed with a second one.
+CELLS, HOT = 1 << 18, 1 << 16
+#: Earlier lines of a list that a line is compared with at first, and candidates that are kept of them.
+HUBS, KEPT = 4096, 4
 #: Sets that a task remembers to tell copies without a shuffle.
 REMEMBERED = 200_000
-#: Places of rare words are below this.  In lists they are told apart by the lower bits of their hash alone; two that fall
-#: together only make a list longer.
-_RARE, _LISTED = 1 << 62, 1 << 44
+#: Lines above this many words have the wide bitmap.
+NARROW = 100
+#: A line of a set, and a line in a list; wide: the rest of its bitmap.
+SET = np.dtype([("lo", "<u8"), ("hi", "<u8"), ("doc_id", "<i8"), ("line", "<i4")])
+PLACE = np.dtype([("word", "<u8"), ("doc_id", "<i8"), ("line", "<i4"), ("m", "<i4"), ("pos", "<i4"), ("bits", "<u8")])
+WIDE = np.dtype([*PLACE.descr, ("rest", "<u8", 3)])
 
 
-def head_words(docs: DataFrame, head: int = HEAD) -> dict[bytes, int]:
-    """The most frequent words, numbered from the rarest; each task sends `head` of its words at most."""
+def word_cells(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
+    """How many words of all texts fall into each cell of the hash."""
 
     def count(batches):
-        n: Counter[bytes] = Counter()
+        n, held, size = np.zeros(cells, np.int64), [], 0
         for batch in batches:
-            for text in utf8(batch):
-                n.update(text.lower().split())
-            if len(n) > 4 * head:
-                n = Counter(dict(heapq.nlargest(2 * head, n.items(), key=lambda x: x[1])))
-        top = heapq.nlargest(head, n.items(), key=lambda x: (x[1], x[0]))
-        if top:
-            yield {"word": [w for w, _ in top], "c": np.array([c for _, c in top], np.int64)}
-
-    counts = per_task(docs.select("text"), "word string, c long", count).groupBy("word").agg(F.sum("c").alias("c"))
-    return {w: i for i, w in enumerate(reversed(most_frequent(cut(counts), head)))}
-
-
-class Order:
-    """Hashes of words, and their places in the order of rarity: rare words by hash, then the head by its numbers."""
-
-    def __init__(self, head: dict[bytes, int]):
-        self.number = {w: i + 1 for w, i in head.items()}
-        self.hash = np.array([0, *(xxh(w) for w in sorted(head, key=head.__getitem__))], np.uint64)
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, place) of each word; one look into the head, and a hash only for what is not in it."""
-        number = self.number.get
-        got = np.fromiter((number(w) or xxh(w) for w in words), np.uint64, len(words))
-        is_head = got < len(self.hash)
-        hashed = np.where(is_head, self.hash[np.where(is_head, got, 0)], got)
-        return hashed, np.where(is_head, got + np.uint64(_RARE), hashed & np.uint64(_RARE - 1)).astype(np.int64)
-
-
-def prefixes(texts: list[tuple[int, bytes]], order: Order, percent: int) -> dict[str, object]:
-    """The rows of class_lines for some documents (doc_id, text)."""
-    flat: list[bytes] = []
-    ids, numbers, sizes = [], [], []
-    for doc_id, text in texts:
-        for i, line in enumerate(text.lower().split(b"\n")):
-            if words := line.split():
-                flat += words
-                ids.append(doc_id)
-                numbers.append(i)
-                sizes.append(len(words))
-    hashed, place = order.of(flat)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    by = np.lexsort((place, of))
-    hashed, place, of = hashed[by], place[by], of[by]
-    new = np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (of[1:] != of[:-1])])
-    hashed, place, of = hashed[new], place[new], of[new]
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    m = np.diff(np.concatenate([starts, [len(of)]]))
-    # a line is listed if one with a word more or less could match it
-    long = np.where((percent < 100) & (m * 100 >= percent * (m + 1)), m - (m * percent + 99) // 100 + 1, 0)
-    inside = np.arange(len(of)) - np.repeat(starts, m) < np.repeat(long, m)
-    offsets = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
-    cell = scramble(hashed) >> np.uint64(56)  # of 256
-    bit = np.uint64(1) << (cell & np.uint64(63))
-    parity = [np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(4)]
-    low = place & (_LISTED - 1) | np.where(place >= _RARE, _LISTED, 0)
-    return {
-        "doc_id": ids, "line": numbers, "m": m.astype(np.int32), "lo": np.add.reduceat(scramble(hashed), starts).view(np.int64), "hi": np.add.reduceat(scramble(hashed ^ MIX), starts).view(np.int64),
-        "bits": pa.ListArray.from_arrays(np.arange(0, 4 * len(starts) + 1, 4, dtype=np.int32), np.stack(parity, 1).ravel().view(np.int64)), "prefix": pa.ListArray.from_arrays(offsets, low[inside]),
-    }
-
-
-def class_lines(docs: DataFrame, order: dict[bytes, int], percent: int = PERCENT) -> DataFrame:
-    """A row per line with words: doc_id, line (from 0), m distinct words, a digest of the set, a parity bitmap of it (256 bits), its
-    prefix in order, and whether the task has seen the set in an earlier line (then the prefix does not matter)."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+            for *_, buf, starts in lots(batch):
+                held.append((word_hashes(buf, starts[:-1])[0] & np.uint64(cells - 1)).astype(np.int64))
+                size += len(held[-1])
+                if size > HELD:
+                    n += np.bincount(np.concatenate(held), minlength=cells)
+                    held, size = [], 0
+        return n + np.bincount(np.concatenate(held), minlength=cells) if held else n
+
+    return sum_cells(docs.select("text"), cells, count)
+
+
+def line_starts(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, first byte) of all lines of the texts of `buf`; a line begins with its text or behind an end of line."""
+    ends = np.flatnonzero(buf == 10)
+    at = np.concatenate([ends + 1, starts])
+    doc = np.concatenate([np.searchsorted(starts, ends, "right") - 1, np.arange(len(starts))])
+    by = np.argsort(at, kind="stable")  # at one place, that of the earlier text comes first
+    doc = doc[by]
+    return doc, np.arange(len(by)) - np.flatnonzero(by >= len(ends))[doc], at[by]
+
+
+class Lines:
+    """The lines with words of some texts, as sets of word hashes in the order of rarity.
+
+    doc: the text's number; line: its number there; m: distinct words; words: their hashes, line by line, from `first`."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, place: np.ndarray):
+        h, s, _ = word_hashes(buf, starts)
+        doc, line, at = line_starts(buf, starts)
+        size = np.diff(np.append(np.searchsorted(s, at), len(s)))
+        full = size > 0
+        self.doc, self.line, size = doc[full], line[full].astype(np.int32), size[full]
+        of = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+        rank = place.take((h & np.uint64(len(place) - 1)).astype(np.int64))
+        key = (of << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
+        order = np.argsort(key)
+        key, sorted_h = key.take(order), h.take(order)
+        same = key[1:] == key[:-1]
+        if len(size) >= 1 << 20 or (same & (sorted_h[1:] != sorted_h[:-1])).any():  # the key is too short to tell all
+            order = np.lexsort((h, rank, of))
+            sorted_h = h[order]
+            same = (sorted_h[1:] == sorted_h[:-1]) & (of[order][1:] == of[order][:-1])
+        new = np.append(np.ones(min(1, len(h)), bool), ~same)
+        self.words, self.rank = sorted_h[new], rank[order][new]
+        self.m = np.bincount(of[order][new].astype(np.int64), minlength=len(size))
+        self.first = np.cumsum(self.m) - self.m
+
+    def __len__(self) -> int:
+        return len(self.m)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.add.reduceat(scramble(self.words), self.first), np.add.reduceat(scramble(self.words ^ MIX), self.first)
+
+    def parity(self) -> np.ndarray:
+        """For each line, 4 x 64 bits: of each cell whether an odd number of its words falls there."""
+        cell = scramble(self.words) >> np.uint64(56)
+        bit, word = np.uint64(1) << (cell & np.uint64(63)), cell >> np.uint64(6)
+        return np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), self.first) for k in range(4)], 1)
+
+    def listed(self, percent: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, list, place in the line) under which the lines are listed; `hot`: the least rank of hot words."""
+        m = self.m
+        long = np.where((percent < 100) & (m * 100 >= percent * (m + 1)), m - (m * percent + 99) // 100 + 1, 0)
+        return listed(self.words, self.rank, self.first, m, long, hot)
+
+
+def postings(docs: DataFrame, place: np.ndarray, percent: int, hot: int, some: np.ndarray | None = None) -> DataFrame:
+    """(bucket, copies, sets, narrow, wide): of each bucket the lines whose set the task had in an earlier line, else their
+    digests, and their places in lists; all packed.  With `some`, marked cells of lists that are wanted, places only."""
+    n = buckets(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shared, least = docs.sparkSession.sparkContext.broadcast((place, some)), hot_rank(hot)
+
+    def deal(held):
+        out: dict[int, list[bytes | None]] = {}
+        for k, (records, by) in enumerate(held):
+            if records:
+                for bucket, packed in dealt(np.concatenate(records), np.concatenate(by), n):
+                    out.setdefault(bucket, [None] * 4)[k] = packed
+        return {"bucket": np.array(list(out), np.int32), **{c: [x[k] for x in out.values()] for k, c in enumerate(("copies", "sets", "narrow", "wide"))}}
 
     def split(batches):
-        rank, lot, held, seen = Order(shared.value), [], 0, {}
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-                if text.strip():
-                    lot.append((doc_id, text))
-                    held += len(text)
-                if held > 1_000_000:
-                    yield told(prefixes(lot, rank, percent), seen)
-                    lot, held = [], 0
-        if lot:
-            yield told(prefixes(lot, rank, percent), seen)
-
-    def told(rows, seen):
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        copy = []
-        for at, *digest in zip(zip(rows["doc_id"], rows["line"], strict=True), rows["m"].tolist(), rows["lo"].tolist(), rows["hi"].tolist(), strict=True):
-            first = seen.setdefault(key := tuple(digest), at)
-            copy.append(first < at)
-            if at < first:
-                seen[key] = at
-        return rows | {"copy": copy}
-
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return per_task(rows, "doc_id long, line int, m int, lo long, hi long, bits array<long>, prefix array<long>, copy boolean", split)
-
-
-def listed(lines: DataFrame) -> DataFrame:
-    """(word, doc_id, line, m, pos, bits): the prefix of each class's first line, a row per word.  A task has left a set's
-    first line at most, so however often a line is repeated, few rows of a class meet here."""
-
-    def firsts(batches):
-        last = None
-        for batch in batches:
-            lo, hi, m = (batch.column(c).to_numpy() for c in ("lo", "hi", "m"))
-            new = np.concatenate([[(int(lo[0]), int(hi[0]), int(m[0])) != last], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (m[1:] != m[:-1])])
-            last = (int(lo[-1]), int(hi[-1]), int(m[-1]))
-            kept = batch.filter(pa.array(new))
-            prefix = kept.column("prefix")
-            size = np.diff(prefix.offsets.to_numpy())
-            at = np.repeat(np.arange(kept.num_rows), size)
-            pos = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            yield {"word": prefix.flatten(), **{c: kept.column(c).to_numpy()[at] for c in ("doc_id", "line", "m")}, "pos": pos.astype(np.int32), "bits": pa.ListArray.from_arrays(np.arange(0, 4 * len(at) + 1, 4, dtype=np.int32), kept.column("bits").flatten().to_numpy().reshape(-1, 4)[at].ravel())}
-
-    rows = lines.filter(~F.col("copy") & (F.size("prefix") > 0)).select("lo", "hi", "m", "doc_id", "line", "bits", "prefix")
-    return per_task(rows.repartition("lo").sortWithinPartitions("lo", "hi", "m", "doc_id", "line"), "word long, doc_id long, line int, m int, pos int, bits array<long>", firsts)
+        place, some = shared.value
+        seen: dict[bytes, tuple[int, int]] = {}
+        held, size = [([], []) for _ in range(4)], 0
 
+        def put(k, records, by):
+            held[k][0].append(records)
+            held[k][1].append(by)
+            return len(records)
 
-class LineLists(SortedLists):
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for low, high, buf, starts in lots(batch):
+                lines = Lines(buf, starts[:-1], place)
+                if not len(lines):
+                    continue
+                doc_id, fresh = ids[low:high][lines.doc], np.ones(len(lines), bool)
+                if some is None:
+                    lo, hi = lines.digests()
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    at = zip(doc_id.tolist(), lines.line.tolist(), strict=True)
+                    for i, (key, place_of) in enumerate(zip(np.stack([lo, hi], 1).view("V16").ravel().tolist(), at, strict=True)):
+                        first = seen.setdefault(key, place_of)
+                        if first < place_of:
+                            fresh[i] = False
+                        elif place_of < first:
+                            seen[key] = place_of
+                    made = np.empty(len(lines), SET)
+                    made["lo"], made["hi"], made["doc_id"], made["line"] = lo, hi, doc_id, lines.line
+                    copy = made[~fresh]
+                    size += put(0, copy, scramble(copy["doc_id"].astype(np.uint64) + MIX)) + put(1, made[fresh], lo[fresh])
+                line, word, pos = lines.listed(percent, least)
+                use = fresh[line] if some is None else marked(some, (word & np.uint64(8 * len(some) - 1)).astype(np.int64))
+                line, word, pos = line[use], word[use], pos[use]
+                bits, wide = lines.parity(), lines.m[line] > NARROW
+                for k, kind, which in ((2, PLACE, ~wide), (3, WIDE, wide)):
+                    at = line[which]
+                    made = np.empty(len(at), kind)
+                    made["word"], made["doc_id"], made["line"], made["m"], made["pos"] = word[which], doc_id[at], lines.line[at], lines.m[at], pos[which]
+                    made["bits"] = np.bitwise_xor.reduce(bits, 1)[at]
+                    if k == 3:
+                        made["rest"] = bits[at, 1:]
+                    size += put(k, made, word[which] >> np.uint64(20))
+                if size > HELD:
+                    yield deal(held)
+                    held, size = [([], []) for _ in range(4)], 0
+        if size:
+            yield deal(held)
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return per_task(rows, "bucket int, copies binary, sets binary, narrow binary, wide binary", split)
+
+
+class LineLists(Lists):
     """Lists of lines; the earlier line comes first."""
 
     def __init__(self, percent: int, hubs: int, kept: int):
         super().__init__(hubs, kept)
         self.percent = percent
 
-    def column(self, batch, name: str) -> np.ndarray:
-        # unsigned: of a signed number bitwise_count would count the absolute value's bits
-        return batch.column(name).flatten().to_numpy().view(np.uint64).reshape(-1, 4) if name == "bits" else super().column(batch, name)
-
     def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs (i, j) can reach the threshold, and how many bits they differ in."""
-        p, m, n = self.percent, x["m"][i].astype(np.int64), x["m"][j].astype(np.int64)
-        apart = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(1).astype(np.int64)
-        places = np.minimum(m - x["pos"][i], n - x["pos"][j])
-        return (m * 100 >= p * n) & (n * 100 >= p * m) & (places * (100 + p) >= p * (m + n)) & (apart * (100 + p) <= (100 - p) * (m + n)), apart
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(at) of the later lines of `pairs` (at, earlier) that reach the threshold; at and earlier: (doc_id, line)."""
-    need = pairs.select(F.explode(F.array("at", "earlier")).alias("x")).distinct().groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_set("x.line").alias("lines"))
+        p, m, n = self.percent, x["m"].take(i), x["m"].take(j)
+        apart = np.bitwise_count(x["bits"].take(i) ^ x["bits"].take(j)).astype(np.int64)
+        ok = (apart * (100 + p) <= (100 - p) * (m + n)) & (m * 100 >= p * n) & (n * 100 >= p * m)
+        left = np.flatnonzero(ok)
+        i, j, both = i[left], j[left], (m + n)[left]
+        places = np.minimum(m[left] - x["pos"].take(i), n[left] - x["pos"].take(j))
+        ok[left] = (places * (100 + p) >= p * both) & ((x["doc_id"].take(i) != x["doc_id"].take(j)) | (x["line"].take(i) != x["line"].take(j)))
+        far = np.flatnonzero(ok[left] & (x["at"].take(i) >= 0) & (x["at"].take(j) >= 0))
+        if len(far):
+            i, j = i[far], j[far]
+            differ = x["rest"][x["at"][i]] ^ x["rest"][x["at"][j]]
+            first = x["bits"][i] ^ x["bits"][j] ^ np.bitwise_xor.reduce(differ, 1)
+            apart[left[far]] = bits = np.bitwise_count(differ).sum(1, dtype=np.int64) + np.bitwise_count(first)
+            ok[left[far]] = bits * (100 + p) <= (100 - p) * both[far]
+        return ok, apart
+
+
+def read_lists(rows: DataFrame, lists: LineLists, only: np.ndarray | None = None) -> DataFrame:
+    """Reads postings by bucket: (doc_id, line, earlier_doc_id, earlier_line, rank, more); rank -2: a copy, removed.  With
+    `only`, marked cells of lines: candidates of such lines alone, and all they have."""
+
+    def same(copies, sets):
+        copy, s = np.frombuffer(copies, SET), np.frombuffer(sets, SET)
+        s = s[np.lexsort((s["line"], s["doc_id"], s["hi"], s["lo"]))]
+        new = np.append(np.ones(min(1, len(s)), bool), (s["lo"][1:] != s["lo"][:-1]) | (s["hi"][1:] != s["hi"][:-1]))
+        first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]  # of the same set; a document's repeated row is no copy of itself
+        return np.concatenate([copy, s[(s["doc_id"] != first["doc_id"]) | (s["line"] != first["line"])]])
+
+    def read(batches):
+        for _, copies, sets, narrow, wide in gathered(batches, "copies", "sets", "narrow", "wide"):
+            if copies or sets:
+                gone = same(copies, sets)
+                none = np.zeros(len(gone), np.int64)
+                yield {"doc_id": gone["doc_id"], "line": gone["line"], "earlier_doc_id": none, "earlier_line": none.astype(np.int32), "rank": none.astype(np.int32) - 2, "more": none > 0}
+            a, b = np.frombuffer(narrow, PLACE), np.frombuffer(wide, WIDE)
+            x = {c: np.concatenate([a[c], b[c]]) for c in PLACE.names}
+            x["at"] = np.concatenate([np.full(len(a), -1), np.arange(len(b))])
+            shared = in_lists(x["word"])
+            order = shared[np.lexsort((x["line"][shared], x["doc_id"][shared], x["word"][shared]))]
+            x = {c: v[order] for c, v in x.items()} | {"rest": b["rest"]}
+            x["m"], x["pos"] = x["m"].astype(np.int64), x["pos"].astype(np.int64)
+            whole = None if only is None else marked(only, mark(x["doc_id"], x["line"], 8 * len(only)))
+            for i, j, rank, more in lists.pairs(x, x["word"], whole):
+                if len(i):
+                    yield {"doc_id": x["doc_id"][i], "line": x["line"][i], "earlier_doc_id": x["doc_id"][j], "earlier_line": x["line"][j], "rank": rank, "more": more}
+
+    return per_task(rows.repartition("bucket").sortWithinPartitions("bucket"), "doc_id long, line int, earlier_doc_id long, earlier_line int, rank int, more boolean", read)
+
+
+def mark(doc_id: np.ndarray, line: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of a line."""
+    return (scramble(scramble(doc_id.astype(np.uint64)) + line.astype(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
+
+
+def picked(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(x, text): the lines of `need` (x: doc_id, line), once each, and a few others.  The tasks that read the texts know the
+    wanted lines by marked cells of a hash, so nothing but lines is shuffled."""
+    cells = 1 << min(26, max(20, int(16 * need.count()).bit_length()))
+    bits = mark_cells(need.select("x.doc_id", "x.line"), cells, lambda b: mark(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), cells))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batch):
+        ids = batch.column("doc_id").to_numpy()
         out = {"doc_id": [], "line": [], "text": []}
-        for doc_id, text, lines in zip(batch.column("doc_id").to_pylist(), utf8(batch), batch.column("lines").to_pylist(), strict=True):
-            split = text.split(b"\n")
-            for i in lines:
-                if i < len(split):
-                    out["doc_id"].append(doc_id)
-                    out["line"].append(i)
-                    out["text"].append(split[i])
-        return out
-
-    need = cut(need)
-    some = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bit", id_bit(F.col("doc_id"))).join(near_ids(need), "bit", "left_semi")
-    texts = some.join(need, "doc_id")
-    picked = per_batch(texts, "doc_id long, line int, text binary", pick).dropDuplicates(["doc_id", "line"])
-    lines = cut(picked.select(F.struct("doc_id", "line").alias("x"), "text"))
+        for low, high, buf, starts in lots(batch):
+            doc, line, first = line_starts(buf, starts[:-1])
+            doc_id = ids[low:high][doc]
+            want = np.flatnonzero(marked(shared.value, mark(doc_id, line, cells)))
+            ends = np.append(first[1:], len(buf))[want]
+            out["doc_id"].append(doc_id[want])
+            out["line"].append(line[want].astype(np.int32))
+            out["text"] += [buf[x:y].tobytes() for x, y in zip(first[want].tolist(), ends.tolist(), strict=True)]
+        return {"doc_id": np.concatenate(out["doc_id"]), "line": np.concatenate(out["line"]), "text": out["text"]}
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return per_batch(rows, "doc_id long, line int, text binary", pick).dropDuplicates(["doc_id", "line"]).select(F.struct("doc_id", "line").alias("x"), "text")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(at) of the later lines of `pairs` (at, earlier) that reach the threshold; at and earlier: (doc_id, line).  Both sides
+    of the joins grow with the corpus, so neither is ever broadcast."""
+    lines = cut(picked(docs, cut(pairs.select(F.explode(F.array("at", "earlier")).alias("x")).distinct()))).hint("merge")
     joined = pairs.join(lines.toDF("at", "text"), "at").join(lines.toDF("earlier", "other"), "earlier").select("at.doc_id", "at.line", "text", "other")
 
     def exact(batch):
@@ -216,33 +294,42 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return hit.select(F.struct("doc_id", "line").alias("at")).distinct()
 
 
-def matched_lines(docs: DataFrame, percent: int = PERCENT, head: int = HEAD, hubs: int = HUBS, kept: int = KEPT) -> DataFrame:
+def matched_lines(docs: DataFrame, percent: int = PERCENT, hubs: int = HUBS, kept: int = KEPT, hot: int = HOT, cells: int = CELLS) -> DataFrame:
     """(doc_id, line) of every line of `docs` (doc_id, text) that an earlier one matches."""
-    lines = cut(class_lines(docs, head_words(docs, head), percent))
-    lists = listed(lines).repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    found = cut(per_task(lists, "doc_id long, line int, earlier_doc_id long, earlier_line int, rank int, more boolean", LineLists(percent, hubs, kept).read))
-    found = found.select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_doc_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"), "rank", "more")
-    matched = cut(_verify(cut(found.filter("rank between 0 and 1").select("at", "earlier").distinct()), docs, percent))
-    others = cut(found.filter("rank > 1").join(matched, "at", "left_anti").select("at", "earlier").distinct())
+    place = rarity(word_cells(docs, cells))
+    lists = LineLists(percent, hubs, kept)
+    found = cut(read_lists(postings(docs, place, percent, hot), lists))
+    copies = found.filter("rank = -2").select(F.struct("doc_id", "line").alias("at")).distinct()
+    pairs = found.filter("rank > -2").select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_doc_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"), "rank", "more")
+    pairs = cut(pairs.join(copies.hint("merge"), "at", "left_anti"))
+    matched = cut(_verify(cut(pairs.filter("rank between 0 and 1").select("at", "earlier").distinct()), docs, percent))
+    others = cut(pairs.filter("rank > 1").join(matched, "at", "left_anti").select("at", "earlier").distinct())
     if not others.isEmpty():
         matched = cut(matched.union(_verify(others, docs, percent)).distinct())
-    beyond = cut(found.filter("more").select("at").distinct().join(matched, "at", "left_anti"))
+    beyond = cut(pairs.filter("more").select("at").distinct().join(matched, "at", "left_anti"))
     if not beyond.isEmpty():
-        matched = cut(matched.union(_verify(cut(_joined(lines, beyond, percent)), docs, percent)).distinct())
-    again = lines.filter("not copy").select("m", "lo", "hi", "doc_id", "line").withColumn("nth", F.row_number().over(W.partitionBy("m", "lo", "hi").orderBy("doc_id", "line"))).filter("nth > 1")
-    return lines.filter("copy").select("doc_id", "line").union(again.select("doc_id", "line")).union(matched.select("at.doc_id", "at.line")).distinct()
-
-
-def _joined(lines: DataFrame, some: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (at, earlier) of the lines of `some` (at): an equi-join on the words of their prefixes."""
-    value = lines.filter(~F.col("copy")).select(F.struct("doc_id", "line").alias("at"), "m", "bits", F.posexplode_outer("prefix").alias("pos", "word")).filter("word is not null")
-    later = value.join(some, "at", "left_semi")
-    earlier = value.select("word", F.col("at").alias("earlier"), F.col("m").alias("m2"), F.col("bits").alias("bits2"), F.col("pos").alias("pos2"))
-    m, n = F.col("m"), F.col("m2")
-    lengths = (m * 100 >= percent * n) & (n * 100 >= percent * m)
-    places = F.least(m - F.col("pos"), n - F.col("pos2")) * (100 + percent) >= percent * (m + n)
-    apart = sum((F.bit_count(F.get(F.col("bits"), F.lit(i)).bitwiseXOR(F.get(F.col("bits2"), F.lit(i)))) for i in range(4)), F.lit(0)) * (100 + percent) <= (100 - percent) * (m + n)
-    return later.join(earlier, "word").filter((F.col("earlier") < F.col("at")) & lengths & places & apart).select("at", "earlier").distinct()
+        matched = matched.union(_verify(cut(_beyond(docs, beyond, place, percent, hot, lists)), docs, percent))
+    return copies.union(matched).select("at.doc_id", "at.line").distinct()
+
+
+def _beyond(docs: DataFrame, lines: DataFrame, place: np.ndarray, percent: int, hot: int, lists: LineLists, cells: int = 1 << 20) -> DataFrame:
+    """All candidate pairs (at, earlier) of `lines` (at): their lists are dealt out once more, and read for them alone.  The
+    lines and their lists are told to the tasks as cells of a hash, whose number is fixed."""
+
+    def lists_of(batch):
+        out = []
+        for *_, buf, starts in lots(batch):
+            lines = Lines(buf, starts[:-1], place)
+            if len(lines):
+                out.append(lines.listed(percent, hot_rank(hot))[1])
+        words = np.concatenate(out) if out else np.empty(0, np.uint64)
+        return (words & np.uint64(cells - 1)).astype(np.int64)
+
+    only = mark_cells(lines.select("at.doc_id", "at.line"), cells, lambda b: mark(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), cells))
+    some = mark_cells(picked(docs, lines.select(F.col("at").alias("x"))).select("text"), cells, lists_of)
+    found = read_lists(postings(docs, place, percent, hot, some), lists, only)
+    pair = found.select(F.struct("doc_id", "line").alias("at"), F.struct(F.col("earlier_doc_id").alias("doc_id"), F.col("earlier_line").alias("line")).alias("earlier"))
+    return pair.distinct().join(lines, "at", "left_semi")
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
