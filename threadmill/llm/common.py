@@ -110,8 +110,8 @@ def top_by_hash(df: DataFrame, n: int, *key: str) -> DataFrame:
     return some.orderBy(low, *key).limit(n)
 
 
-def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The words of `counts` (word, c) with the highest counts, `most` at most: all that reach the lowest count class (a
+def most_frequent(counts: DataFrame, most: int) -> dict[int, int]:
+    """The words (as hashes) of `counts` (word, c) with the highest counts, `most` at most: all that reach the lowest count class (a
     twelfth of a doubling) with which they still fit.  The driver holds a row per class, then those words."""
     kind = F.floor(F.log2("c") * 12)
     classes = sorted(((r["k"], r["n"]) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -124,7 +124,7 @@ def most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     if least is None:
         return {}
     rows = counts.filter(kind >= least).collect()
-    return {r["word"].encode(): r["c"] for r in sorted(rows, key=lambda r: (-r["c"], r["word"]))}
+    return {r["word"]: r["c"] for r in sorted(rows, key=lambda r: (-r["c"], r["word"]))}
 
 
 def near_ids(ids: DataFrame, bits: int = 20) -> DataFrame:
