@@ -21,7 +21,7 @@ def rows(df):
 
 def test_damage_keeps_physical_lines(spark, tmp_path):
     put(tmp_path / "m.jsonl", {"role": "user", "content": "a"}, "", "{broken", {"role": "user", "content": "b"})
-    parsed = jsonl.lines(jsonl.whole_files(spark, str(tmp_path)))
+    parsed = jsonl.lines(spark, str(tmp_path))
     assert [r.line for r in jsonl.damage(parsed).collect()] == [3] and sorted(r.line for r in parsed.collect()) == [1, 3, 4]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         jsonl.whole_files(spark, str(tmp_path / "none"))

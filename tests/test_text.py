@@ -67,6 +67,6 @@ def test_item_keys(spark):
 
 def test_answer_literals():
     s = "answers: [{'question': 'a}b', 'answer': \"it's\", 'is_other': False}, {'answer': 'x\\ny'}, {'question': 'no'}]\ncancelled: False"
-    assert literals.answer_records(s) == [{"question": "a}b", "answer": "it's"}, {"question": None, "answer": "x\ny"}]
-    assert literals.answer_records(None) == literals.answer_records("answers: nothing") == []
+    assert literals.answer_text(s)[0] == [{"question": "a}b", "answer": "it's"}, {"question": None, "answer": "x\ny"}]
+    assert literals.answer_text(None) == literals.answer_text("answers: nothing") == ([], False) and literals.answer_text("answers: [] cancelled: true") == ([], True)
     assert literals.quoted_pairs('User said "q1"="a1", "q 2"="a \\"2\\""') == [{"question": "q1", "answer": "a1"}, {"question": "q 2", "answer": 'a "2"'}]

@@ -13,7 +13,7 @@ from threadmill.functions.redact import redact_secrets
 from threadmill.operators import dedupe, entries, histogram, listing, profile, qa, search, slicing, summary, todos
 from threadmill.plans import prompts, reports
 from threadmill.sources import logs, opencode
-from threadmill.sources.jsonl import UUID, whole_files
+from threadmill.sources.jsonl import UUID, lines, whole_files
 
 HARNESS_ALIASES = {"mistral-vibe": "vibe"}
 
@@ -126,6 +126,12 @@ class Sessions:
     def derived(self, full: bool = False) -> dict[str, DataFrame]:
         rows = self.messages if full else slicing.since_last_marker(self.messages, self.marker)
         out = {"compaction": rows.filter(self.marker).select("session_id", F.col("seq").alias("n"), "timestamp", F.to_json(F.struct("content")).alias("record"))}
+        pairs = logs.vibe_question_pairs(lines(self.spark, self.root, self.store.file_glob)) if self.store.name == "vibe" else qa.pairs_of_messages(self.messages)
+        pairs = pairs.join(self.messages.select("session_id").distinct(), "session_id", "left_semi")
+        if not full:  # what the slice asks
+            first = rows.groupBy("session_id").agg(F.min(F.coalesce("line", "seq") if self.store.name == "vibe" else F.col("seq")).alias("least"))
+            pairs = pairs.join(first, "session_id").filter("seq >= least").drop("least")
+        out["questions"] = qa.as_entries(pairs)
         if self.store.name == "opencode":
             e = todos.todo_events(self.todo_flushes())
             out["todo"] = e.select("session_id", F.row_number().over(_by("nth", "phase", "pos")).alias("n"), F.col("ts").alias("timestamp"), F.to_json(F.struct("action", "todo", "status")).alias("record"))

@@ -55,5 +55,8 @@ def interesting_events(messages: DataFrame, harness: str) -> DataFrame:
         every = lambda c: F.array_compact(F.array(event(todo(c), sub(c), c), *(event(_git(c, k) & (~todo(c) | git_too), f"Git{k.capitalize()}", c) for k in kinds)))
         of_calls = F.flatten(F.transform(calls, every))
     lead = F.array_compact(F.array(event(compact, "Compaction", first_chars(content)), event(plain, "UserMessage", first_chars(content))))
-    flat = messages.select("session_id", (F.col("seq") + 1).alias("line_number"), F.posexplode(F.concat(lead, of_calls)).alias("sub", "e")).select("session_id", "line_number", "sub", "e.*")
+    place = F.col("seq") + 1
+    if "line" in messages.columns:  # the physical line of stores in files
+        place = F.coalesce("line", place)
+    flat = messages.select("session_id", place.alias("line_number"), F.posexplode(F.concat(lead, of_calls)).alias("sub", "e")).select("session_id", "line_number", "sub", "e.*")
     return gaps(flat)

@@ -68,7 +68,7 @@ def compaction_footer(rows: DataFrame, marker: F.Column, keep: int = 3, key: str
     ending newline begins no line."""
     text = F.coalesce(content, F.lit(""))
     lines = F.when(text == "", 0).otherwise(F.size(F.split(text, "\n")) - F.when(text.endswith("\n"), 1).otherwise(0))
-    later = W.partitionBy(key).orderBy(seq).rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(key).orderBy(F.desc(seq)).rowsBetween(W.unboundedPreceding, -1)
     seen = rows.select(key, seq, marker.alias("is_marker"), lines.alias("n_lines")).withColumns({"messages_since": F.count("*").over(later), "lines_since": F.coalesce(F.sum("n_lines").over(later), F.lit(0))})
     ranked = seen.filter("is_marker").withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.desc(seq))))
     total = rows.filter(marker).groupBy(key).agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("held_back"))

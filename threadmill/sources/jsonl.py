@@ -16,11 +16,30 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(path, mtime, size, line, raw, rec): a row per line that is not blank, with its 1-based physical number; rec is null where
-    the line is no JSON."""
-    split = files.select("path", "mtime", "size", F.posexplode(F.split(F.make_valid_utf8("text"), "\n")).alias("pos", "raw")).filter(F.trim("raw") != "")
-    return split.select("path", "mtime", "size", (F.col("pos") + 1).cast("long").alias("line"), "raw", F.try_parse_json("raw").alias("rec"))
+def numbered_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, mtime, size, line, raw) of every line, with its 1-based physical number.  Files are split: a line's number is
+    its place in its split behind the lines of the splits before, so no task holds a file and nothing is sorted."""
+    from pyspark.sql import Window as W
+
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
+    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
+    meta = {"path": "file_path", "mtime": "file_modification_time", "size": "file_size", "split": "file_block_start"}
+    rows = raw.select(*(F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("path", "split", "first", before.alias("before"))
+    return rows.join(placed, ["path", "split"]).select("path", "mtime", "size", (F.col("id") - F.col("first") + F.col("before") + 1).cast("long").alias("line"), "raw")
+
+
+def parsed(numbered: DataFrame) -> DataFrame:
+    """The lines that are not blank, with `rec`: null where the line is no JSON."""
+    kept = numbered.withColumn("raw", F.make_valid_utf8("raw")).filter(F.trim("raw") != "")
+    return kept.withColumn("rec", F.try_parse_json("raw"))
+
+
+def lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, mtime, size, line, raw, rec): a row per line of the files that is not blank."""
+    return parsed(numbered_lines(spark, paths, glob))
 
 
 def damage(parsed: DataFrame) -> DataFrame:
@@ -45,8 +64,9 @@ def texts_of(parts: Column, kinds: tuple[str, ...], field: str = "$.text") -> Co
 
 
 def ordered(messages: DataFrame, *order: str) -> DataFrame:
-    """The normalized columns, with `seq` numbered from 0 within each session by `order`."""
+    """The normalized columns, with `seq` numbered from 0 within each session by `order`, and the physical line if known."""
     from pyspark.sql import Window as W
 
     seq = F.row_number().over(W.partitionBy("session_id").orderBy(*order)) - 1
-    return messages.select("session_id", seq.cast("long").alias("seq"), "role", "content", "thinking", "tool_calls_summary", "timestamp", "injected")
+    line = F.col("line").cast("long") if "line" in messages.columns else F.lit(None).cast("long").alias("line")
+    return messages.select("session_id", seq.cast("long").alias("seq"), "role", "content", "thinking", "tool_calls_summary", "timestamp", "injected", line)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions.text import iso_from_millis, summarize_tool_call
 from threadmill.operators.dedupe import merge_chunks
+from threadmill.operators.qa import pairs_by_call
 from threadmill.operators.slicing import MARKER
 from threadmill.sources.jsonl import UUID, items, lines, ordered, text_at, texts_of, whole_files
 
@@ -20,22 +21,45 @@ def _no_calls() -> Column:
 
 def mock_messages(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per message, already in the normalized shape."""
+    return mock_rows(lines(spark, path))
+
+
+def mock_rows(rows: DataFrame) -> DataFrame:
+    """The messages of parsed lines."""
     rec = F.col("rec")
     calls = F.coalesce(F.try_variant_get(rec, "$.tool_calls_summary", "array<string>"), _no_calls())
-    rows = lines(whole_files(spark, path)).filter("rec is not null")
+    rows = rows.filter("rec is not null")
     made = rows.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.role").alias("role"), F.coalesce(text_at(rec, "$.content"), F.lit("")).alias("content"), text_at(rec, "$.thinking").alias("thinking"), calls.alias("tool_calls_summary"), text_at(rec, "$.timestamp").alias("timestamp"), F.coalesce(F.try_variant_get(rec, "$.injected", "boolean"), F.lit(False)).alias("injected"))
     return ordered(made, "line")
 
 
 def vibe_messages(spark: SparkSession, root: str) -> DataFrame:
     """`session_<date>_<time>_<id>/messages.jsonl` below root; reasoning is not carried over."""
+    return vibe_rows(lines(spark, root, "messages.jsonl"))
+
+
+def vibe_rows(rows: DataFrame) -> DataFrame:
+    """The messages of parsed lines."""
     rec = F.col("rec")
     call = lambda c: summarize_tool_call(F.coalesce(text_at(c, "$.function.name"), text_at(c, "$.name"), F.lit("?")), F.coalesce(text_at(c, "$.function.arguments"), F.lit("")))
-    rows = lines(whole_files(spark, root, "messages.jsonl")).filter("rec is not null")
+    rows = rows.filter("rec is not null")
     made = rows.select(F.regexp_extract("path", r"/(session_[^/]+)/messages\.jsonl$", 1).alias("session_id"), "line", F.coalesce(text_at(rec, "$.role"), F.lit("unknown")).alias("role"), F.coalesce(text_at(rec, "$.content"), F.lit("")).alias("content"), F.lit(None).cast("string").alias("thinking"), F.transform(items(rec, "$.tool_calls"), call).alias("tool_calls_summary"), text_at(rec, "$.timestamp").alias("timestamp"), F.coalesce(F.try_variant_get(rec, "$.injected", "boolean"), F.lit(False)).alias("injected"))
     return ordered(made.filter("session_id <> ''"), "line")
 
 
+def vibe_question_pairs(rows: DataFrame) -> DataFrame:
+    """Question pairs of parsed lines: calls of `ask_user_question` and the tool messages with their ids."""
+    rec = F.col("rec")
+    rows = rows.filter("rec is not null").select(F.regexp_extract("path", r"/(session_[^/]+)/messages\.jsonl$", 1).alias("session_id"), F.col("line").alias("seq"), text_at(rec, "$.role").alias("role"), text_at(rec, "$.timestamp").alias("timestamp"), "rec").filter("session_id <> ''")
+    calls = rows.filter("role = 'assistant'").select("session_id", "seq", "timestamp", F.posexplode(items(rec, "$.tool_calls")).alias("nth", "c"))
+    asked = calls.filter(text_at("c", "$.function.name") == "ask_user_question").select("session_id", "seq", "nth", text_at("c", "$.id").alias("call_id"), "timestamp", F.coalesce(text_at("c", "$.function.arguments"), F.lit("")).alias("args")).filter("call_id is not null")
+    stated = F.try_variant_get(rec, "$.tool_result.output.answers", "array<variant>")
+    record = lambda a: F.struct(text_at(a, "$.question").alias("question"), text_at(a, "$.answer").alias("answer"))
+    records = F.filter(F.transform(stated, record), lambda r: r["answer"].isNotNull())
+    results = rows.filter("role = 'tool'").select("session_id", "seq", text_at(rec, "$.tool_call_id").alias("call_id"), "timestamp", F.coalesce(text_at(rec, "$.content"), F.lit("")).alias("reply"), records.alias("records")).filter("call_id is not null")
+    return pairs_by_call(asked, results)
+
+
 def vibe_meta(spark: SparkSession, root: str) -> DataFrame:
     """(session_id, title, start_time, end_time, parent_session_id, directory) from the sessions' meta.json."""
     v = F.try_parse_json("text")
@@ -45,11 +69,16 @@ def vibe_meta(spark: SparkSession, root: str) -> DataFrame:
 
 def vibe_journal_messages(spark: SparkSession, root: str) -> DataFrame:
     """`unified/<id>/journal/NNNN.jsonl`: core_input is the user's turn, action_result the assistant's; segments by name."""
+    return vibe_journal_rows(lines(spark, root, "*.jsonl"))
+
+
+def vibe_journal_rows(rows: DataFrame) -> DataFrame:
+    """The messages of parsed lines."""
     rec, kind = F.col("rec"), text_at("rec", "$.type")
     body = F.coalesce(F.try_variant_get(rec, "$.input", "variant"), rec)
     parts = F.when(F.size(items(rec, "$.parts")) > 0, items(rec, "$.parts")).otherwise(items(body, "$.parts"))
     ms = F.coalesce(F.try_variant_get(rec, "$.input.determinism.time_unix_ms", "long"), F.try_variant_get(rec, "$.determinism.time_unix_ms", "long"))
-    rows = lines(whole_files(spark, root, "*.jsonl")).filter("rec is not null").withColumn("kind", kind).filter("kind in ('core_input', 'action_result')")
+    rows = rows.filter("rec is not null").withColumn("kind", kind).filter("kind in ('core_input', 'action_result')")
     rows = rows.withColumns({"session_id": F.regexp_extract("path", r"/unified/([^/]+)/journal/", 1), "segment": F.regexp_extract("path", r"/journal/([^/]+)$", 1), "parts": parts})
     call = lambda p: summarize_tool_call(F.coalesce(text_at(p, "$.name"), F.lit("?")), F.coalesce(text_at(p, "$.arguments"), F.to_json(F.try_variant_get(p, "$.arguments", "variant")), F.lit("")))
     calls = F.transform(F.filter("parts", lambda p: F.coalesce(text_at(p, "$.type") == "tool_call", F.lit(False))), call)
@@ -62,8 +91,13 @@ def vibe_journal_messages(spark: SparkSession, root: str) -> DataFrame:
 def vibe_chunk_records(spark: SparkSession, root: str) -> DataFrame:
     """Records of `unified/<id>/chunks/*.json` (an array or one object a file): session_id, source, id, role, content,
     thinking, tool_calls_summary, timestamp, injected, sort_key, path, pos."""
+    return vibe_chunk_rows(whole_files(spark, root, "*.json"))
+
+
+def vibe_chunk_rows(files: DataFrame) -> DataFrame:
+    """The records of whole files (path, mtime, text)."""
     v = F.try_parse_json("text")
-    files = whole_files(spark, root, "*.json").filter(F.contains("path", F.lit("/chunks/"))).select("path", "mtime", F.regexp_extract("path", r"/unified/([^/]+)/chunks/", 1).alias("session_id"), v.alias("v")).filter("v is not null")
+    files = files.filter(F.contains("path", F.lit("/chunks/"))).select("path", "mtime", F.regexp_extract("path", r"/unified/([^/]+)/chunks/", 1).alias("session_id"), v.alias("v")).filter("v is not null")
     rec = F.col("r")
     flat = files.select("session_id", "path", "mtime", F.posexplode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("pos", "r"))
     kind, snapshot = text_at(rec, "$.type"), F.try_variant_get(rec, "$.message", "variant").isNotNull()
@@ -83,8 +117,13 @@ def vibe_chunk_messages(spark: SparkSession, root: str) -> DataFrame:
 
 def codex_messages(spark: SparkSession, root: str) -> DataFrame:
     """`YYYY/MM/DD/rollout-<time>-<id>[_<id>].jsonl`: typed records; developer turns and reasoning are left out."""
+    return codex_rows(lines(spark, root, "rollout-*.jsonl"))
+
+
+def codex_rows(rows: DataFrame) -> DataFrame:
+    """The messages of parsed lines."""
     rec, p = F.col("rec"), F.try_variant_get("rec", "$.payload", "variant")
-    rows = lines(whole_files(spark, root, "rollout-*.jsonl")).filter("rec is not null").select(F.regexp_extract("path", rf"-({UUID}(?:_{UUID})?)\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.type").alias("kind"), text_at(rec, "$.timestamp").alias("timestamp"), p.alias("p"))
+    rows = rows.filter("rec is not null").select(F.regexp_extract("path", rf"-({UUID}(?:_{UUID})?)\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.type").alias("kind"), text_at(rec, "$.timestamp").alias("timestamp"), p.alias("p"))
     inner, role = text_at("p", "$.type"), text_at("p", "$.role")
     call, output = inner.isin("custom_tool_call", "function_call"), inner.isin("custom_tool_call_output", "function_call_output")
     said = texts_of(items("p", "$.content"), ("input_text", "output_text"))
@@ -100,8 +139,13 @@ def codex_messages(spark: SparkSession, root: str) -> DataFrame:
 
 def pi_messages(spark: SparkSession, root: str) -> DataFrame:
     """`<project>/<time>_<id>.jsonl`: message records of user, assistant and tool results."""
+    return pi_rows(lines(spark, root, "*.jsonl"))
+
+
+def pi_rows(rows: DataFrame) -> DataFrame:
+    """The messages of parsed lines."""
     rec, m = F.col("rec"), F.try_variant_get("rec", "$.message", "variant")
-    rows = lines(whole_files(spark, root, "*.jsonl")).filter("rec is not null").select(F.regexp_extract("path", r"_([^_/]+)\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.type").alias("kind"), text_at(rec, "$.timestamp").alias("timestamp"), m.alias("m")).filter("kind = 'message'")
+    rows = rows.filter("rec is not null").select(F.regexp_extract("path", r"_([^_/]+)\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.type").alias("kind"), text_at(rec, "$.timestamp").alias("timestamp"), m.alias("m")).filter("kind = 'message'")
     role = text_at("m", "$.role")
     parts = items("m", "$.content")
     calls = F.transform(F.filter(parts, lambda x: F.coalesce(text_at(x, "$.type") == "toolCall", F.lit(False))), lambda x: summarize_tool_call(F.coalesce(text_at(x, "$.name"), F.lit("?")), F.coalesce(F.to_json(F.try_variant_get(x, "$.arguments", "variant")), F.lit("{}"))))
