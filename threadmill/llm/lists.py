@@ -159,76 +159,3 @@ class Lists:
             i, j, rank, over = np.concatenate([i, alone]), np.concatenate([j, alone]), np.concatenate([rank, np.full(len(alone), -1)]), np.concatenate([over, np.ones(len(alone), bool)])
         keep = rank < self.kept
         return i[keep], j[keep], rank[keep].astype(np.int32), over[keep]
-
-
-class SortedLists:
-    """Reads rows sorted by their list and gives, for each member, the earlier ones that it may match.
-
-    A subclass says which pairs may match and how far apart they seem (`possible`).  A member keeps its `kept` nearest
-    candidates, ranked from 0; `more` says that there were others, or that the member stands beyond the first `hubs` of
-    its list, which alone it is compared with (rank -1: no candidate among those)."""
-
-    #: Columns: the list, what names a member, and what `possible` looks at.
-    LIST, IDS, REST = "word", ("doc_id", "line"), ("m", "pos", "bits")
-
-    def __init__(self, hubs: int, kept: int):
-        self.hubs, self.kept = hubs, kept
-
-    def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raise NotImplementedError
-
-    def column(self, batch, name: str) -> np.ndarray:
-        return batch.column(name).to_numpy()
-
-    def pairs(self, x: dict[str, np.ndarray], done: int = 0) -> dict[str, object]:
-        """Candidates among the rows of whole lists; of the first list the first `done` rows have had theirs."""
-        word = x[self.LIST]
-        n = len(word)
-        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [n]]))
-        nth = np.arange(n) - np.repeat(starts, sizes)
-        short = np.repeat((sizes <= SHORT) & ((starts > 0) | (done == 0)), sizes)
-        found = []
-        for back in range(1, min(SHORT, int(sizes.max()))):
-            i = np.flatnonzero(short & (nth >= back))
-            if not len(i):
-                break
-            ok, apart = self.possible(x, i, i - back)
-            found.append((i[ok], i[ok] - back, apart[ok]))
-        long = np.flatnonzero((sizes > SHORT) | ((starts == 0) & (done > 0)))
-        for start, size in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
-            skip = done if start == 0 else 0
-            for low in range(start + max(1, skip), start + size, 256):
-                i, j = np.meshgrid(np.arange(low, min(low + 256, start + size)), np.arange(start, start + min(size, self.hubs)), indexing="ij")
-                i, j = i[j < i], j[j < i]
-                ok, apart = self.possible(x, i, j)
-                found.append((i[ok], j[ok], apart[ok]))
-        i, j, apart = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
-        by = np.lexsort((j, apart, i))
-        i, j = i[by], j[by]
-        count = np.bincount(i, minlength=n)
-        rank = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        more = (count > self.kept) | (nth >= self.hubs)
-        if done:
-            more[:done] = False
-        alone = np.flatnonzero(more & (count == 0))
-        keep = rank < self.kept
-        at, other, rank = np.concatenate([i[keep], alone]), np.concatenate([j[keep], alone]), np.concatenate([rank[keep], np.full(len(alone), -1)])
-        return {**{c: x[c][at] for c in self.IDS}, **{f"earlier_{c}": x[c][other] for c in self.IDS}, "rank": rank.astype(np.int32), "more": more[at]}
-
-    def read(self, batches):
-        names = (self.LIST, *self.IDS, *self.REST)
-        held, done = None, 0
-        for batch in batches:
-            x = {c: self.column(batch, c) for c in names}
-            x = x if held is None else {c: np.concatenate([held[c], x[c]]) for c in names}
-            last = int(np.searchsorted(x[self.LIST], x[self.LIST][-1]))
-            if last:
-                yield self.pairs({c: v[:last] for c, v in x.items()}, done)
-                done = 0
-            held = {c: v[last:] for c, v in x.items()}
-            if len(held[self.LIST]) > 2 * self.hubs:  # a very long list: its hubs stay, the others have had their turn
-                yield self.pairs(held, done)
-                held, done = {c: v[: self.hubs] for c, v in held.items()}, self.hubs
-        if held is not None:
-            yield self.pairs(held, done)
