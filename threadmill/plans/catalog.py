@@ -31,10 +31,14 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from threadmill.plans import stores  # noqa: F401  its queries register here too
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from threadmill.plans import stores  # noqa: F401
+
     return dict(_ORACLES)
 
 
