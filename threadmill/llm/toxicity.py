@@ -2,13 +2,14 @@
 
 Categories are predicted one after the other by logistic models over which words (and 5- and 6-letter beginnings of
 words) a text holds; each model also gets the earlier categories' probabilities.  In training those are out-of-fold
-predictions, so a later model learns from probabilities as good as it will see.  The last category is `toxic`, the
-label itself; the ones before it are weak labels: toxic documents that use words of the category's seed list.
+predictions, so a later model learns from probabilities as good as it will see.  The labels know one class, so the
+categories before the last are found in the data: the toxic documents of the sample are clustered by the features that
+set them apart, and a cluster is a category.  The last category is `toxic`, the label itself.
 
 The models are fitted on the driver on a bounded sample of labelled documents; every document is scored over its whole
-text.  Defined results: null or empty text has the chain's base probability, without words; null labels and labels of
-unknown documents teach nothing; without both classes nothing is toxic (score 0); repeated rows are scored alike; an
-empty table gives an empty result.
+text, however long.  Defined results: null or empty text has the chain's base probability, without words; null labels and
+labels of unknown documents teach nothing, a document with both labels counts as toxic; without both classes nothing is
+toxic (score 0); repeated rows are scored alike; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ TOXIC, OTHERS = 2500, 5000
 FEATURES, CELLS = 1024, 1 << 22
 THRESHOLD = 0.25
 FOLDS = 5
-#: The chain's order and the seed words of its weakly labelled categories.
-SEEDS = {"insult": ("idiot", "moron", "loser", "clown"), "contempt": ("stupid", "pathetic", "worthless", "disgusting"), "dehumanising": ("trash", "scum")}
+#: Categories before the last, and by how many standard deviations a feature's rates in either class differ at least.
+CATEGORIES, APART = 3, 3.0
 _LETTERS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 
 
@@ -47,7 +48,6 @@ class Chain:
     """weights: for each category a row over the chosen cells, the earlier categories' log-odds and the constant."""
 
     cells: dict[int, int]
-    names: list[str]
     weights: list[np.ndarray]
     seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
 
@@ -92,25 +92,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float = 2e-4, l2: float = 1e-
     return w
 
 
-def fit_chain(rows: list[tuple[np.ndarray, int, list[bool]]], names: list[str]) -> Chain | None:
-    """rows: (cells of the text, toxic, which seed lists it touches)."""
-    y = np.array([t for _, t, _ in rows], np.float32)
+def clusters(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """Number of each row's cluster by direction: the centres start with the row nearest to all and then those farthest from
+    the centres so far, and move to their rows' mean."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.maximum(norm, 1e-12)
+    centres = x[[int((x @ x.sum(0)).argmax())]]
+    while len(centres) < k:
+        far = np.where(norm[:, 0] > 0, (x @ centres.T).max(1), 2.0)
+        centres = np.vstack([centres, x[int(far.argmin())]])
+    for _ in range(rounds):
+        of = (x @ centres.T).argmax(1)
+        sums = np.stack([x[of == j].sum(0) for j in range(k)])
+        new = np.where(sums.any(1, keepdims=True), sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return of
+
+
+def fit_chain(rows: list[tuple[np.ndarray, int]], categories: int = CATEGORIES) -> Chain | None:
+    """rows: (cells of the text, toxic)."""
+    y = np.array([t for _, t in rows], np.float32)
     if not 0 < y.sum() < len(y):
         return None
     df = [np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)]
-    for cells, t, _ in rows:
+    for cells, t in rows:
         df[t][cells] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     both = df[0] + df[1]
     pooled = both / len(y)
     z = np.where(both >= 3, np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12), 0)
     chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[z[chosen] > 0])
+    chosen = np.sort(chosen[z[chosen] >= APART])
     index = {int(c): i for i, c in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (cells, _, _) in enumerate(rows):
+    for i, (cells, _) in enumerate(rows):
         x[i, [index[c] for c in cells.tolist() if c in index]] = 1
-    goals = [np.array([t and s[j] for _, t, s in rows], np.float32) for j in range(len(names))] + [y]
+    # what sets toxic documents apart: features that are more frequent in them
+    marks = np.where(df[1][chosen] / n1 > df[0][chosen] / n0, z[chosen], 0).astype(np.float32)
+    of = np.full(len(rows), -1)
+    of[y == 1] = clusters(x[y == 1] * marks, categories)
+    goals = [(of == j).astype(np.float32) for j in range(categories)] + [y]
     fold, one = np.arange(len(rows)) % FOLDS, np.ones((len(rows), 1), np.float32)
     earlier, weights = np.empty((len(rows), 0), np.float32), []
     for goal in goals:
@@ -121,27 +144,25 @@ def fit_chain(rows: list[tuple[np.ndarray, int, list[bool]]], names: list[str])
             w = fit_logistic(full[fold != f], goal[fold != f], steps=60)
             out[fold == f] = 1 / (1 + np.exp(-np.clip(full[fold == f] @ w, -30, 30)))
         earlier = np.hstack([earlier, out[:, None]])
-    return Chain(index, [*names, "toxic"], weights)
+    return Chain(index, weights)
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]], toxic: int, others: int) -> list[tuple[np.ndarray, int, list[bool]]]:
+def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, others: int) -> list[tuple[np.ndarray, int]]:
     """The first labelled documents of either class in hash order, as feature cells; ids of the sample are broadcast."""
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     ids = top_by_hash(known.filter("toxic = 1"), toxic, "doc_id").union(top_by_hash(known.filter("toxic = 0"), others, "doc_id"))
-    lists = [{w.encode() for w in ws} for ws in seeds.values()]
 
     def read(batch):
-        found = [words_of(t) for t in utf8(batch)]
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "cells": [sorted({c for w in ws for c in features(w)}) for ws in found], "seeds": [[bool(ws & s) for s in lists] for ws in found]}
+        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "cells": [sorted({c for w in words_of(t) for c in features(w)}) for t in utf8(batch)]}
 
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
-    rows = per_batch(picked, "doc_id long, toxic int, cells array<int>, seeds array<boolean>", read).toLocalIterator()
-    return [(c, t, s) for _, c, t, s in sorted(((r["doc_id"], np.array(r["cells"], np.int64), r["toxic"], list(r["seeds"])) for r in rows), key=lambda r: (r[0], len(r[1])))]
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    rows = per_batch(picked, "doc_id long, toxic int, cells array<int>", read).toLocalIterator()
+    return [(c, t) for _, c, t in sorted(((r["doc_id"], np.array(r["cells"], np.int64), r["toxic"]) for r in rows), key=lambda r: (r[0], len(r[1])))]
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] = SEEDS, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, whose text the chain does not call toxic; they are read once and not shuffled."""
-    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(sample_rows(docs, labels, seeds, toxic, others), list(seeds)))
+    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(sample_rows(docs, labels, toxic, others)))
 
     def keep(batches):
         for batch in batches:
@@ -151,14 +172,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str
     return docs.mapInArrow(keep, docs.schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, seeds: dict[str, tuple[str, ...]] = SEEDS, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, categories: int = CATEGORIES, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
     """A row per row of `docs` (doc_id, text): a probability per category, score (the chain's last) and toxic (boolean)."""
-    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(sample_rows(docs, labels, seeds, toxic, others), list(seeds)))
-    names = [*seeds, "score"]
+    chain = docs.sparkSession.sparkContext.broadcast(fit_chain(sample_rows(docs, labels, toxic, others), categories))
+    names = [*(f"category_{j + 1}" for j in range(categories)), "score"]
 
     def score(batch):
         got = [chain.value.predict(t) if chain.value else [0.0] * len(names) for t in utf8(batch)]
         return {"doc_id": batch.column("doc_id"), **{n: [p[i] for p in got] for i, n in enumerate(names)}}
 
     schema = ", ".join(["doc_id long", *(f"{n} double" for n in names)])
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), schema, score).withColumn("toxic", F.col("score") >= threshold)
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), schema, score).withColumn("toxic", F.col("score") >= threshold)
