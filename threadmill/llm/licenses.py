@@ -2,12 +2,14 @@
 
 Every run of two neighbouring words of every text is hashed and joined with the places that the pair has in the
 templates (license names and notices).  A hit votes for the diagonal `place in text - place in template`; votes are
-summed by diagonal, neighbouring diagonals (words left out or put in) are merged where they meet in the text, and a
-span stands if it holds enough of its template.  Hash hits count only if the words themselves agree.
+summed by diagonal, and neighbouring diagonals (words left out or put in) are merged where the later one goes on in the
+template behind the place at which the earlier one ended.  So a merged span holds distinct places of its template, in
+order; it is verified by how many of them it holds.  Hash hits count only if the words themselves agree.
 
 Only built-in functions; the template table is fixed, so its broadcast is bounded.  Defined results: null text has no
-words; rows are told apart by their place in the input, so repeated rows and null ids each get their own result row; an
-empty table gives an empty result.
+words; very long texts are read whole; of several spans the highest score counts, and all their labels; rows are told
+apart by their place in the input, so repeated rows and null ids each get their own result row; an empty table gives an
+empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -34,6 +36,21 @@ NOTICES = [
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("all rights reserved", "all-rights-reserved"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2.0"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit-notice"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-notice"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
+    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1.0"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
 ]
 #: Share of a notice's word pairs that a span must hold; diagonals this near are merged.
 COVERAGE, BAND = 0.7, 3
@@ -76,9 +93,11 @@ def spans(docs: DataFrame, coverage: float = COVERAGE, band: int = BAND) -> Data
     diagonal = votes(docs).groupBy("row", "doc_id", "template", "label", "is_base", "pairs", (F.col("pos") - F.col("place")).alias("diagonal"))
     voted = diagonal.agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     voted = voted.filter((F.col("n") >= F.least(F.lit(2), "pairs")) & (~F.col("is_base") | (F.col("n") == F.col("pairs"))))
-    by = W.partitionBy("row", "template").orderBy("diagonal", "low")
-    far = F.col("is_base") | (F.col("template") < 0) | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > band, F.lit(True))
-    merged = voted.withColumn("group", F.sum(far.cast("int")).over(by)).groupBy("row", "doc_id", "template", "label", "is_base", "pairs", "group")
+    by = W.partitionBy("row", "template").orderBy("low", "diagonal")
+    behind = lambda c: F.lag(c).over(by)
+    goes_on = (F.abs(F.col("diagonal") - behind("diagonal")) <= band) & (F.col("low") - F.col("diagonal") > behind("high") - behind("diagonal"))
+    apart = F.col("is_base") | (F.col("template") < 0) | ~F.coalesce(goes_on, F.lit(False))
+    merged = voted.withColumn("group", F.sum(apart.cast("int")).over(by)).groupBy("row", "doc_id", "template", "label", "is_base", "pairs", "group")
     found = merged.agg(F.sum("n").alias("n"), F.min("low").alias("start"), (F.max("high") + 2).alias("end"))
     score = F.when(F.col("template") < 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("n") / F.col("pairs")))
     return found.withColumn("score", score).filter((F.col("template") < 0) | (F.col("score") >= coverage)).select("row", "doc_id", "template", "label", "is_base", "start", "end", "score")
