@@ -1,16 +1,18 @@
 """Each operator against a brute-force version on a small table that holds the awkward rows."""
 
 import collections
+import itertools
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadmill.llm import decontaminate, graph, language, licenses, linedup, mixing, neardup, perplexity, quality, surrogates, toxicity
+from threadmill.llm import common, decontaminate, graph, language, licenses, linedup, mixing, neardup, perplexity, quality, surrogates, toxicity
 from threadmill.llm.common import crc_mod
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -128,15 +130,57 @@ def test_line_dedup(docs, rows, empty):
 
 
 def test_bitmaps_never_drop_a_match():
-    base = [f"t{i}".encode() for i in range(60)]
-    texts = [b" ".join(base[: 60 - j] + [f"z{i}{j}".encode() for i in range(j)]) for j in range(7)]
-    rows = linedup.prefixes(list(enumerate(texts)), linedup.Order({}), 80)
-    x = {"m": rows["m"], "bits": rows["bits"].flatten().to_numpy().view(np.uint64).reshape(-1, 4), "pos": np.zeros(7, "int32")}
-    i, j = np.triu_indices(7, 1)
-    ok, apart = linedup.LineLists(80, 8, 8).possible(x, i, j)
-    sets = [set(t.split()) for t in texts]
-    for a, b, keep, bits in zip(i, j, ok, apart, strict=True):
-        assert bits <= len(sets[a] ^ sets[b]) and (keep or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]))
+    for size in (60, 160):  # narrow and wide
+        base = [f"t{i}" for i in range(size)]
+        texts = [" ".join(base[: size - j] + [f"z{i}{j}" for i in range(j)]) for j in range(size // 8)]
+        buf = np.frombuffer("\n".join(texts).encode(), np.uint8)
+        lines = linedup.Lines(buf, np.array([0]), np.zeros(linedup.CELLS, np.uint8))
+        assert lines.line.tolist() == list(range(len(texts))) and lines.m.tolist() == [size] * len(texts)
+        parity, n = lines.parity(), len(texts)
+        x = {"doc_id": np.zeros(n), "line": lines.line, "m": lines.m, "pos": np.zeros(n, int), "bits": np.bitwise_xor.reduce(parity, 1), "rest": parity[:, 1:], "at": np.arange(n) if size > linedup.NARROW else np.full(n, -1)}
+        j, i = np.triu_indices(n, 1)
+        ok, apart = linedup.LineLists(80, 8, 8).possible(x, i, j)
+        sets = [set(t.split()) for t in texts]
+        for a, b, keep, bits in zip(i, j, ok, apart, strict=True):
+            assert bits <= len(sets[a] ^ sets[b]) and (keep or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("lot", [1 << 18, 64])
+def test_words_of_many_texts_at_once(monkeypatch, lot):
+    monkeypatch.setattr(common, "LOT", lot)
+    texts = [RND.choice(["Ab c", "", "\n", " x\ty ", "É Ünï", "w" * 300, "AB ab\x0baB\n c", prose(30)]) for _ in range(60)]
+    batch = pa.record_batch({"text": pa.array([*texts, None])})
+    for lower in (True, False):
+        want = [w.lower() if lower else w for t in texts for w in t.encode().split()]
+        got = [h for *_, buf, starts in common.lots(batch, most=lot) for h in common.word_hashes(buf, starts[:-1], lower)[0].tolist()]
+        assert len(got) == len(want) and len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_lines_of_many_texts_at_once():
+    texts = ["a B\n\nb a b", "", "x\n", "\n \ny", "z", ""]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    lines = linedup.Lines(buf, starts, np.zeros(linedup.CELLS, np.uint8))
+    assert list(zip(lines.doc.tolist(), lines.line.tolist(), lines.m.tolist(), strict=True)) == [(0, 0, 2), (0, 2, 2), (2, 0, 1), (3, 2, 1), (4, 0, 1)]
+    lo, hi = lines.digests()
+    assert lo[0] == lo[1] and hi[0] == hi[1] and len(set(lo.tolist())) == 4
+
+
+def test_line_dedup_by_hot_words(spark):
+    """Every word in a list with a second one; whatever is listed how, the result is the same."""
+    words, rnd = [f"h{i}" for i in range(14)], random.Random(3)
+    texts = ["\n".join(" ".join(rnd.sample(words, rnd.randint(1, 12))) for _ in range(6)) for _ in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string").repartition(5)
+    want, seen = set(), []
+    for i, t in enumerate(texts):
+        for j, x in enumerate(t.split("\n")):
+            s = set(x.split())
+            if any(100 * len(s & u) >= 80 * len(s | u) for u in seen):
+                want.add((i, j))
+            seen.append(s)
+    for hot, hubs, kept in ((1, 4096, 16), (60, 4096, 16), (1 << 16, 4096, 16), (60, 3, 1)):
+        got = [(r.doc_id, r.line) for r in linedup.matched_lines(df, hot=hot, hubs=hubs, kept=kept).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_line_dedup_of_a_group_of_similar_lines(spark):
@@ -145,7 +189,7 @@ def test_line_dedup_of_a_group_of_similar_lines(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     sets = [set(t.split()) for t in texts]
     for hubs, kept in ((4096, 16), (1, 1), (2, 3)):
-        got = {r.doc_id for r in linedup.matched_lines(df, hubs=hubs, kept=kept, head=4).collect()}
+        got = {r.doc_id for r in linedup.matched_lines(df, hubs=hubs, kept=kept).collect()}
         assert got == {i for i in range(30) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))} and got
 
 
@@ -165,6 +209,83 @@ def test_license_scan(docs, rows, empty, spark):
     assert [(m.start, m.end) for m in merged] == [(0, 10)] and licenses.scan(empty).count() == 0
 
 
+def item_in(t, item):
+    """Whether some alignment has a window of the item whose words agree at the threshold."""
+    w, x = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").lower()) for s in (t, item))
+    n = min(len(x), decontaminate.WINDOW)
+    return len(x) >= decontaminate.LEAST and any(100 * sum(0 <= d + j < len(w) and w[d + j] == x[j] for j in range(i, i + n)) >= decontaminate.PERCENT * n for d in range(-len(x), len(w)) for i in range(len(x) - n + 1))
+
+
+def test_every_pattern_of_substitutions_meets_a_mask():
+    for n in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS if n > decontaminate.SHORT else (decontaminate.PAIR,)
+        most = n - -(-decontaminate.PERCENT * n // 100)
+        for gone in itertools.combinations(range(n), most):
+            assert any(all(o + p not in gone for p in m) for m in masks for o in range(n - max(m))), (n, gone)
+
+
+def test_license_spans_hold_distinct_places_in_order(spark):
+    rows = [(1, "under the apache under the apache under the apache"), (2, "all rights reserved all rights reserved all rights reserved all rights reserved"), (3, "version 2 0 apache license licensed under the"), (4, "LICENSED, under the (famous) Apache License; Version 2.0")]
+    found = licenses.spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("template >= 0 and not is_base").collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.doc_id].append((r.label, r.start, r.end, round(r.score, 3)))
+    assert 1 not in by and 3 not in by and sorted(by[2]) == [("all-rights-reserved", i, i + 3, 1.0) for i in (0, 3, 6, 9)]
+    assert [x[0] for x in by[4]] == ["apache-2.0"] and by[4][0][1:3] == (0, 9)
+
+
+def test_license_labels_by_brute_force(spark):
+    """Notices with words left out, put in and changed: a label where a chain of neighbouring diagonals, each going on behind
+    the one before, holds enough of the notice's word pairs."""
+    rnd = random.Random(9)
+    templates = [(re.sub("[^0-9a-z]+", " ", t).split(), label) for t, label in licenses.NOTICES]
+    texts = []
+    for _ in range(60):
+        w = list(rnd.choice(templates)[0])
+        for _ in range(rnd.randrange(4)):
+            j = rnd.randrange(len(w))
+            w[j : j + 1] = rnd.choice([[], ["zz", w[j]], ["zz"]])
+        texts.append(" ".join([*(["pre"] * rnd.randrange(3)), *w, *(["post"] * rnd.randrange(3))]))
+
+    def labels(text):
+        w, out = text.split(), set()
+        for x, label in templates:
+            votes = collections.defaultdict(list)
+            for i in range(len(w) - 1):
+                for j in range(len(x) - 1):
+                    if w[i : i + 2] == x[j : j + 2]:
+                        votes[i - j].append(i)
+            strong = sorted((min(p), d, max(p), len(p)) for d, p in votes.items() if len(p) >= min(2, len(x) - 1))
+            last, n = None, 0
+            for low, d, high, k in strong:
+                n = n + k if last and abs(d - last[0]) <= licenses.BAND and low - d > last[1] - last[0] else k
+                last = (d, high)
+                if n >= licenses.COVERAGE * (len(x) - 1):
+                    out.add(label)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        assert set(filter(None, r.labels.split(","))) - {"gpl", "apache", "cc-by", "mit"} == labels(texts[r.doc_id]) - {"gpl", "apache", "cc-by", "mit"}
+
+
+def test_decontamination_of_random_substitutions(spark):
+    rnd = random.Random(5)
+    items = [" ".join(f"{rnd.choice(VOCAB)}{rnd.randrange(9)}" for _ in range(n)) for n in (3, 4, 5, 7, 8, 9, 10, 12, 13, 14, 20, 30)]
+    texts = []
+    for _ in range(160):
+        k = rnd.randrange(len(items))
+        w = items[k].split()
+        for j in rnd.sample(range(len(w)), rnd.randint(0, 1 + len(w) // 3)):
+            w[j] = "zz"
+        cut_at = rnd.randint(0, 3)
+        texts.append(" ".join([*(["pre"] * rnd.randrange(3)), *w[cut_at:], *(["post"] * rnd.randrange(3))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {i: ids for i, t in enumerate(texts) if (ids := [k for k, x in enumerate(items) if item_in(t, x)])}
+    assert {r.doc_id: list(r.items) for r in decontaminate.contaminated(df, bench).collect()} == want and 40 < len(want) < 150
+
+
 def test_decontamination(spark, docs, empty):
     items = [prose(30), prose(20), "short one", None, ""]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -175,12 +296,8 @@ def test_decontamination(spark, docs, empty):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: list(r.items) for r in decontaminate.contaminated(df, bench).collect()}
 
-    def holds(t, item):
-        w, x = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (s or "").lower()) for s in (t, item))
-        n = min(len(x), decontaminate.WINDOW)
-        return len(x) >= 8 and any(100 * sum(0 <= d + j < len(w) and w[d + j] == x[j] for j in range(i, i + n)) >= decontaminate.PERCENT * n for d in range(-len(x), len(w)) for i in range(len(x) - n + 1))
-
-    assert got == {i: ids for i, t in texts.items() if (ids := [k for k, x in enumerate(items) if holds(t, x)])} and set(got) == {1, 2, 5, 6}
+    got_all = got == {i: ids for i, t in texts.items() if (ids := [k for k, x in enumerate(items) if item_in(t, x)])}
+    assert got_all and set(got) == {1, 2, 5, 6}
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, empty.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
@@ -214,6 +331,25 @@ def test_surrogates_stay_distinct_where_few_exist(spark):
     assert len({r.new for r in got}) == 300 and not {r.new for r in got} & {f"{i}" for i in range(100, 400)}
 
 
+def test_surrogates_of_pathological_texts(spark):
+    """Long runs that patterns must not recurse into, and formats of which none is free."""
+    rows = [(0, "a@" + "a." * 100_000 + "com"), (1, "x." * 100_000), (2, "a@b.com." * 3), (3, "DE" + "1" * 100_000), (4, "1 " * 50_000), (5, "Mr " * 30_000 + "Smith"), (6, "password=" + "_" * 100_000), (7, "a@" * 50_000)]
+    rows += [(10 + i, f"{i}@{j}.de") for i in range(10) for j in range(9)]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(got) == len({i for i, _ in rows}) and got[0].n_entities == 1 and got[0].text != rows[0][1] and got[1].n_entities == got[4].n_entities == 0
+
+
+def test_surrogates_keep_persons_and_leave_numbers(spark):
+    rows = [(0, "Mr John Miller and Mr Miller, Dr. John Miller"), (1, "Password: hunter2hunter2 API_KEY=abcdefgh12"), (2, "order 1234567890123 and 9999999999999999"), (3, "card 4012-8888-8888-1881, 378282246310005 or 3782 822463 10005"), (4, "Ms Miller")]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    full, last, doctor = re.fullmatch(r"Mr (\w+ \w+) and Mr (\w+), Dr\. (\w+ \w+)", got[0].text).groups()
+    assert full == doctor and full.split()[1] == last and got[4].text.split()[1] != last and "John" not in got[0].text
+    assert re.fullmatch(r"Password: \w{14} API_KEY=\w{10}", got[1].text) and "hunter2" not in got[1].text and got[1].n_entities == 2
+    assert got[2].text == rows[2][1] and got[2].n_entities == 0 and got[3].n_entities == 3
+    amex = re.fullmatch(r"card 4\d{3}-\d{4}-\d{4}-\d{4}, (3\d{14}) or (3\d{3} \d{6} \d{5})", got[3].text).groups()
+    assert amex[0] == amex[1].replace(" ", "")
+
+
 def test_language(spark, docs, rows, empty):
     tongues = {"aa": ["blorp", "glimp", "trosk"], "bb": ["éaui", "ouèle", "iéeau"]}
     data = [(i, " ".join(RND.choice(tongues[t]) + RND.choice("ab") for _ in range(40)), t) for i, t in enumerate(["aa", "bb"] * 40)] + [(900, "123 !", "aa"), (901, None, "bb"), (902, "blorp glimpa", None)]
@@ -282,13 +418,50 @@ def test_lm(spark, docs, rows, empty):
     assert perplexity.score_texts(empty, held).count() == 0
 
 
-def test_lm_is_normalised():
-    """From each class, the chances of all words and of each class's unseen word add up to one."""
+def test_lm_score_by_brute_force(spark, docs, rows):
+    """The classes as learned; all else anew: bigrams of classes, smoothed transitions and emissions, in log10."""
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    train = docs.filter(~held).select("doc_id", "text")
+    model, table = perplexity.fit(train, perplexity.count_words(train), head=8, members=4, classes=4)
+    learned = {int(w["word"]): int(w["cls"]) for r in table.collect() for w in np.frombuffer(r["words"], perplexity.WORD)} | dict(zip(model.head.tolist(), model.cls.tolist(), strict=True))
+
+    def read(text):
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        t = perplexity.tokens(buf, np.array([0, len(buf)]))
+        return [(h, learned.get(h, int(model.endings[e]))) for h, e in zip(t.hash.tolist(), t.ending.tolist(), strict=True)]
+
+    seen, g = collections.Counter(), np.zeros((4, 4))
+    for i, t, *_ in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            toks = read(t)
+            seen.update(h for h, _ in toks)
+            for (_, a), (_, b) in zip([(0, 0), *toks], toks, strict=False):
+                g[a, b] += 1
+    of = {h: c for i, t, *_ in rows for h, c in read(t)}
+    distinct = collections.Counter(of[h] for h in seen)
+    assert [distinct[k] for k in range(4)] == model.distinct.tolist() and model.v == len(seen)
+    transition = (g + 0.5) / (g + 0.5).sum(1, keepdims=True)
+    total = [sum(n for h, n in seen.items() if of[h] == k) + distinct[k] + 1 for k in range(4)]
+    for k in range(4):  # the chances of all words and of an unseen one add up to one
+        assert math.isclose(sum((seen[h] + 1) / total[k] for h in seen if of[h] == k) + 1 / total[k], 1)
+    assert np.allclose(transition.sum(1), 1) and np.allclose(10 ** perplexity.emissions(g, model.distinct), total)
+    by = {r.doc_id: r for r in perplexity.score_texts(docs, held, head=8, members=4, classes=4).collect()}
+    for i, t, *_ in rows:
+        if i is not None:
+            toks = read(t)
+            want = sum(math.log10(transition[a, b] * (seen[h] + 1) / total[b]) for (_, a), (h, b) in zip([(0, 0), *toks], toks, strict=False))
+            assert math.isclose(by[i].score, want, rel_tol=1e-9)
+
+
+def test_exchange_finds_classes():
     n = np.array([[0, 3, 1, 0], [2, 1, 4, 1], [2, 3, 0, 2], [0, 1, 2, 0]], float)
     of = perplexity.exchange(n, 3)
     assert of[0] == 0 and set(of[1:]) <= {1, 2}
-    t = np.eye(3)[of].T @ n @ np.eye(3)[of] + 0.5
-    assert np.allclose((t / t.sum(1, keepdims=True)).sum(1), 1)
+    apart = np.zeros((9, 9))
+    apart[0, 1:5], apart[5:, 0] = 5, 5
+    apart[1:5, 5:] = 7
+    of = perplexity.exchange(apart, 3)
+    assert len(set(of[1:5])) == len(set(of[5:])) == 1 and of[1] != of[5]
 
 
 def test_lm_prefers_text_like_its_training(spark):
@@ -333,6 +506,26 @@ def test_permutation_and_shares():
     assert counts.sum(0).tolist() == [10, 0, 33] and (counts >= 0).all()
 
 
+def test_toxicity_categories_are_clusters():
+    x = np.array([[1, 1, 0, 0], [1, 0, 0, 0], [0, 0, 1, 1], [0, 0, 0, 1], [0, 0, 0, 0]], float)
+    of = toxicity.clusters(x, 2)
+    assert of[0] == of[1] != of[2] == of[3]
+
+
+def test_toxicity_chain_by_brute_force():
+    """What a document gets is the chain's logistic models applied in order to its active features."""
+    rnd = np.random.default_rng(2)
+    texts = [f"w{rnd.integers(50)} " * 3 + ("bad" if i % 5 == 0 else f"good{i % 7}") for i in range(120)]
+    cells = [np.array(sorted({c for w in toxicity.words_of(t.encode()) for c in toxicity.features(w)})) for t in texts]
+    chain = toxicity.fit_chain([(c, int(i % 5 == 0)) for i, c in enumerate(cells)], 2)
+    for t, c in zip(texts, cells, strict=True):
+        x, out = np.zeros(len(chain.cells)), []
+        x[[chain.cells[k] for k in c.tolist() if k in chain.cells]] = 1
+        for w in chain.weights:
+            out.append(1 / (1 + math.exp(-float(np.concatenate([x, out, [1]]) @ w))))
+        assert np.allclose(chain.predict(t.encode()), out, atol=1e-6) and (out[-1] > 0.25) == t.endswith("bad")
+
+
 def test_toxicity(spark, docs, rows, empty):
     bad = ["idiot", "scum", "stupid", "zorblike"]
     data, labels = [], []
@@ -344,7 +537,10 @@ def test_toxicity(spark, docs, rows, empty):
     labels += [(5000, 1, 1), (3, None, None), (None, 1, 1)]
     df, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.classify(df, lab).collect()}
-    assert all(got[i].toxic == (i % 4 == 0) for i in range(300)) and got[0].insult > 0.5 > got[4].insult
+    assert all(got[i].toxic == (i % 4 == 0) for i in range(300))
+    four = {r.doc_id: r for r in toxicity.classify(df, lab, categories=4).collect()}
+    strongest = {w: {int(np.argmax([four[i][f"category_{j + 1}"] for j in range(4)])) for i in range(0, 300, 4) if bad[(i // 4) % 4] == w} for w in bad}
+    assert all(len(s) == 1 for s in strongest.values()) and len(set.union(*strongest.values())) == 4
     kept = toxicity.without_toxic(df.withColumn("more", F.lit(1)), lab)
     assert kept.columns == ["doc_id", "text", "more"] and {r.doc_id for r in kept.collect()} == {i for i in range(300) if i % 4}
     assert toxicity.classify(docs, lab).count() == len(rows) and toxicity.classify(empty, lab).count() == 0

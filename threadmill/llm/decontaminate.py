@@ -3,12 +3,16 @@
 A seed looks at a window of words and ignores those at fixed places, so that a hit survives substitutions there.  The
 seed hashes of all windows of all texts are joined with those of the benchmark items; each hit fixes an alignment (a
 diagonal) of item and text, and the alignment is verified around the hit: some `window` words in a row of the item must
-agree with the text but for substitutions, at `percent` of the places or more.
-
-Only built-in functions.  The benchmark's seeds are broadcast if there are at most MAX_BROADCAST of them, else the join
-shuffles.  Defined results: null text or item has no words; items with fewer words than a mask's span are never found
-(too short to tell); repeated items each count; repeated rows of a doc_id are one document; a null doc_id is never
-found; an empty table gives an empty result.
+agree with the text but for substitutions, at `percent` of the places or more.  Whatever the places of the three
+substitutions that 13 words may have, one of the masks meets a window without any (a test tries all), so no overlap is
+lost, and none of shorter items down to 9 words.  Items of LEAST to SHORT words are looked for by their pairs of neighbouring words, which likewise always hit; the
+texts are hashed for them only if there are such items.
+
+Only built-in functions.  The benchmark's seeds, and the items, are broadcast if there are at most MAX_BROADCAST seeds and
+MAX_ITEMS items of MAX_WORDS words together, else the joins shuffle.  Defined results: null text or item has no words; items
+with fewer than LEAST words are never found (too short to tell); very long texts are read whole; a document with several
+items gets all of them, ties included; repeated items each count; repeated rows of a doc_id are one document; a null doc_id
+is never found; an empty table gives an empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import cut, id_bit, near_ids
 from threadmill.llm.licenses import SEPARATOR
 
-#: Places of the window that a seed looks at.
-MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7))
+#: Places of the window that a seed looks at: of items with more than SHORT words, and of shorter ones.
+MASKS = ((0, 1, 2, 4), (0, 3, 4, 5))
+PAIR = (0, 1)
+LEAST, SHORT = 4, 8
 WINDOW, PERCENT = 13, 75
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST, MAX_ITEMS, MAX_WORDS = 1_000_000, 100_000, 4_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -38,23 +44,28 @@ def _seeds(words: str, masks: tuple[tuple[int, ...], ...]) -> Column:
 
 
 def seeds(words: DataFrame, masks: tuple[tuple[int, ...], ...], *keep: str) -> DataFrame:
-    """(keep..., pos, h, whole) of every place of the array column `w`; whole: its window ends within the text.  The outer
-    form of the generator keeps the optimizer from inferring a filter that would compute the seeds twice."""
-    span = max(map(max, masks)) + 1
+    """(keep..., mask, pos, h) of every place of the array column `w` at which a mask's window fits.  The outer form of the
+    generator keeps the optimizer from inferring a filter that would compute the seeds twice."""
     made = words.select(*keep, F.size("w").alias("n"), _seeds("w", masks).alias("s"))
-    pos = F.pmod(F.col("p"), F.col("n"))
-    return made.select(*keep, "n", F.posexplode_outer("s").alias("p", "h")).select(*keep, pos.alias("pos"), "h", (pos + span <= F.col("n")).alias("whole"))
+    # the first mask's hashes stand first, then the second's: a place in the array tells both mask and word
+    mask = sum(((F.col("p") >= k * F.col("n")).cast("int") for k in range(2, len(masks))), (F.col("p") >= F.col("n")).cast("int"))
+    span = F.get(F.array(*(F.lit(max(m) + 1) for m in masks)), F.col("mask"))
+    flat = made.select(*keep, "n", F.posexplode_outer("s").alias("p", "h")).withColumn("mask", mask)
+    return flat.withColumn("pos", F.col("p") - F.col("mask") * F.col("n")).filter(F.col("pos") + span <= F.col("n")).select(*keep, "n", "mask", "pos", "h")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """A row per document, item and verified alignment: doc_id, item_id, start (word of the text where the item's first
     word would stand), n_agree (agreeing words in all), best (most in a window), item_words."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"))
-    wanted = seeds(items, masks, "item_id").filter("whole").select("item_id", F.col("pos").alias("item_pos"), "h")
-    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).filter(F.size("w") >= LEAST)
+    sizes = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words"), F.coalesce(F.min(F.size("w")), F.lit(SHORT + 1)).alias("least")).first()
+    used = (*masks, PAIR) if sizes["least"] <= SHORT else masks
+    is_pair = F.col("mask") == len(masks)
+    wanted = seeds(items, used, "item_id").filter(F.when(F.col("n") <= SHORT, is_pair).otherwise(~is_pair)).select("item_id", F.col("pos").alias("item_pos"), "h")
+    few = sizes["n"] <= MAX_ITEMS and sizes["words"] <= MAX_WORDS and sizes["words"] * len(masks) <= MAX_BROADCAST
     wanted = F.broadcast(wanted) if few else wanted
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    hits = seeds(rows.select("doc_id", words_of(F.col("text")).alias("w")), masks, "doc_id").filter("whole").join(wanted, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+    hits = seeds(rows.select("doc_id", words_of(F.col("text")).alias("w")), used, "doc_id").join(wanted, "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
     length = items.select("item_id", F.size("w").alias("long"))
     sized = hits.join(F.broadcast(length) if few else length, "item_id")
     per_doc = sized.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "start", "long")).alias("hits"))
