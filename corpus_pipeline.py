@@ -1,5 +1,9 @@
 """From raw documents to a training mix.  Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and read again as the next one's docs; all but the last return the columns of documents."""
+as Parquet and read again as the next one's docs; all but the last return the columns of documents.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns, which it
+passes on: a row with a null doc_id or text is neither toxic by itself, nor a copy, nor contaminated, so it stays; of
+copies that tie the smallest doc_id stays; repeated rows of a doc_id share their fate; an empty table stays empty."""
 
 from __future__ import annotations
 
@@ -38,7 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("mixing", mix)]
 
-#: No stage can be expressed in SQL in full; tests hold each against a brute-force version.
+#: No stage but the near duplicates can be expressed in SQL in full; tests/llm/test_pipeline_stages.py holds line dedup, near
+#: dedup and decontamination against brute force, mixing against its targets, and toxicity against the chain's own scores.
 ORACLE_SQL = None
 
 
