@@ -105,7 +105,9 @@ class Sessions:
         files = whole_files(self.spark, self.root, self.store.file_glob).select(F.regexp_extract("path", self.store.file_id, 1).alias("session_id"), "mtime", "size")
         files = files.filter(F.unix_millis("mtime") >= cutoff_ms).groupBy("session_id").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("file_size"))
         stamps = profile.first_last(self.messages).withColumnsRenamed({"first_ts": "start_time", "last_ts": "end_time"})
-        out = listing.message_counts(self.messages, self.marker).drop("file_size").join(files, "session_id").join(stamps, "session_id", "left")
+        # a listing looks for markers in users' rows only, and knows none in one store
+        marker = {"mock": self.marker & (F.col("role") == "user"), "vibe": self.marker & (F.col("role") == "user"), "pi": F.lit(False)}.get(self.store.name, self.marker)
+        out = listing.message_counts(self.messages, marker).drop("file_size").join(files, "session_id").join(stamps, "session_id", "left")
         if self.store.name == "vibe":
             out = out.join(logs.vibe_meta(self.spark, self.root).select("session_id", "title", "parent_session_id", "directory"), "session_id", "left")
         elif self.store.name in ("codex", "pi"):
