@@ -450,6 +450,18 @@ def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(messages(spark, sf_dir), "+the with -license").drop("hit_rank")
 
 
+@_query(r"""
+WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations WHERE trim(text) <> ''),
+d AS (SELECT conv_id, turn, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b, list_contains(w, 'license') AS c FROM t),
+s AS (SELECT conv_id, count(*) AS n, avg(len) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d GROUP BY conv_id),
+r AS (SELECT d.conv_id, d.turn, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)) AS score FROM d JOIN s ON d.conv_id = s.conv_id WHERE a > 0 AND NOT c)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, round(score, 4) AS score, CAST(n AS INTEGER) AS hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS n FROM r) WHERE n <= 10
+""")
+def search_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and ranks of the same search: a required, a wanted and an unwanted term."""
+    return search.search(messages(spark, sf_dir), "+the with -license").select("session_id", "seq", F.round(F.col("score").cast("double"), 4).alias("score"), "hit_rank")
+
+
 @_query("""
 SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL
 """)
