@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches of whole texts are held several times over, by the executor and its Python workers: keep them small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -257,11 +257,12 @@ def mark_cells(df: DataFrame, cells: int, cells_of: Callable[[pa.RecordBatch], n
     """Which of `cells` (a power of two) the rows of `df` fall into, as packed bits."""
 
     def send(batches):
-        flags = np.zeros(cells, bool)
+        bits = np.zeros(cells // 8, np.uint8)
         for batch in batches:
-            flags[cells_of(batch)] = True
-        if flags.any():
-            yield {"part": np.arange(parts, dtype=np.int32), "bits": [p.tobytes() for p in np.packbits(flags).reshape(parts, -1)]}
+            at = np.unique(cells_of(batch))
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        if bits.any():
+            yield {"part": np.arange(parts, dtype=np.int32), "bits": [p.tobytes() for p in bits.reshape(parts, -1)]}
 
     def join(batches):
         total: dict[int, np.ndarray] = {}

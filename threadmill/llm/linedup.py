@@ -40,7 +40,7 @@ CELLS, HOT = 1 << 18, 1 << 16
 #: Earlier lines of a list that a line is compared with at first, and candidates that are kept of them.
 HUBS, KEPT = 4096, 4
 #: Sets that a task remembers to tell copies without a shuffle.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Lines above this many words have the wide bitmap.
 NARROW = 100
 #: A line of a set, and a line in a list; wide: the rest of its bitmap.
@@ -255,7 +255,7 @@ def mark(doc_id: np.ndarray, line: np.ndarray, cells: int) -> np.ndarray:
 def picked(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(x, text): the lines of `need` (x: doc_id, line), once each, and a few others.  The tasks that read the texts know the
     wanted lines by marked cells of a hash, so nothing but lines is shuffled."""
-    cells = 1 << min(26, max(20, int(16 * need.count()).bit_length()))
+    cells = 1 << min(24, max(20, int(4 * need.count()).bit_length()))
     bits = mark_cells(need.select("x.doc_id", "x.line"), cells, lambda b: mark(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), cells))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 

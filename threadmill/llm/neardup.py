@@ -40,7 +40,7 @@ BLOCK = 256
 #: Words of 64 bits of a sketch's parity bitmap.
 _WORDS = 3
 #: Digests that a task remembers to tell copies without a shuffle.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 PLACE = np.dtype([("v", "<u8"), ("doc_id", "<i8"), ("n", "<u4"), ("rest", "<u4"), ("bits", "<u8", _WORDS)])
 #: Lowest lists of a member that its records carry, so that a pair is told in few of those that it shares.
 LOWEST = 8
@@ -280,7 +280,7 @@ def _of(df: DataFrame, ids: DataFrame, payload: str) -> DataFrame:
     """(doc_id, payload) of the rows of `df` whose id `ids` (doc_id) has, once each, and a few others: the tasks know the ids
     by marked cells of a hash, so little else is shuffled."""
     ids = cut(ids.distinct())
-    cells = 1 << min(26, max(20, int(16 * ids.count()).bit_length()))
+    cells = 1 << min(24, max(20, int(4 * ids.count()).bit_length()))
     bits = df.sparkSession.sparkContext.broadcast(mark_cells(ids, cells, lambda b: _cell(b.column("doc_id").to_numpy(), cells)))
     target = df.select("doc_id", payload).filter("doc_id is not null")
 

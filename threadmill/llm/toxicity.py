@@ -28,6 +28,8 @@ TOXIC, OTHERS = 2500, 5000
 #: Features that the models look at, and cells in which features are counted to choose them.
 FEATURES, CELLS = 1024, 1 << 22
 THRESHOLD = 0.25
+#: Words whose features a task remembers.
+REMEMBERED = 50_000
 FOLDS = 5
 #: Categories before the last, and by how many standard deviations a feature's rates in either class differ at least.
 CATEGORIES, APART = 3, 3.0
@@ -56,7 +58,7 @@ class Chain:
         for w in words_of(text):
             got = self.seen.get(w)
             if got is None:
-                if len(self.seen) > 200_000:
+                if len(self.seen) > REMEMBERED:
                     self.seen.clear()
                 got = self.seen[w] = tuple(self.cells[c] for c in features(w) if c in self.cells)
             if got:
@@ -167,6 +169,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others
     def keep(batches):
         for batch in batches:
             yield batch if chain.value is None else batch.filter(pa.array([chain.value.predict(t)[-1] < threshold for t in utf8(batch)], pa.bool_()))
+        if chain.value:  # workers serve later stages too
+            chain.value.seen.clear()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
