@@ -151,14 +151,10 @@ def _laid(kind: Column, mention: Column, news: Column) -> Column:
     return F.when(fits & kind.isin("card", "phone", "ssn"), digits).when(fits & (kind == "iban"), spaced).when(kind == "person", F.concat(title, cased)).when(kind == "email", mail).otherwise(new)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) of all rows; row: a number that a row keeps however often the table is read."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-
 def mentions(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that hold entities: row, doc_id, text, found (their mentions, in order)."""
-    seen = numbered(docs).filter(F.col("text").rlike(HINT)).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = rows.filter(F.col("text").rlike(HINT)).withColumn("found", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     return seen.filter(F.size("found") > 0)
 
 
@@ -178,8 +174,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     by_row = laid.groupBy("row").agg(in_order("pos", "new").alias("new"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     text = F.array_join(F.zip_with(F.split("text", ANY, -1), "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = held.join(by_row, "row").select("doc_id", F.size("found").cast("long").alias("n_entities"), "kinds", text.alias("text"))
-    # the patterns are tried again only on rows whose bit one with entities has too
-    dirty = near_ids(held.select(F.col("row").alias("doc_id"))).withColumn("hit", F.lit(True))
-    rest = numbered(docs).withColumn("bit", id_bit(F.col("row"))).join(dirty, "bit", "left")
+    # the patterns are tried again only on texts whose bit one with entities has too
+    dirty = near_ids(held.select(F.col("text").alias("doc_id"))).withColumn("hit", F.lit(True))
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("bit", id_bit(F.col("text"))).join(dirty, "bit", "left")
     clean = rest.filter(F.col("hit").isNull() | ~F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False)))
     return clean.select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"), "text").union(changed)
