@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -42,6 +43,44 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `cut` wrote, when nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Gives a form of `cut` for frames that are read inside the block only: their folders go at its end, unless kept as
+    `lasting` because the result reads them."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, lasting: bool = False) -> DataFrame:
+        path = f"{shared_dir(spark)}/threadmill-{uuid.uuid4().hex}"
+        if not lasting:
+            paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            discard(spark, path)
+
+
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most `rows` rows in an Arrow batch of what is run inside the block; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches of whole texts are held several times over, by the executor and its Python workers: keep them small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
