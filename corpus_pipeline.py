@@ -8,6 +8,7 @@ copies that tie the smallest doc_id stays; repeated rows of a doc_id share their
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadmill.llm import decontaminate, linedup, mixing, neardup, toxicity
 from threadmill.llm.common import cut, table
@@ -25,14 +26,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8) stays."""
-    again = neardup.near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+    again = neardup.near_duplicates(docs, k=5, percent=80).filter("not kept").select(F.col("doc_id").alias("again_id")).distinct()
+    return docs.join(again, docs["doc_id"] == F.col("again_id"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"))
+    return docs.join(found, docs["doc_id"] == F.col("found_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

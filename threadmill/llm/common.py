@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as `F.col` takes it, whatever dots and quotes it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it; a private one only where none is named and driver and
     executors are one process."""
@@ -186,6 +191,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 #: Bytes of text that are split at once.
 LOT = 1 << 18
+#: Words of so many bytes are hashed by themselves.
+LONG = 32
 _powers: list[np.ndarray] = []
 
 
@@ -206,8 +213,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, byte behind the last) of all words of the texts that stand one after the other in `buf` and begin at `starts`.  A word is
-    a run of bytes other than ASCII white space; its hash is a polynomial in its bytes (A-Z as a-z if `lower`), taken from
-    running sums and mixed, so no word is handled by itself."""
+    a run of bytes other than ASCII white space.  The hash of a word under `LONG` bytes is a polynomial in its bytes (A-Z as a-z if
+    `lower`), taken from running sums and mixed, so no word is handled by itself; two such words are told apart but for chance.
+    Longer ones, of which a polynomial modulo 2**64 cannot tell all apart, are hashed by themselves."""
     n, table, found = len(buf), _LOWER if lower else _BYTE, []
     at = 0
     while at < n:
@@ -233,7 +241,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, lower: bool = True) -> tupl
             up, down = powers(len(piece))
             total = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(table.take(piece) * up[: len(piece)], out=total[1:])
-            found.append((scramble((total.take(e + 1) - total.take(s)) * down.take(s)), s + at, e + (at + 1)))
+            h = scramble((total.take(e + 1) - total.take(s)) * down.take(s))
+            for i in np.flatnonzero(e - s >= LONG - 1).tolist():
+                word = piece[s[i] : e[i] + 1].tobytes()
+                h[i] = xxh(word.lower() if lower else word, LONG)
+            found.append((h, s + at, e + (at + 1)))
         at = end
     if len(found) == 1:
         return found[0]

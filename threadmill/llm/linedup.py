@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import MIX, cut, id_bit, lots, mark_cells, marked, near_ids, per_batch, per_task, scramble, sum_cells, utf8, word_hashes
+from threadmill.llm.common import MIX, cut, id_bit, lots, mark_cells, marked, near_ids, per_batch, per_task, quoted, scramble, sum_cells, utf8, word_hashes
 from threadmill.llm.lists import HELD, Lists, buckets, dealt, gathered, hot_rank, in_lists, listed, rarity
 
 PERCENT = 80
@@ -339,12 +339,12 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """`docs`, all columns, with the lines of `removed` taken out of text."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).withColumn("bit", id_bit(F.col("doc.doc_id").cast("long")))
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("doc")).withColumn("bit", id_bit(F.col("doc.doc_id").cast("long")))
     gone = cut(removed.select("doc_id", "removed"))
     kept = F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n"))
     bits = near_ids(gone)
     # documents that surely lose nothing are not shuffled
     some = whole.join(bits, "bit", "left_semi").join(gone, F.col("doc.doc_id") == F.col("doc_id"), "left")
-    changed = some.select(*(text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
+    changed = some.select(*(text.alias(c) if c == "text" else F.col(f"doc.{quoted(c)}") for c in docs.columns))
     return whole.join(bits, "bit", "left_anti").select("doc.*").union(changed)

@@ -67,6 +67,8 @@ class Chain:
 
     def predict(self, text: bytes) -> list[float]:
         at, earlier = self.active(text), []
+        if not len(at):  # nothing is known of it, so it is not toxic
+            return [0.0] * len(self.weights)
         n = len(self.cells)
         for w in self.weights:
             z = w[at].sum() + w[-1] + float(np.dot(w[n:-1], earlier))
@@ -163,17 +165,21 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, others: int) ->
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, whose text the chain does not call toxic; they are read once and not shuffled."""
+    """The rows of `docs`, all columns, whose text the chain does not call toxic; they are read once and not shuffled.  A null text and one
+    without any feature score 0 and stay."""
     chain = docs.sparkSession.sparkContext.broadcast(fit_chain(sample_rows(docs, labels, toxic, others)))
 
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots or quotes
+    text = f"c{docs.columns.index('text')}"
+
     def keep(batches):
         for batch in batches:
-            yield batch if chain.value is None else batch.filter(pa.array([chain.value.predict(t)[-1] < threshold for t in utf8(batch)], pa.bool_()))
+            yield batch if chain.value is None else batch.filter(pa.array([chain.value.predict(t)[-1] < threshold for t in utf8(batch, text)], pa.bool_()))
         if chain.value:  # workers serve later stages too
             chain.value.seen.clear()
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, categories: int = CATEGORIES, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
