@@ -27,13 +27,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, 0.8) stays."""
     again = neardup.near_duplicates(docs, k=5, percent=80).filter("not kept").select(F.col("doc_id").alias("again_id")).distinct()
-    return docs.join(again, docs["doc_id"] == F.col("again_id"), "left_anti")
+    return docs.join(again, docs["doc_id"] == again["again_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"))
-    return docs.join(found, docs["doc_id"] == F.col("found_id"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["found_id"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
