@@ -1,6 +1,5 @@
 from datetime import datetime, timedelta
 
-from threadmill.operators import search
 from threadmill.sources import caches
 
 
@@ -18,16 +17,3 @@ def test_freshness(spark):
     cached = spark.createDataFrame([("a", now), ("b", now)], "session_id string, written_at timestamp")
     seen = spark.createDataFrame([("a", now + timedelta(seconds=10), "file"), ("b", now + timedelta(seconds=20), "file"), ("c", now, "file"), ("d", now, "database")], "session_id string, mtime timestamp, backend_kind string")
     assert [r.session_id for r in caches.fresh(cached, seen).collect()] == ["a"]
-    meta = spark.createDataFrame([("a", now), ("c", now), ("d", now)], "session_id string, source_mtime timestamp")
-    assert sorted(r.session_id for r in caches.stale(seen, meta).collect()) == ["a", "b", "d"]
-
-
-def test_index_replaces_whole_sessions(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(r, "session_id string, seq long, content string, thinking string")
-    path = str(tmp_path / "index")
-    search.write_index(search.postings(rows(("a", 0, "x y", None), ("b", 0, "z", None))), path)
-    search.write_index(search.postings(rows(("a", 1, "w", None))), path)
-    got = spark.read.parquet(path)
-    assert sorted((r.session_id, r.term) for r in got.collect()) == [("a", "w"), ("b", "z")]
-    meta = caches.index_meta(got, spark.createDataFrame([("a", datetime(2026, 1, 1))], "session_id string, mtime timestamp")).first()
-    assert (meta.session_id, meta.doc_count) == ("a", 1)

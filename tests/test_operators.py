@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from threadmill import model
-from threadmill.operators import budget, dedupe, entries, maintain, profile, qa, search, slicing, summary, todos
+from threadmill.functions import text
+from threadmill.operators import budget, dedupe, entries, index, maintain, profile, qa, search, slicing, summary, todos
 from threadmill.plans import prompts, reports
 
 
@@ -91,8 +92,8 @@ def test_search(spark):
     assert [(r.session_id, r.seq) for r in search.search(m, '"beta gamma"').collect()] == [("a", 1)]
     assert [(r.session_id, r.seq) for r in search.search(m, "beta -gamma").collect()] == [("a", 0)]
     assert {(r.session_id, r.seq) for r in search.search(m, "beta AND alpha").collect()} == {("a", 0)}
-    p = search.postings(m)
-    assert p.filter("term = 'alpha' and session_id = 'b'").first().tf == 3
+    told = m.filter("content <> ''").select("session_id", F.lit("r").alias("run"), "seq", F.lit(3).alias("len"), text.query_tokens("content").alias("t"))
+    assert index.postings(told, 4).filter("term = 'alpha' and session_id = 'b'").first().places == [0, 1, 2]
 
 
 def test_aliases_and_chunk_merge(spark):

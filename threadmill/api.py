@@ -7,14 +7,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.functions.redact import redact_secrets
-from threadmill.operators import dedupe, entries, histogram, listing, profile, qa, search, slicing, summary, todos
+from threadmill.operators import dedupe, entries, histogram, index, listing, profile, qa, search, slicing, summary, todos
 from threadmill.plans import prompts, reports
 from threadmill.sources import logs, opencode
 from threadmill.sources.jsonl import UUID, lines, whole_files
 
+HITS = search.HITS
 HARNESS_ALIASES = {"mistral-vibe": "vibe"}
 
 
@@ -151,9 +153,34 @@ class Sessions:
     def said_did(self) -> DataFrame:
         return reports.said_did(self.messages, self.marker)
 
-    def search(self, query: str, hits: int = search.HITS) -> DataFrame:
+    def search(self, query: str, hits: int = HITS) -> DataFrame:
+        """Hits over the messages themselves, without an index."""
         return search.search(self.messages, query, hits)
 
+    def index(self, folder: str, only: DataFrame | None = None) -> DataFrame:
+        """Index all sessions, or those of `only` (session_id), into a folder: (session_id, doc_count)."""
+        rows = self.messages if only is None else self.messages.join(only.select("session_id").distinct(), "session_id", "left_semi")
+        return index.index_messages(rows, folder, self.list().select("session_id", "mtime") if self.store.file_glob else None)
+
+    def search_index(self, folder: str, query: str, ids: list[str] | None = None, directory: str | None = None, cutoff_ms: int = 0, hits: int = HITS) -> tuple[DataFrame, DataFrame]:
+        """(meta, hits) from an index.  `ids` are parts of session ids, each meaning the most recent session that holds it; without them the
+        window and directory decide.  Stale sessions in files are indexed first; a database cannot tell, so what it lacks is only named."""
+        rows = self.list(directory if not ids else None, cutoff_ms if not ids else 0)
+        kind = F.lit("file" if self.store.file_glob else "database")
+        mtime = F.col("mtime") if self.store.file_glob else F.lit(None).cast("timestamp").alias("mtime")
+        every = rows.select("session_id", mtime, kind.alias("backend_kind"))
+        none = self.spark.createDataFrame([], "pos long, id string")
+        selected, unmatched = every, none
+        if ids:
+            wanted = self.spark.createDataFrame(list(enumerate(ids)), "pos long, id string")
+            recent = rows.select("session_id", F.row_number().over(W.orderBy(F.desc_nulls_last("mtime" if self.store.file_glob else "updated_ms"), "session_id")).alias("ord"))
+            chosen, unmatched = slicing.select_sessions(recent, wanted)
+            selected = every.join(chosen, "session_id", "left_semi")
+        behind = index.stale(self.spark, folder, selected).filter("backend_kind = 'file'")
+        if not behind.isEmpty():
+            self.index(folder, behind)
+        return index.search_report(self.spark, folder, query, selected.select("session_id"), unmatched, hits)
+
     def summary_status(self, ledger: DataFrame) -> DataFrame:
         return summary.status(ledger, self.messages)
 

@@ -1,8 +1,11 @@
-"""Full-text search: an inverted index as a table, per-session relevance, ranked hits."""
+"""Full-text search over messages: queries, per-session relevance, ranked hits."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,37 +14,78 @@ from pyspark.sql import functions as F
 from threadmill.functions.text import fragment, query_tokens
 
 K1, B, HITS = 1.2, 0.75, 10
+HIT = "session_id string, seq long, timestamp string, role string, score float, fragment string, in_thinking boolean, hit_rank int"
 
 
-def postings(docs: DataFrame, key: str = "session_id", doc: str = "seq", fields: tuple[str, ...] = ("content", "thinking")) -> DataFrame:
-    """(key, doc, term, tf, len): one row per distinct term of a document, tokens of all `fields` together."""
-    text = F.concat_ws(" ", *fields)
-    tokens = query_tokens(text)
-    flat = docs.select(key, doc, tokens.alias("t")).select(key, doc, F.size("t").alias("len"), F.explode_outer("t").alias("term")).filter("term is not null")
-    return flat.groupBy(key, doc, "len", "term").agg(F.count("*").alias("tf"))
+#: A clause of a query: whether it must, should or must not hold, and a run of terms or a group of clauses.
+Clause = tuple[str, "list[str] | list[Clause]"]
+_TOKEN = re.compile(r'([+-]?)(?:(\()|"([^"]*)"|([^\s()"]+))|(\))')
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Sessions are replaced as a whole: only the partitions of the sessions at hand are overwritten."""
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
-
-
-def parse_query(query: str) -> list[tuple[str, list[str]]]:
-    """(occurrence, terms) of each clause: `must` (+ or AND), `not` (- or NOT), else `should`; a quoted phrase holds several terms."""
+def parse_query(query: str) -> list[Clause]:
+    """The clauses of a query: `must` (+ or AND), `not` (- or NOT), else `should`; a quoted phrase holds several terms, parentheses
+    a group.  AND binds closer than OR and than clauses that stand side by side.  An unbalanced quote or parenthesis and an operator
+    without its clause raise."""
     if query.count('"') % 2:
         raise ValueError("unbalanced quote in search query")
-    clauses, mode = [], "should"
-    for sign, phrase, word in re.findall(r'([+-]?)(?:"([^"]*)"|(\S+))', query):
-        if word in ("AND", "OR", "NOT"):
-            if word == "AND" and clauses and clauses[-1][0] == "should":
-                clauses[-1] = ("must", clauses[-1][1])
-            mode = {"AND": "must", "OR": "should", "NOT": "not"}[word]
-            continue
-        terms = [t for t in re.split(r"[\W_]+", (phrase or word).lower()) if t]
-        if terms:
-            clauses.append(({"+": "must", "-": "not"}.get(sign, mode), terms))
-        mode = "should"
-    return clauses
+    found, at = _TOKEN.findall(query), 0
+
+    def group(depth: int) -> list[Clause]:
+        nonlocal at
+        runs: list[list[tuple[str, object]]] = []
+        joins, sign = "", ""
+        while at < len(found):
+            mark, opened, phrase, word, closed = found[at]
+            at += 1
+            if closed:
+                if not depth:
+                    raise ValueError("unbalanced parenthesis in search query")
+                depth = -1
+                break
+            if word in ("AND", "OR", "NOT") and not mark:
+                if word == "NOT":
+                    sign = "not"
+                elif joins or sign or not runs:
+                    raise ValueError(f"{word} joins nothing in search query")
+                else:
+                    joins = word
+                continue
+            node = group(1) if opened else [t for t in re.split(r"[\W_]+", (phrase or word).lower()) if t]
+            if node:
+                clause = ({"+": "must", "-": "not"}.get(mark, sign), node)
+                if joins == "AND" and runs:
+                    runs[-1].append(clause)
+                else:
+                    runs.append([clause])
+            joins = sign = ""
+        if depth > 0:
+            raise ValueError("unbalanced parenthesis in search query")
+        if joins or sign:
+            raise ValueError("an operator joins nothing in search query")
+        return [(r[0][0] or "should", r[0][1]) if len(r) == 1 else ("should", [(m or "must", n) for m, n in r]) for r in runs]
+
+    tree = group(0)
+    if not any(m != "not" for m, _ in tree):
+        raise ValueError("empty search query")
+    return tree
+
+
+def terms_of(clauses: list[Clause], wanted: bool = False) -> set[str]:
+    """All terms, or those alone that no `not` takes away."""
+    out: set[str] = set()
+    for mode, node in clauses:
+        if not (wanted and mode == "not"):
+            out |= set(node) if isinstance(node[0], str) else terms_of(node, wanted)
+    return out
+
+
+def predicate(clauses: list[Clause], held: Callable[[list[str]], Column]) -> Column:
+    """Whether a message matches: every `must`, no `not`, and without a `must` one of the others.  `held` says whether a run
+    of terms stands in the message."""
+    met = [(m, held(n) if isinstance(n[0], str) else predicate(n, held)) for m, n in clauses]
+    of = lambda mode: [c for m, c in met if m == mode]
+    keep = reduce(and_, of("must")) if of("must") else reduce(or_, of("should"), F.lit(False))
+    return reduce(lambda a, b: a & ~b, of("not"), keep)
 
 
 def _times(tokens: str, word: str) -> Column:
@@ -56,34 +100,31 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "session_id", doc: str =
     seen = docs.select(key, doc, tokens.alias("t")).select(key, doc, F.size("t").alias("len"), *(_times("t", w).alias(f"tf{i}") for i, w in enumerate(terms)))
     stats = seen.groupBy(key).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     met = seen.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).join(stats, key)
-    part = [F.log(1 + (F.col("n_docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) for i in range(len(terms))]
-    return met.select(key, doc, sum(part[1:], part[0]).alias("score"))
+    part = bm25_sum([(F.col(f"tf{i}"), F.col(f"df{i}")) for i in range(len(terms))], F.col("n_docs"), F.col("len"), F.col("avg_len"))
+    return met.select(key, doc, part.alias("score"))
+
+
+def bm25_sum(counts: list[tuple[Column, Column]], n_docs: Column, size: Column, avg: Column) -> Column:
+    """The score of a message whose terms have the given (tf, df)."""
+    part = [F.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / avg)) for tf, df in counts]
+    return sum(part[1:], part[0])
 
 
 def search(messages: DataFrame, query: str, hits: int = HITS) -> DataFrame:
     """Each session's best `hits` messages for a query: score, fragment, in_thinking; best first.  An empty query raises."""
     clauses = parse_query(query)
-    if not any(m != "not" for m, _ in clauses):
-        raise ValueError("empty search query")
     text = F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("thinking", F.lit("")))
     padded = F.concat(F.lit(" "), F.array_join(query_tokens(text), " "), F.lit(" "))
     held = lambda terms: F.contains(padded, F.lit(f" {' '.join(terms)} "))
-    must, never = [held(t) for m, t in clauses if m == "must"], [held(t) for m, t in clauses if m == "not"]
-    some = [held(t) for m, t in clauses if m == "should"]
-    docs = messages.filter(F.trim(text) != "")
-    scored = bm25(docs, sorted({w for m, t in clauses if m != "not" for w in t}))
-    keep = F.lit(True)
-    for c in must:
-        keep = keep & c
-    if some and not must:
-        any_of = some[0]
-        for c in some[1:]:
-            any_of = any_of | c
-        keep = keep & any_of
-    for c in never:
-        keep = keep & ~c
+    docs = messages.filter((F.coalesce("content", F.lit("")) != "") | (F.coalesce("thinking", F.lit("")) != ""))
+    scored = bm25(docs, sorted(terms_of(clauses, wanted=True)))
     best = W.partitionBy("session_id").orderBy(F.desc("score"), "seq")
-    top = docs.filter(keep).join(scored, ["session_id", "seq"]).withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits)
+    top = docs.filter(predicate(clauses, held)).join(scored, ["session_id", "seq"]).withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= hits)
+    return shown(top, query)
+
+
+def shown(top: DataFrame, query: str) -> DataFrame:
+    """Ranked messages (with score and hit_rank) as hits, best first."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     tokens = query_tokens(F.lit(query))
     in_content, in_thinking = F.exists(tokens, lambda t: F.contains(low("content"), t)), F.exists(tokens, lambda t: F.contains(low("thinking"), t))

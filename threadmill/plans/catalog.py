@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.functions import redact, text
-from threadmill.operators import budget, dedupe, entries, histogram, listing, maintain, profile, qa, search, slicing, summary, todos
+from threadmill.operators import budget, dedupe, entries, histogram, index, listing, maintain, profile, qa, search, slicing, summary, todos
+from threadmill.sources.scratch import shared_folder
 from threadmill.sources.tables import conversation_messages as messages
 from threadmill.sources.tables import table
 from threadmill.streaming import batches
@@ -444,10 +445,57 @@ def bounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_prompt(messages(spark, sf_dir), 2_000)
 
 
-@_query()
+_HITS = r"""
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, role, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations WHERE coalesce(text, '') <> ''),
+d AS (SELECT *, len(w) AS len, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b, ' ' || array_to_string(w, ' ') || ' ' AS p FROM t),
+s AS (SELECT session_id, count(*) AS n, avg(len) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM d GROUP BY session_id),
+r AS (SELECT d.*, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al)) AS score FROM d JOIN s ON d.session_id = s.session_id),
+"""
+#: The first token's place in the lower-cased text, in bytes, and the whole characters from 50 bytes before to 200 behind it.
+_FRAGMENT = """
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq) AS hit_rank FROM m),
+f AS (SELECT *, CASE WHEN strpos(lower(text), tok1) > 0 THEN strpos(lower(text), tok1) WHEN strpos(lower(text), tok2) > 0 THEN strpos(lower(text), tok2) ELSE 1 END AS i FROM k WHERE hit_rank <= 10),
+g AS (SELECT *, strlen(left(lower(text), CAST(i - 1 AS INTEGER))) AS hit FROM f),
+h AS (SELECT *, list_filter(range(0, length(text) + 1), lambda c: strlen(left(text, CAST(c AS INTEGER))) >= greatest(hit - 50, 0))[1] AS c0, list_filter(range(0, length(text) + 1), lambda c: strlen(left(text, CAST(c AS INTEGER))) <= hit + 200)[-1] AS c1 FROM g)
+SELECT session_id, seq, role, round(score, 4) AS score, substring(text, CAST(c0 + 1 AS INTEGER), CAST(c1 - c0 AS INTEGER)) AS fragment, false AS in_thinking, CAST(hit_rank AS INTEGER) AS hit_rank FROM h
+"""
+_AND_NOT = "m AS (SELECT *, 'the' AS tok1, 'with' AS tok2 FROM r WHERE a > 0 AND NOT list_contains(w, 'license'))," + _FRAGMENT
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("session_id", "seq", "role", F.round(F.col("score").cast("double"), 4).alias("score"), "fragment", "in_thinking", "hit_rank")
+
+
+@_query(_HITS + _AND_NOT)
 def search_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's best messages for a query with a required and an unwanted term."""
-    return search.search(messages(spark, sf_dir), "+the with -license").drop("hit_rank")
+    """Each conversation's best messages for a query with a required and an unwanted term, from the messages themselves."""
+    return _rounded(search.search(messages(spark, sf_dir), "+the with -license"))
+
+
+@_query(_HITS + _AND_NOT)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of all conversations, of which the terms' buckets alone are read."""
+    folder = shared_folder(spark, "index")
+    index.index_messages(messages(spark, sf_dir), folder)
+    return _rounded(index.search_index(spark, folder, "+the with -license"))
+
+
+@_query(r"""
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM conversations WHERE coalesce(text, '') <> ''),
+d AS (SELECT *, len(w) AS len, ' ' || array_to_string(w, ' ') || ' ' AS p FROM t),
+s AS (SELECT session_id, count(*) AS n, avg(len) AS al FROM d GROUP BY session_id),
+c AS (SELECT session_id, seq, x.term, len(list_filter(w, lambda y: y = x.term)) AS tf, len FROM d, (SELECT unnest(['the', 'in', 'with', 'of']) AS term) x),
+f AS (SELECT session_id, term, count(*) FILTER (tf > 0) AS df FROM c GROUP BY ALL),
+r AS (SELECT c.session_id, c.seq, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM c JOIN f ON c.session_id = f.session_id AND c.term = f.term JOIN s ON s.session_id = c.session_id GROUP BY ALL),
+m AS (SELECT d.session_id, d.seq FROM d WHERE (list_contains(w, 'the') OR contains(p, ' in the ')) AND (list_contains(w, 'with') OR contains(p, ' of the ')) AND NOT contains(p, ' to the '))
+SELECT session_id, seq, round(score, 4) AS score, CAST(k AS INTEGER) AS hit_rank FROM (SELECT r.*, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, seq) AS k FROM r JOIN m USING (session_id, seq)) WHERE k <= 10
+""")
+def search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and phrases, from an index: one of two in each of two groups, and a phrase that must not stand."""
+    folder = shared_folder(spark, "index")
+    index.index_messages(messages(spark, sf_dir), folder)
+    found = index.search_index(spark, folder, '(the OR "in the") AND (with OR "of the") AND NOT "to the"')
+    return found.select("session_id", "seq", F.round(F.col("score").cast("double"), 4).alias("score"), "hit_rank")
 
 
 @_query(r"""

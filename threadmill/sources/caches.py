@@ -1,4 +1,4 @@
-"""Stored results: summary ledgers, profiles, full-text indexes, and when they are still fresh."""
+"""Stored results: summary ledgers and profiles, and when they are still fresh."""
 
 from __future__ import annotations
 
@@ -38,16 +38,3 @@ def fresh(cached: DataFrame, updated: DataFrame) -> DataFrame:
     """Cached rows (session_id, written_at) whose session (session_id, mtime) has not changed since, give or take SLACK_SECONDS."""
     late: Column = F.col("mtime") <= F.col("written_at") + F.make_dt_interval(secs=F.lit(float(SLACK_SECONDS)))
     return cached.join(updated.select("session_id", "mtime"), "session_id").filter(late).drop("mtime")
-
-
-def index_meta(postings: DataFrame, updated: DataFrame) -> DataFrame:
-    """(session_id, doc_count, built_at, source_mtime) of an index."""
-    counts = postings.groupBy("session_id").agg(F.count_distinct("seq").alias("doc_count"))
-    return counts.join(updated.select("session_id", F.col("mtime").alias("source_mtime")), "session_id").withColumn("built_at", F.current_timestamp())
-
-
-def stale(sessions: DataFrame, meta: DataFrame) -> DataFrame:
-    """Sessions without an index, or with one of another second; stores in databases always count as stale."""
-    met = sessions.join(meta.select("session_id", "source_mtime"), "session_id", "left")
-    same = F.date_trunc("second", "mtime") == F.date_trunc("second", "source_mtime")
-    return met.filter(F.col("source_mtime").isNull() | (F.col("backend_kind") == "database") | ~same).drop("source_mtime")
