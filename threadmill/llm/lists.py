@@ -94,7 +94,10 @@ class Lists:
     A subclass says which pairs may match and how far apart they seem (`possible`).  A member keeps its `kept` nearest
     candidates of a list, ranked from 0; `more` says that there were others, or that the member stands beyond the first
     `hubs` of its list, which alone it is compared with.  Members that are marked in `whole` are compared with all
-    earlier ones and keep all candidates."""
+    earlier ones and keep all candidates.  With `first`, a member keeps the first candidate of its list too: where all members of a list are
+    alike, they then share one."""
+
+    first = False
 
     def __init__(self, hubs: int, kept: int):
         self.hubs, self.kept = hubs, kept
@@ -153,9 +156,11 @@ class Lists:
         if everything:
             return i, j, rank.astype(np.int32), np.zeros(len(i), bool)
         over = np.repeat(count > self.kept, count)
+        lead = j == np.repeat(np.minimum.reduceat(j, first), count) if self.first and len(j) else np.zeros(len(j), bool)
         if far is not None and len(far):
             over |= np.isin(i, far)
             alone = np.setdiff1d(far, member)
             i, j, rank, over = np.concatenate([i, alone]), np.concatenate([j, alone]), np.concatenate([rank, np.full(len(alone), -1)]), np.concatenate([over, np.ones(len(alone), bool)])
         keep = rank < self.kept
+        keep[: len(lead)] |= lead
         return i[keep], j[keep], rank[keep].astype(np.int32), over[keep]

@@ -8,7 +8,7 @@
    value that is retained very often is listed together with a second one, so that no list grows with the corpus alone.
 3. In each list every member is compared with the earlier ones: sizes, what is left behind the shared value in both orders,
    and a parity bitmap of the sketch leave candidate pairs.  The nearest pass the union-sketch estimate and are verified by
-   exact Jaccard on whole texts; then those of the others that lie between different components.
+   exact Jaccard on whole texts, and so is each one's first candidate, so that groups of near copies meet in one component at once.
 4. Members with more candidates than are kept meet their lists' members of other components once more: the member of the
    smaller component is verified on whole texts against all documents of the larger one, which is dealt into blocks.  So
    no link between components is lost, and no group is expanded into its pairs.
@@ -145,6 +145,8 @@ def shared(a: np.ndarray, b: np.ndarray, percent: int, sketch: int) -> np.ndarra
 class SketchLists(Lists):
     """Lists of documents by a retained value."""
 
+    first = True
+
     def __init__(self, percent: int, sketch: int, hubs: int, kept: int):
         super().__init__(hubs, kept)
         self.percent, self.sketch = percent, sketch
@@ -247,7 +249,9 @@ def _components(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, li
     fresh = rows.filter("sketch is not null").select("doc_id", "n_shingles", "lo", "hi").join(classes, ["n_shingles", "lo", "hi"])
     alias = cut(fresh.filter("doc_id <> lead").select("doc_id", "lead"))
     per_doc = found.filter("apart >= 0").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("apart", "earlier"))).alias("near"))
-    pairs = per_doc.select("doc_id", F.posexplode("near").alias("rank", "x")).select(F.col("doc_id").alias("a"), F.col("x.earlier").alias("b"), "rank")
+    # the nearest two are verified first, and the first of all: in a group of near copies that one is every member's
+    lead = F.array_min(F.col("near.earlier"))
+    pairs = per_doc.select("doc_id", lead.alias("lead"), F.posexplode("near").alias("rank", "x")).select(F.col("doc_id").alias("a"), F.col("x.earlier").alias("b"), F.when(F.col("x.earlier") == F.col("lead"), 0).otherwise(F.col("rank")).alias("rank"))
     pairs = cut(_named(_named(pairs, alias, "a"), alias, "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("rank").alias("rank")))
     sketch = rows.filter("sketch is not null").select("doc_id", "sketch")
     comp = components(_verified(pairs.filter("rank < 2"), sketch, docs, k, lists))
