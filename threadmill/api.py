@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadmill import model
 from threadmill.functions.redact import redact_secrets
 from threadmill.operators import dedupe, entries, histogram, index, listing, profile, qa, search, slicing, summary, todos
 from threadmill.plans import prompts, reports
 from threadmill.sources import logs, opencode
-from threadmill.sources.jsonl import UUID, lines, whole_files
+from threadmill.sources.jsonl import UUID, damage, file_stats, lines, whole_files
 
 HITS = search.HITS
 HARNESS_ALIASES = {"mistral-vibe": "vibe"}
@@ -32,17 +34,30 @@ class Store:
     directory: str
     file_glob: str | None = None
     file_id: str | None = None
+    read: Callable[[SparkSession, list[str]], DataFrame] | None = None
 
 
 def vibe_all(spark: SparkSession, root: str) -> DataFrame:
     """Legacy sessions and unified ones; of a unified session its chunks if they hold a record, else its journal."""
-    out = logs.vibe_messages(spark, root)
     unified = os.path.join(root, "unified")
-    if _missing(spark, unified):
-        return out
-    chunks = logs.vibe_chunk_messages(spark, unified)
-    journal = logs.vibe_journal_messages(spark, unified)
-    return out.unionByName(chunks).unionByName(journal.join(chunks.select("session_id").distinct(), "session_id", "left_anti"))
+    return _vibe(spark, root, None if _missing(spark, unified) else unified)
+
+
+def _vibe(spark: SparkSession, legacy: str | list[str] | None, unified: str | list[str] | None) -> DataFrame:
+    out = logs.vibe_messages(spark, legacy) if legacy else None
+    if unified:
+        chunks = logs.vibe_chunk_messages(spark, unified)
+        journal = logs.vibe_journal_messages(spark, unified)
+        layouts = logs.unified_layouts(whole_files(spark, unified)).filter("layout = 'journal'").select("session_id")
+        both = chunks.unionByName(journal.join(layouts, "session_id", "left_semi"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def vibe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same of single files."""
+    one, many = [p for p in paths if "/unified/" not in p], [p for p in paths if "/unified/" in p]
+    return _vibe(spark, one, many)
 
 
 def _missing(spark: SparkSession, path: str) -> bool:
@@ -53,10 +68,10 @@ def _missing(spark: SparkSession, path: str) -> bool:
 STORES = {
     s.name: s
     for s in (
-        Store("mock", logs.mock_messages, "contains", "MOCK_ROLLOUT", "contains", "folded", "*.jsonl", r"([^/]+)\.jsonl$"),
-        Store("vibe", vibe_all, "contains", "VIBE_SESSIONS_DIR", "shortest", "folded", "messages.jsonl", r"/(session_[^/]+)/messages\.jsonl$"),
-        Store("codex", logs.codex_messages, "injected", "CODEX_SESSIONS_DIR", "prefix", "folded", "rollout-*.jsonl", rf"-({UUID}(?:_{UUID})?)\.jsonl$"),
-        Store("pi", logs.pi_messages, "contains", "PI_SESSIONS_DIR", "prefix", "folded", "*.jsonl", r"_([^_/]+)\.jsonl$"),
+        Store("mock", logs.mock_messages, "contains", "MOCK_ROLLOUT", "contains", "folded", "*.jsonl", r"([^/]+)\.jsonl$", logs.mock_messages),
+        Store("vibe", vibe_all, "contains", "VIBE_SESSIONS_DIR", "shortest", "folded", "*.json*", r"(?:/|^)(session_[^/]+)(?=/messages\.jsonl$)|/unified/([^/]+)(?=/(?:chunks|journal)/)", vibe_files),
+        Store("codex", logs.codex_messages, "injected", "CODEX_SESSIONS_DIR", "prefix", "folded", "rollout-*.jsonl", rf"-({UUID}(?:_{UUID})?)\.jsonl$", logs.codex_messages),
+        Store("pi", logs.pi_messages, "contains", "PI_SESSIONS_DIR", "prefix", "folded", "*.jsonl", r"_([^_/]+)\.jsonl$", logs.pi_messages),
         Store("opencode", opencode.opencode_messages, "equals", "OPENCODE_DB", "contains", "like"),
     )
 }
@@ -93,30 +108,97 @@ class Sessions:
         self.spark, self.store, self.root = spark, store(harness), resolve_root(harness, root)
         self.messages = self.store.messages(spark, self.root)
         if session is not None:
-            one = slicing.resolve_session(self.list(), session, self.store.resolve, "end_time").select("session_id")
-            self.messages = self.messages.join(F.broadcast(one), "session_id", "left_semi")
+            self.messages = self.one(session)
 
     @property
     def marker(self) -> Column:
         return slicing.is_marker(self.store.marker)
 
     def list(self, directory: str | None = None, cutoff_ms: int = 0) -> DataFrame:
-        """Listing rows, most recent first, 200 at most."""
+        """Listing rows, most recent first, 200 at most.  The window is cut by what the file system says of the files; those of
+        other sessions are not opened."""
         if self.store.name == "opencode":
             return opencode.opencode_sessions(self.spark, self.root, cutoff_ms, directory).orderBy(F.desc("updated_ms"), "session_id")
-        files = whole_files(self.spark, self.root, self.store.file_glob).select(F.regexp_extract("path", self.store.file_id, 1).alias("session_id"), "mtime", "size")
-        files = files.filter(F.unix_millis("mtime") >= cutoff_ms).groupBy("session_id").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("file_size"))
-        stamps = profile.first_last(self.messages).withColumnsRenamed({"first_ts": "start_time", "last_ts": "end_time"})
+        found = self.window(directory, cutoff_ms)
+        rows = found.orderBy(F.desc_nulls_last("mtime"), "session_id").limit(listing.LISTING_ROWS).collect()
+        if not rows:
+            return self.spark.createDataFrame([], model.SESSIONS)
+        paths = [p for r in rows for p in r["paths"]]
+        window = self.spark.createDataFrame(rows, found.schema).drop("paths")
+        messages = self.store.read(self.spark, paths)
+        stamps = profile.first_last(messages).withColumnsRenamed({"first_ts": "start_time", "last_ts": "end_time"})
         # a listing looks for markers in users' rows only, and knows none in one store
         marker = {"mock": self.marker & (F.col("role") == "user"), "vibe": self.marker & (F.col("role") == "user"), "pi": F.lit(False)}.get(self.store.name, self.marker)
-        out = listing.message_counts(self.messages, marker).drop("file_size").join(files, "session_id").join(stamps, "session_id", "left")
+        counts = listing.message_counts(messages, marker).drop("file_size")
+        bad = self._damage([p for p in paths if "/chunks/" not in p], [p for p in paths if "/chunks/" in p])
+        bad = bad.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("path")), ", ").alias("read_error"))
+        out = window.join(counts, "session_id", "left").join(stamps, "session_id", "left").join(bad, "session_id", "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts.columns if c.endswith("_count")} | {"has_compaction": F.coalesce("has_compaction", F.lit(False))})
+        if "directory" not in out.columns and self.store.name != "mock":
+            out = out.join(self._heads([r["session_id"] for r in rows]), "session_id", "left")
+        return out.orderBy(F.desc_nulls_last("mtime"), "session_id")
+
+    def window(self, directory: str | None = None, cutoff_ms: int = 0) -> DataFrame:
+        """(session_id, mtime, file_size, paths) of the sessions in files that changed since, from file names and times; with a
+        directory, the heads of these files are read too."""
+        files = file_stats(self.spark, self.root, self.store.file_glob).withColumn("session_id", self._id("path")).filter("session_id <> ''")
+        seen = files.groupBy("session_id").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("file_size"), F.sort_array(F.collect_list("path")).alias("paths"))
+        seen = seen.filter(F.unix_millis("mtime") >= cutoff_ms)
+        if directory is None or self.store.name == "mock":
+            return seen
+        since = F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(cutoff_ms))
+        heads = self._heads(only=since if self.store.name != "vibe" else None)  # heads in files of their own have times of their own
+        return slicing.in_directory(seen.join(heads, "session_id", "left"), directory, self.store.directory)
+
+    def _id(self, path: str) -> Column:
+        """The session that a path belongs to; empty if to none."""
+        one = F.regexp_extract(path, self.store.file_id, 1)
+        return F.when(one != "", one).otherwise(F.regexp_extract(path, self.store.file_id, 2)) if self.store.name == "vibe" else one
+
+    def _heads(self, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
+        """What the heads of all sessions, or of those `among` a window's ids, say: directory, and in one store title and parent."""
         if self.store.name == "vibe":
-            out = out.join(logs.vibe_meta(self.spark, self.root).select("session_id", "title", "parent_session_id", "directory"), "session_id", "left")
-        elif self.store.name in ("codex", "pi"):
-            out = out.join(logs.first_line_directory(self.spark, self.root, self.store.file_glob, self.store.file_id), "session_id", "left")
-        if directory is not None and "directory" in out.columns:
-            out = slicing.in_directory(out, directory, self.store.directory)
-        return out.orderBy(F.desc_nulls_last("mtime"), "session_id").limit(listing.LISTING_ROWS)
+            return logs.vibe_meta(self.spark, self.root, among, only).select("session_id", "title", "parent_session_id", "directory")
+        return logs.first_line_directory(self.spark, self.root, self.store.file_glob, self.store.file_id, among, only)
+
+    def _damage(self, plain: str | list[str], chunks: str | list[str]) -> DataFrame:
+        """(session_id, path, line, error) of what cannot be read of lines and of chunk files."""
+        bad = damage(lines(self.spark, plain, "*.jsonl")) if plain else self.spark.createDataFrame([], model.DAMAGE)
+        if chunks:
+            bad = bad.unionByName(logs.chunk_damage(whole_files(self.spark, chunks, "*.json")))
+        return bad.withColumn("session_id", self._id("path")).select("session_id", "path", "line", "error")
+
+    def damage(self) -> DataFrame:
+        """(session_id, path, line, error) of the lines and files of the store that cannot be read."""
+        if not self.store.file_glob:
+            raise ValueError("a database names no damaged files")
+        return self._damage(self.root, self._unified() or [])
+
+    def _unified(self) -> str | None:
+        folder = os.path.join(self.root, "unified")
+        return folder if self.store.name == "vibe" and not _missing(self.spark, folder) else None
+
+    def errors(self) -> DataFrame:
+        """(session_id, error) of sessions that cannot be read at all: unified ones of an unknown layout or without a readable record."""
+        if not (folder := self._unified()):
+            return self.spark.createDataFrame([], "session_id string, error string")
+        return logs.unified_errors(logs.unified_layouts(whole_files(self.spark, folder)), logs.vibe_chunk_messages(self.spark, folder))
+
+    def one(self, session: str) -> DataFrame:
+        """The messages of one session, by its id or a part of it; an unknown id and a session that cannot be read raise."""
+        if not self.store.file_glob:
+            row = slicing.resolve_session(self.list(), session, self.store.resolve, "end_time").first()
+            if row is None:
+                raise ValueError(f"no session {session!r} in {self.root}")
+            return self.messages.filter(F.col("session_id") == row["session_id"])
+        bad = self.errors()
+        every = self.window().select("session_id", "mtime", "paths").join(bad, "session_id", "full")
+        row = slicing.resolve_session(every, session, self.store.resolve).first()
+        if row is None:
+            raise ValueError(f"no session {session!r} in {self.root}")
+        if row["error"]:
+            raise ValueError(f"session {row['session_id']} in {self.root}: {row['error']}")
+        return self.store.read(self.spark, row["paths"])
 
     def profile(self) -> tuple[DataFrame, DataFrame]:
         return reports.profile_session(self.messages, self.store.name)
@@ -130,7 +212,7 @@ class Sessions:
     def derived(self, full: bool = False) -> dict[str, DataFrame]:
         rows = self.messages if full else slicing.since_last_marker(self.messages, self.marker)
         out = {"compaction": rows.filter(self.marker).select("session_id", F.col("seq").alias("n"), "timestamp", F.to_json(F.struct("content")).alias("record"))}
-        pairs = logs.vibe_question_pairs(lines(self.spark, self.root, self.store.file_glob)) if self.store.name == "vibe" else qa.pairs_of_messages(self.messages)
+        pairs = logs.vibe_question_pairs(lines(self.spark, self.root, "messages.jsonl")) if self.store.name == "vibe" else qa.pairs_of_messages(self.messages)
         pairs = pairs.join(self.messages.select("session_id").distinct(), "session_id", "left_semi")
         if not full:  # what the slice asks
             first = rows.groupBy("session_id").agg(F.min(F.coalesce("line", "seq") if self.store.name == "vibe" else F.col("seq")).alias("least"))
@@ -160,12 +242,13 @@ class Sessions:
     def index(self, folder: str, only: DataFrame | None = None) -> DataFrame:
         """Index all sessions, or those of `only` (session_id), into a folder: (session_id, doc_count)."""
         rows = self.messages if only is None else self.messages.join(only.select("session_id").distinct(), "session_id", "left_semi")
-        return index.index_messages(rows, folder, self.list().select("session_id", "mtime") if self.store.file_glob else None)
+        return index.index_messages(rows, folder, self.window().select("session_id", "mtime") if self.store.file_glob else None)
 
     def search_index(self, folder: str, query: str, ids: list[str] | None = None, directory: str | None = None, cutoff_ms: int = 0, hits: int = HITS) -> tuple[DataFrame, DataFrame]:
         """(meta, hits) from an index.  `ids` are parts of session ids, each meaning the most recent session that holds it; without them the
         window and directory decide.  Stale sessions in files are indexed first; a database cannot tell, so what it lacks is only named."""
-        rows = self.list(directory if not ids else None, cutoff_ms if not ids else 0)
+        listed = self.window if self.store.file_glob else self.list
+        rows = listed(directory if not ids else None, cutoff_ms if not ids else 0)
         kind = F.lit("file" if self.store.file_glob else "database")
         mtime = F.col("mtime") if self.store.file_glob else F.lit(None).cast("timestamp").alias("mtime")
         every = rows.select("session_id", mtime, kind.alias("backend_kind"))

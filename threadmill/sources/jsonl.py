@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
-def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """(path, mtime, size, text) of every file, read as a whole because line numbers are part of the data."""
+def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None = None, only: Column | None = None) -> DataFrame:
+    """(path, mtime, size, text) of every file, read as a whole because line numbers are part of the data; only: a condition on
+    the files' metadata, by which they are left out unread."""
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     raw = reader.text(paths, wholetext=True)
+    raw = raw if only is None else raw.filter(only)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
 
 
+def file_stats(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, mtime, size) of every file; no file is opened."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
+    return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, mtime, size, line, raw) of every line, with its 1-based physical number.  Files are split: a line's number is
     its place in its split behind the lines of the splits before, so no task holds a file and nothing is sorted."""

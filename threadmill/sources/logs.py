@@ -60,10 +60,10 @@ def vibe_question_pairs(rows: DataFrame) -> DataFrame:
     return pairs_by_call(asked, results)
 
 
-def vibe_meta(spark: SparkSession, root: str) -> DataFrame:
+def vibe_meta(spark: SparkSession, root: str, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
     """(session_id, title, start_time, end_time, parent_session_id, directory) from the sessions' meta.json."""
-    v = F.try_parse_json("text")
-    files = whole_files(spark, root, "meta.json").select(F.regexp_extract("path", r"/([^/]+)/meta\.json$", 1).alias("session_id"), v.alias("v"))
+    v, named = F.try_parse_json("text"), r"/([^/]+)/meta\.json$"
+    files = whole_files(spark, root, "meta.json", _files(named, among, only)).select(F.regexp_extract("path", named, 1).alias("session_id"), v.alias("v"))
     return files.select("session_id", text_at("v", "$.title").alias("title"), text_at("v", "$.start_time").alias("start_time"), text_at("v", "$.end_time").alias("end_time"), text_at("v", "$.parent_session_id").alias("parent_session_id"), text_at("v", "$.environment.working_directory").alias("directory"))
 
 
@@ -94,10 +94,42 @@ def vibe_chunk_records(spark: SparkSession, root: str) -> DataFrame:
     return vibe_chunk_rows(whole_files(spark, root, "*.json"))
 
 
+def _chunk_files(files: DataFrame) -> DataFrame:
+    """Whole files of chunk stores with their session and what they hold: null where it is no JSON."""
+    return files.filter(F.contains("path", F.lit("/chunks/"))).select("path", "mtime", F.regexp_extract("path", r"/unified/([^/]+)/chunks/", 1).alias("session_id"), F.try_parse_json("text").alias("v"))
+
+
+def chunk_damage(files: DataFrame) -> DataFrame:
+    """(path, line, error) of the chunk files that hold neither a record nor an array of records; the others read on."""
+    kind = F.schema_of_variant("v")
+    error = F.when(F.col("v").isNull(), "not valid JSON").when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), "neither a record nor an array of records")
+    return _chunk_files(files).select("path", F.lit(None).cast("long").alias("line"), error.alias("error")).filter("error is not null")
+
+
+def unified_layouts(files: DataFrame) -> DataFrame:
+    """(session_id, layout, records) of unified sessions, from whole files (path, mtime, text) below `unified/`: `chunks` if their chunks hold a
+    record, else `journal` if there is one, else `empty` if there is a chunk file, else `unknown`."""
+    session = F.regexp_extract("path", r"/unified/([^/]+)/", 1)
+    chunk, journal = F.contains("path", F.lit("/chunks/")) & F.col("path").endswith(".json"), F.contains("path", F.lit("/journal/"))
+    v = F.when(chunk, F.try_parse_json("text"))
+    kind = F.schema_of_variant(v)
+    records = F.when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>"))).when(kind.startswith("OBJECT"), 1).otherwise(0)
+    seen = files.select(session.alias("session_id"), chunk.alias("chunk"), journal.alias("journal"), records.alias("n")).filter("session_id <> ''")
+    found = seen.groupBy("session_id").agg(F.bool_or("chunk").alias("chunk"), F.bool_or("journal").alias("journal"), F.sum("n").alias("records"))
+    layout = F.when(F.col("records") > 0, "chunks").when(F.col("journal"), "journal").when(F.col("chunk"), "empty").otherwise("unknown")
+    return found.select("session_id", layout.alias("layout"), "records")
+
+
+def unified_errors(layouts: DataFrame, messages: DataFrame) -> DataFrame:
+    """(session_id, error) of unified sessions that cannot be read: of no known layout, or with records of which none is a message."""
+    met = layouts.join(messages.select("session_id").distinct().withColumn("read", F.lit(True)), "session_id", "left")
+    error = F.when(F.col("layout") == "unknown", "unknown layout (neither chunks nor journal is there)").when((F.col("layout") == "chunks") & F.col("read").isNull(), F.format_string("%d chunk records, none of them readable as messages", F.col("records")))
+    return met.select("session_id", error.alias("error")).filter("error is not null")
+
+
 def vibe_chunk_rows(files: DataFrame) -> DataFrame:
     """The records of whole files (path, mtime, text)."""
-    v = F.try_parse_json("text")
-    files = files.filter(F.contains("path", F.lit("/chunks/"))).select("path", "mtime", F.regexp_extract("path", r"/unified/([^/]+)/chunks/", 1).alias("session_id"), v.alias("v")).filter("v is not null")
+    files = _chunk_files(files).filter("v is not null")
     rec = F.col("r")
     flat = files.select("session_id", "path", "mtime", F.posexplode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("pos", "r"))
     kind, snapshot = text_at(rec, "$.type"), F.try_variant_get(rec, "$.message", "variant").isNotNull()
@@ -154,11 +186,19 @@ def pi_rows(rows: DataFrame) -> DataFrame:
     return ordered(made.filter("role is not null"), "line")
 
 
-def first_line_directory(spark: SparkSession, root: str, glob: str, session: str) -> DataFrame:
-    """(session_id, directory): the `cwd` of each file's first record; session: the pattern of the id in its path."""
+def _files(session: str, among: list[str] | None, only: Column | None) -> Column | None:
+    """The condition on file metadata that `among` (ids of sessions, as the pattern finds them in paths) and `only` make together."""
+    mine = None if among is None else F.regexp_extract("_metadata.file_path", session, 1).isin(among)
+    return only if mine is None else mine if only is None else mine & only
+
+
+def first_line_directory(spark: SparkSession, root: str | list[str], glob: str, session: str, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
+    """(session_id, directory): the `cwd` of each session's first record; session: the pattern of the id in its path.  Files of
+    sessions that are not `among` those given, or that fail `only`, a condition on file metadata, are left out unread."""
     rec = F.try_parse_json(F.substring_index("text", "\n", 1))
     cwd = F.coalesce(text_at(rec, "$.payload.cwd"), text_at(rec, "$.cwd"))
-    return whole_files(spark, root, glob).select(F.regexp_extract("path", session, 1).alias("session_id"), cwd.alias("directory"))
+    heads = whole_files(spark, root, glob, _files(session, among, only)).select(F.regexp_extract("path", session, 1).alias("session_id"), "path", cwd.alias("directory"))
+    return heads.groupBy("session_id").agg(F.min_by("directory", "path").alias("directory"))
 
 
 def plan_files(spark: SparkSession, root: str) -> DataFrame:

@@ -58,21 +58,26 @@ def opencode_messages(spark: SparkSession, path: str) -> DataFrame:
     return messages_of(v2_parts(spark, path) if layout(path) == "v2" else legacy_parts(spark, path))
 
 
+def _ids(window: DataFrame) -> list[str]:
+    """The ids of a window, which has LISTING_ROWS rows at most, for the database to look up."""
+    return [r["session_id"] for r in window.select("session_id").collect()]
+
+
 def opencode_sessions(spark: SparkSession, path: str, cutoff_ms: int = 0, directory: str | None = None) -> DataFrame:
-    """The 200 most recent sessions of a window (0: unbounded) with counts, bytes and children.  The window is cut first;
-    only its sessions' rows are aggregated."""
+    """The 200 most recent sessions of a window (0: unbounded) with counts, bytes and children.  The window is cut first, and its ids
+    go to the database as conditions: no row of a session outside of it is read."""
     v2 = layout(path) == "v2"
     where = ([("time_updated", ">=", cutoff_ms)] if cutoff_ms else []) + ([("directory", "like", f"%{directory}%")] if directory is not None else [])
     s = sqlite_table(spark, path, "session_v2" if v2 else "session", where)
     window, _ = window_sessions(s.withColumn("session_id", F.col("id")), "time_updated")
-    ids = F.broadcast(window.select("session_id"))
+    among = [("session_id", "in", _ids(window))]
     if v2:
-        m = sqlite_table(spark, path, "session_message").join(ids, "session_id", "left_semi").withColumn("d", F.try_parse_json("data"))
+        m = sqlite_table(spark, path, "session_message", among).withColumn("d", F.try_parse_json("data"))
         parts = F.filter(items("d", "$.content"), lambda p: F.coalesce(text_at(p, "$.type") == "tool", F.lit(False)))
         counts = m.groupBy("session_id").agg(F.count_if(F.col("type") == "user").alias("user_count"), F.count_if(F.col("type") == "assistant").alias("assistant_count"), F.sum(F.when(F.col("type") == "assistant", F.size(parts)).otherwise(0)).alias("tool_count"), F.sum(F.when(F.col("type") == "assistant", F.size(items("d", "$.content"))).otherwise(1)).alias("line_count"), F.sum(F.length("data")).alias("file_size"), F.lit(0).alias("compactions"))
     else:
-        m = sqlite_table(spark, path, "message").join(ids, "session_id", "left_semi").withColumn("role", F.get_json_object("data", "$.role"))
-        p = sqlite_table(spark, path, "part").join(ids, "session_id", "left_semi").withColumn("kind", F.get_json_object("data", "$.type"))
+        m = sqlite_table(spark, path, "message", among).withColumn("role", F.get_json_object("data", "$.role"))
+        p = sqlite_table(spark, path, "part", among).withColumn("kind", F.get_json_object("data", "$.type"))
         of_m = m.groupBy("session_id").agg(F.count_if(F.col("role") == "user").alias("user_count"), F.count_if(F.col("role") == "assistant").alias("assistant_count"))
         counts = p.groupBy("session_id").agg(F.count_if(F.col("kind") == "tool").alias("tool_count"), F.count("*").alias("line_count"), F.sum(F.length("data")).alias("file_size"), F.count_if(F.col("kind") == "compaction").alias("compactions")).join(of_m, "session_id", "full")
     kids = children(s, "parent_id", "id", "time_updated").withColumnsRenamed({"parent_id": "session_id", "child_ids": "child_sessions"}).drop("n_children")

@@ -1,4 +1,4 @@
-"""A read-only Spark data source for SQLite tables: conditions become WHERE clauses, row ranges become partitions.
+"""A read-only Spark data source for SQLite tables: conditions become WHERE clauses, row ranges or lists of values become partitions.
 
 Conditions are an option of the table and not left to filter pushdown: Spark 4.1 keeps the filters pushed into a Python
 source with the table, and a second query over the same DataFrame would still see the first one's."""
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-_OPS = ("=", ">", ">=", "<", "<=", "like")
+_OPS = ("=", ">", ">=", "<", "<=", "like", "in")
 _TYPES = {"INT": "long", "INTEGER": "long", "BIGINT": "long", "REAL": "double", "DOUBLE": "double"}
 
 
@@ -25,9 +25,15 @@ def connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
-class Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+class Part(InputPartition):
+    """Conditions that pick a part of the table, and their values."""
+
+    def __init__(self, where: list[str], values: list[object]):
+        self.where, self.values = where, values
+
+
+def _flat(values) -> list[object]:
+    return [x for v in values for x in (v if isinstance(v, list) else [v])]
 
 
 class SqliteReader(DataSourceReader):
@@ -37,23 +43,33 @@ class SqliteReader(DataSourceReader):
             raise ValueError(f"unknown operator {bad[0]!r}")
         if bad := [c for c, _, _ in where if c not in schema.names]:
             raise ValueError(f"no column {bad[0]!r}")
-        self.where = [(f'"{c}" {op} ?', v) for c, op, v in where]
+        self.where = [(c, op, v) for c, op, v in where]
 
     def partitions(self):
+        """Ranges of row numbers; with a list of values, lists of some of the values each, which the column's index finds."""
+        shared = [(f'"{c}" {op} ?', v) for c, op, v in self.where if op != "in"]
+        lists = [(c, v) for c, op, v in self.where if op == "in"]
+        if lists:
+            (c, values), *rest = lists
+            shared += [(f'"{k}" IN ({", ".join("?" * len(v))})', x) for k, v in rest for x in [v]]
+            step = max(1, -(-len(values) // self.parts))
+            return [Part([f'"{c}" IN ({", ".join("?" * len(some))})', *(w for w, _ in shared)], [*some, *_flat(v for _, v in shared)]) for some in (values[i : i + step] for i in range(0, len(values), step))] or [Part(["0"], [])]
         with connect(self.path) as c:
             low, high = c.execute(f'SELECT min(rowid), max(rowid) FROM "{self.name}"').fetchone()
         if low is None:
-            return [Range(0, 0)]
+            return [Part(["0"], [])]
         step = -(-(high - low + 1) // self.parts)
-        return [Range(i, min(i + step, high + 1)) for i in range(low, high + 1, step)]
+        return [Part(["rowid >= ?", "rowid < ?", *(w for w, _ in shared)], [i, min(i + step, high + 1), *_flat(v for _, v in shared)]) for i in range(low, high + 1, step)]
+
+    def statement(self, partition: Part) -> str:
+        names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
+        return f'SELECT {names} FROM "{self.name}" WHERE {" AND ".join(partition.where)}'
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in self.schema.fields]
-        cond = " AND ".join(["rowid >= ?", "rowid < ?", *(w for w, _ in self.where)])
-        args = [partition.low, partition.high, *(v for _, v in self.where)]
         kinds = {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}
         with connect(self.path) as c:
-            rows = c.execute(f'SELECT {", ".join(f"{chr(34)}{n}{chr(34)}" for n in names)} FROM "{self.name}" WHERE {cond}', args)
+            rows = c.execute(self.statement(partition), partition.values)
             while chunk := rows.fetchmany(10_000):
                 cols = list(zip(*chunk, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(col, kinds.get(f.dataType.simpleString(), pa.string())) for col, f in zip(cols, self.schema.fields, strict=True)], names=names)
