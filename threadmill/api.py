@@ -19,6 +19,7 @@ from threadmill.sources import logs, opencode
 from threadmill.sources.jsonl import UUID, damage, file_stats, lines, whole_files
 
 HITS = search.HITS
+META = r"/([^/]+)/meta\.json$"
 HARNESS_ALIASES = {"mistral-vibe": "vibe"}
 
 
@@ -124,7 +125,7 @@ class Sessions:
         if not rows:
             return self.spark.createDataFrame([], model.SESSIONS)
         paths = [p for r in rows for p in r["paths"]]
-        window = self.spark.createDataFrame(rows, found.schema).drop("paths")
+        window = self.spark.createDataFrame(rows, found.schema).drop("paths", "head")
         messages = self.store.read(self.spark, paths)
         stamps = profile.first_last(messages).withColumnsRenamed({"first_ts": "start_time", "last_ts": "end_time"})
         # a listing looks for markers in users' rows only, and knows none in one store
@@ -134,20 +135,27 @@ class Sessions:
         bad = bad.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("path")), ", ").alias("read_error"))
         out = window.join(counts, "session_id", "left").join(stamps, "session_id", "left").join(bad, "session_id", "left")
         out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts.columns if c.endswith("_count")} | {"has_compaction": F.coalesce("has_compaction", F.lit(False))})
-        if "directory" not in out.columns and self.store.name != "mock":
-            out = out.join(self._heads([r["session_id"] for r in rows]), "session_id", "left")
+        heads = [r["head"] for r in rows if r["head"]]
+        if "directory" not in out.columns and self.store.name != "mock" and heads:
+            out = out.join(self._heads(heads), "session_id", "left")
+        shape = {"title", "parent_session_id", "directory"} if self.store.name == "vibe" else {"directory"} if self.store.name != "mock" else set()
+        out = out.withColumns({c: F.lit(None).cast("string") for c in sorted(shape - set(out.columns))})
         return out.orderBy(F.desc_nulls_last("mtime"), "session_id")
 
     def window(self, directory: str | None = None, cutoff_ms: int = 0) -> DataFrame:
-        """(session_id, mtime, file_size, paths) of the sessions in files that changed since, from file names and times; with a
-        directory, the heads of these files are read too."""
-        files = file_stats(self.spark, self.root, self.store.file_glob).withColumn("session_id", self._id("path")).filter("session_id <> ''")
-        seen = files.groupBy("session_id").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("file_size"), F.sort_array(F.collect_list("path")).alias("paths"))
+        """(session_id, mtime, file_size, paths, head) of the sessions in files that changed since, from file names and times; with a
+        directory, the heads of these files are read too.  `head` is the file that tells a session's directory, if there is one."""
+        named = F.regexp_extract("path", META, 1)
+        meta = (named != "") if self.store.name == "vibe" else F.lit(False)
+        files = file_stats(self.spark, self.root, self.store.file_glob).withColumns({"meta": meta, "session_id": F.when(meta, named).otherwise(self._id("path"))}).filter("session_id <> ''")
+        own = lambda c: F.when(~F.col("meta"), F.col(c))
+        head = F.max(F.when(F.col("meta"), F.col("path"))) if self.store.name == "vibe" else F.min("path")
+        seen = files.groupBy("session_id").agg(F.max(own("mtime")).alias("mtime"), F.sum(own("size")).alias("file_size"), F.sort_array(F.collect_list(own("path"))).alias("paths"), head.alias("head"))
         seen = seen.filter(F.unix_millis("mtime") >= cutoff_ms)
         if directory is None or self.store.name == "mock":
             return seen
         since = F.col("_metadata.file_modification_time") >= F.timestamp_millis(F.lit(cutoff_ms))
-        heads = self._heads(only=since if self.store.name != "vibe" else None)  # heads in files of their own have times of their own
+        heads = self._heads(self.root, since if self.store.name != "vibe" else None)  # heads in files of their own have times of their own
         return slicing.in_directory(seen.join(heads, "session_id", "left"), directory, self.store.directory)
 
     def _id(self, path: str) -> Column:
@@ -155,11 +163,11 @@ class Sessions:
         one = F.regexp_extract(path, self.store.file_id, 1)
         return F.when(one != "", one).otherwise(F.regexp_extract(path, self.store.file_id, 2)) if self.store.name == "vibe" else one
 
-    def _heads(self, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
-        """What the heads of all sessions, or of those `among` a window's ids, say: directory, and in one store title and parent."""
+    def _heads(self, paths: str | list[str], only: Column | None = None) -> DataFrame:
+        """What the heads of sessions say: directory, and in one store title and parent; only: a condition on the files' metadata."""
         if self.store.name == "vibe":
-            return logs.vibe_meta(self.spark, self.root, among, only).select("session_id", "title", "parent_session_id", "directory")
-        return logs.first_line_directory(self.spark, self.root, self.store.file_glob, self.store.file_id, among, only)
+            return logs.vibe_meta(self.spark, paths, only).select("session_id", "title", "parent_session_id", "directory")
+        return logs.first_line_directory(self.spark, paths, self.store.file_glob, self.store.file_id, only)
 
     def _damage(self, plain: str | list[str], chunks: str | list[str]) -> DataFrame:
         """(session_id, path, line, error) of what cannot be read of lines and of chunk files."""

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 
 
+@contextlib.contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While files are listed, a few tasks per core share the folders; by default each folder is a task of its own, which costs
+    milliseconds for each of many small session folders.  The session's own setting comes back."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(was), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None = None, only: Column | None = None) -> DataFrame:
     """(path, mtime, size, text) of every file, read as a whole because line numbers are part of the data; only: a condition on
     the files' metadata, by which they are left out unread."""
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    raw = reader.text(paths, wholetext=True)
+    with few_listing_tasks(spark):
+        raw = reader.text(paths, wholetext=True)
     raw = raw if only is None else raw.filter(only)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
 
@@ -21,7 +38,8 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str | None =
 def file_stats(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, mtime, size) of every file; no file is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
+    with few_listing_tasks(spark):
+        files = (reader.option("pathGlobFilter", glob) if glob else reader).load(paths)
     return files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
@@ -31,7 +49,8 @@ def numbered_lines(spark: SparkSession, paths: str | list[str], glob: str | None
     from pyspark.sql import Window as W
 
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
+    with few_listing_tasks(spark):
+        raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
     meta = {"path": "file_path", "mtime": "file_modification_time", "size": "file_size", "split": "file_block_start"}
     rows = raw.select(*(F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
     splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))

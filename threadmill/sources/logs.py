@@ -60,10 +60,10 @@ def vibe_question_pairs(rows: DataFrame) -> DataFrame:
     return pairs_by_call(asked, results)
 
 
-def vibe_meta(spark: SparkSession, root: str, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
+def vibe_meta(spark: SparkSession, root: str | list[str], only: Column | None = None) -> DataFrame:
     """(session_id, title, start_time, end_time, parent_session_id, directory) from the sessions' meta.json."""
     v, named = F.try_parse_json("text"), r"/([^/]+)/meta\.json$"
-    files = whole_files(spark, root, "meta.json", _files(named, among, only)).select(F.regexp_extract("path", named, 1).alias("session_id"), v.alias("v"))
+    files = whole_files(spark, root, "meta.json", only).select(F.regexp_extract("path", named, 1).alias("session_id"), v.alias("v"))
     return files.select("session_id", text_at("v", "$.title").alias("title"), text_at("v", "$.start_time").alias("start_time"), text_at("v", "$.end_time").alias("end_time"), text_at("v", "$.parent_session_id").alias("parent_session_id"), text_at("v", "$.environment.working_directory").alias("directory"))
 
 
@@ -186,18 +186,12 @@ def pi_rows(rows: DataFrame) -> DataFrame:
     return ordered(made.filter("role is not null"), "line")
 
 
-def _files(session: str, among: list[str] | None, only: Column | None) -> Column | None:
-    """The condition on file metadata that `among` (ids of sessions, as the pattern finds them in paths) and `only` make together."""
-    mine = None if among is None else F.regexp_extract("_metadata.file_path", session, 1).isin(among)
-    return only if mine is None else mine if only is None else mine & only
-
-
-def first_line_directory(spark: SparkSession, root: str | list[str], glob: str, session: str, among: list[str] | None = None, only: Column | None = None) -> DataFrame:
-    """(session_id, directory): the `cwd` of each session's first record; session: the pattern of the id in its path.  Files of
-    sessions that are not `among` those given, or that fail `only`, a condition on file metadata, are left out unread."""
+def first_line_directory(spark: SparkSession, root: str | list[str], glob: str, session: str, only: Column | None = None) -> DataFrame:
+    """(session_id, directory): the `cwd` of each session's first record; session: the pattern of the id in its path.  Files that fail
+    `only`, a condition on their metadata, are left out unread."""
     rec = F.try_parse_json(F.substring_index("text", "\n", 1))
     cwd = F.coalesce(text_at(rec, "$.payload.cwd"), text_at(rec, "$.cwd"))
-    heads = whole_files(spark, root, glob, _files(session, among, only)).select(F.regexp_extract("path", session, 1).alias("session_id"), "path", cwd.alias("directory"))
+    heads = whole_files(spark, root, glob, only).select(F.regexp_extract("path", session, 1).alias("session_id"), "path", cwd.alias("directory"))
     return heads.groupBy("session_id").agg(F.min_by("directory", "path").alias("directory"))
 
 
