@@ -15,10 +15,11 @@ from threadmill import model
 from threadmill.functions.redact import redact_secrets
 from threadmill.operators import dedupe, entries, histogram, index, listing, profile, qa, search, slicing, summary, todos
 from threadmill.plans import prompts, reports
-from threadmill.sources import logs, opencode
+from threadmill.sources import caches, ledgers, logs, opencode
 from threadmill.sources.jsonl import UUID, damage, file_stats, lines, whole_files
 
 HITS = search.HITS
+_LEDGER = [f.strip().split(" ")[0] for f in model.LEDGER.split(",")]
 META = r"/([^/]+)/meta\.json$"
 HARNESS_ALIASES = {"mistral-vibe": "vibe"}
 
@@ -238,7 +239,16 @@ class Sessions:
         return opencode.todo_flushes(parts(self.spark, self.root))
 
     def entries(self, kinds: list[str], full: bool = False, include_injected: bool = False, limit: int = 0, offset: int | None = None) -> tuple[DataFrame, DataFrame]:
-        return reports.extract_by_type(self.messages, self.derived(full), entries.check_kinds(kinds), self.marker, full, include_injected, limit, offset)
+        return reports.extract_by_type(self.messages, self.derived(full), entries.check_kinds(kinds), self.marker, full, include_injected, limit, offset, self.native_entries(full, include_injected))
+
+    def native_entries(self, full: bool = False, include_injected: bool = False) -> DataFrame | None:
+        """Entries whose records are the log's own lines, for the store that has them; its unified sessions make theirs of messages."""
+        if self.store.name != "vibe":
+            return None
+        own = logs.native_entries(lines(self.spark, self.root, "messages.jsonl"), full, include_injected).drop("line")
+        own = own.join(self.messages.select("session_id").distinct(), "session_id", "left_semi")
+        other = self.messages.filter(~F.col("session_id").startswith("session_"))
+        return own.unionByName(entries.typed_entries(other if full else slicing.since_last_marker(other, self.marker), include_injected))
 
     def said_did(self) -> DataFrame:
         return reports.said_did(self.messages, self.marker)
@@ -272,8 +282,30 @@ class Sessions:
             self.index(folder, behind)
         return index.search_report(self.spark, folder, query, selected.select("session_id"), unmatched, hits)
 
-    def summary_status(self, ledger: DataFrame) -> DataFrame:
-        return summary.status(ledger, self.messages)
+    def summary_status(self, folder: str) -> DataFrame:
+        """Blocks, coverage and the counts of what is not summarised yet, per session, from a folder of ledgers."""
+        return summary.status(ledgers.ledger(self.spark, folder).select(*_LEDGER), self.messages)
+
+    def summarise_from(self, folder: str, session: str, from_id: int, summarizer: Callable[[str, str], str]) -> DataFrame:
+        """Summarise one session from the id that its ledger expects, another raises; the block is appended to the folder."""
+        mine = self.one(session)
+        block = summary.summarise(mine, ledgers.ledger(self.spark, folder).select(*_LEDGER), from_id, summarizer)
+        ids = mine.withColumn("id", F.row_number().over(_by("seq"))).filter(F.col("id") >= from_id)
+        made = self.spark.createDataFrame([block], "session_id string, from_id long, to_id long, from_ts string, to_ts string, text string")
+        ledgers.append(made.join(summary.slice_counts(ids), "session_id"), folder)
+        return ledgers.compose(self.spark, folder).filter(F.col("session_id") == block["session_id"])
+
+    def cached_profiles(self, folder: str) -> DataFrame:
+        """Counts of all sessions: those that are kept and still true, and the others counted anew and kept.  Stores without times of their
+        own count anew."""
+        if not self.store.file_glob:
+            return listing.message_counts(self.messages, self.marker)
+        seen = self.window().select("session_id", "mtime")
+        kept = caches.fresh(caches.profiles(self.spark, folder), seen)
+        late = seen.join(kept, "session_id", "left_anti")
+        made = listing.message_counts(self.messages.join(late, "session_id", "left_semi"), self.marker)
+        caches.write_profiles(made, folder)
+        return caches.profiles(self.spark, folder).join(seen, "session_id", "left_semi").drop("written_at")
 
     def prompt(self, budget: int = prompts.BUDGET) -> DataFrame:
         return prompts.bounded_prompt(slicing.since_last_marker(self.messages, self.marker), budget)

@@ -71,9 +71,10 @@ def extract_messages(messages: DataFrame, marker: Column, full: bool = False, li
     return total.join(got, "session_id", "left").fillna(0), page.withColumn("json", record("message", "role", "content", "thinking", "tool_calls_summary", "timestamp", "injected", "truncated"))
 
 
-def extract_by_type(messages: DataFrame, derived: dict[str, DataFrame], kinds: list[str], marker: Column, full: bool = False, include_injected: bool = False, limit: int = 0, offset: int | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_by_type(messages: DataFrame, derived: dict[str, DataFrame], kinds: list[str], marker: Column, full: bool = False, include_injected: bool = False, limit: int = 0, offset: int | None = None, typed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """`typed`: the store's own entries, in place of those that messages make."""
     rows = messages if full else slicing.since_last_marker(messages, marker)
-    typed = entries.with_derived(entries.typed_entries(rows, include_injected), derived)
+    typed = entries.with_derived(entries.typed_entries(rows, include_injected) if typed is None else typed, derived)
     wanted = entries.of_kinds(typed, kinds)
     meta = wanted.groupBy("session_id", "entry_type").agg(F.count("*").alias("n"))
     return meta, slicing.page(wanted, limits(limit)[0], offset, seq="idx").withColumn("json", record("entry", "entry_type", "timestamp", "record"))

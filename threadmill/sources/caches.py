@@ -24,16 +24,25 @@ def read_ledger(spark: SparkSession, paths: str | list[str], session: str = r"([
     return valid_ledger(fixed)
 
 
-def append_block(block: DataFrame, text: str, folder: str) -> None:
-    """The part first, the ledger's row last: a reader never sees a row without its part."""
-    block.select(F.lit(text).alias("value")).write.mode("append").text(f"{folder}/parts")
-    block.write.mode("append").csv(f"{folder}/ledger")
-
-
 def write_profiles(profiles: DataFrame, folder: str) -> None:
+    """Keep profiles (session_id, line_count, ...), each session's as a whole.  A profile without an id, or with a negative count, is none: it
+    raises before anything is written."""
+    counts = [c for c, kind in profiles.dtypes if kind in ("int", "bigint") and c.endswith("_count")]
+    bad = profiles.filter(" or ".join(["session_id is null", *(f"{c} is null or {c} < 0" for c in counts)]))
+    if not bad.isEmpty():
+        raise ValueError("a profile has no session or a count that is none")
     profiles.withColumn("written_at", F.current_timestamp()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(folder)
 
 
+def profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The profiles that are kept; none if there is no folder yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    shape = "session_id string, line_count long, file_size long, user_count long, assistant_count long, tool_count long, has_compaction boolean, written_at timestamp"
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(folder)
+
+
 def fresh(cached: DataFrame, updated: DataFrame) -> DataFrame:
     """Cached rows (session_id, written_at) whose session (session_id, mtime) has not changed since, give or take SLACK_SECONDS."""
     late: Column = F.col("mtime") <= F.col("written_at") + F.make_dt_interval(secs=F.lit(float(SLACK_SECONDS)))

@@ -4,12 +4,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadmill.functions.text import iso_from_millis, summarize_tool_call
 from threadmill.operators.dedupe import merge_chunks
 from threadmill.operators.qa import pairs_by_call
-from threadmill.operators.slicing import MARKER
+from threadmill.operators.slicing import MARKER, since_last_marker
 from threadmill.sources.jsonl import UUID, items, lines, ordered, text_at, texts_of, whole_files
 
 _NONE = "array<string>"
@@ -47,6 +48,17 @@ def vibe_rows(rows: DataFrame) -> DataFrame:
     return ordered(made.filter("session_id <> ''"), "line")
 
 
+def native_entries(rows: DataFrame, full: bool = False, include_injected: bool = False) -> DataFrame:
+    """(session_id, idx, entry_type, timestamp, record, line) of parsed lines: each record is its line as it stands in the log, byte for byte.
+    Without `full` from each session's last marker on; whether a line is one, its content says whatever its role."""
+    rec = F.col("rec")
+    rows = rows.filter("rec is not null").select(F.regexp_extract("path", r"/(session_[^/]+)/messages\.jsonl$", 1).alias("session_id"), "line", text_at(rec, "$.role").alias("entry_type"), text_at(rec, "$.timestamp").alias("timestamp"), F.col("raw").alias("record"), F.coalesce(F.try_variant_get(rec, "$.injected", "boolean"), F.lit(False)).alias("injected"), F.contains(F.coalesce(text_at(rec, "$.content"), F.lit("")), F.lit(MARKER)).alias("marks")).filter("session_id <> ''")
+    rows = rows if full else since_last_marker(rows, F.col("marks"), seq="line")
+    rows = rows.filter(F.col("entry_type").isin("user", "assistant", "tool"))
+    rows = rows if include_injected else rows.filter("not injected")
+    return rows.select("session_id", (F.row_number().over(W.partitionBy("session_id").orderBy("line")) - 1).cast("long").alias("idx"), "entry_type", "timestamp", "record", "line")
+
+
 def vibe_question_pairs(rows: DataFrame) -> DataFrame:
     """Question pairs of parsed lines: calls of `ask_user_question` and the tool messages with their ids."""
     rec = F.col("rec")
