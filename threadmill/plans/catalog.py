@@ -158,15 +158,15 @@ def alias_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(r"""
-WITH f AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS line FROM documents), live AS (SELECT * FROM f WHERE doc_id % 2 = 0), snap AS (SELECT * FROM f WHERE doc_id % 2 = 1)
-SELECT s.doc_id, md5(s.line) AS line FROM snap s WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.line = s.line OR (strlen(l.line) >= 32 AND starts_with(s.line, l.line)) OR (strlen(s.line) >= 32 AND starts_with(l.line, s.line)))
+WITH f AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS line FROM documents)
+SELECT s.doc_id, md5(s.line) AS line FROM f s WHERE NOT EXISTS (SELECT 1 FROM f l WHERE l.doc_id < s.doc_id AND (l.line = s.line OR (strlen(l.line) >= 32 AND starts_with(s.line, l.line)) OR (strlen(s.line) >= 32 AND starts_with(l.line, s.line))))
 """)
 def same_turn_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents with odd ids that no even one says: equal, or one a long prefix of the other.  Lines meet
-    by their first 32 bytes, which both conditions imply, so this is an equi-join and not a nested loop."""
+    """First lines of documents that no document before says: equal, or one a long prefix of the other.  Lines meet by their
+    first 32 bytes, which both conditions imply, so this is an equi-join and not a nested loop; each line meets others once."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.trim(F.substring_index("text", "\n", 1)).alias("line")).withColumn("head", F.substring(F.col("line").cast("binary"), 1, 32))
-    live = d.filter("doc_id % 2 = 0").select(F.col("line").alias("live"), "head").distinct()
-    return d.filter("doc_id % 2 = 1").join(live, (d["head"] == live["head"]) & text.same_turn("line", "live"), "left_anti").select("doc_id", F.md5("line").alias("line"))
+    said = d.groupBy(F.col("line").alias("said"), "head").agg(F.min("doc_id").alias("first"))
+    return d.join(said, (d["head"] == said["head"]) & (F.col("first") < F.col("doc_id")) & text.same_turn("line", "said"), "left_anti").select("doc_id", F.md5("line").alias("line"))
 
 
 _HISTOGRAM = """

@@ -1,4 +1,4 @@
-"""Queries over the readers: conversations written as the lines or files of each store, in memory, and read back."""
+"""Queries over the readers: conversations written as the files of each store, in the shared folder, and read back."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadmill.operators import listing, profile, qa, slicing
 from threadmill.plans.catalog import _query, messages
 from threadmill.sources import jsonl, logs, opencode
+from threadmill.sources.scratch import shared_folder
 from threadmill.sources.tables import table
 
 _FIRST_MS = 1_700_000_000_000
@@ -26,11 +27,22 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
+def _written(files: DataFrame, *order: str) -> str:
+    """Write `files` (path, order..., raw: a line each) as text files and say where: each path is a folder of one file."""
+    folder = shared_folder(files.sparkSession, "store")
+    files.repartition("path").sortWithinPartitions("path", *order).select("path", "raw").write.partitionBy("path").text(folder)
+    return folder
+
+
+def _store_path() -> Column:
+    """The path in a store that a file of `_written` stands for."""
+    return F.url_decode(F.url_decode(F.regexp_extract("path", "/path=([^/]+)/", 1)))
+
+
 def _lines(t: DataFrame, path: Column, raw: Column) -> DataFrame:
-    """Parsed lines of files: a turn's line is 2 turn + 2, the one before it is damaged."""
-    flat = t.select(path.alias("path"), F.posexplode(F.array(F.lit("{broken"), raw)).alias("pos", "raw"), "turn")
-    none = F.lit(None).cast("timestamp")
-    return jsonl.parsed(flat.select("path", none.alias("mtime"), F.lit(0).cast("long").alias("size"), (2 * F.col("turn") + F.col("pos") + 1).alias("line"), "raw"))
+    """Lines of files, written and read back: a turn's line stands behind a damaged one, and where `raw` is null it is blank."""
+    flat = t.select(path.alias("path"), "turn", F.posexplode(F.array(F.lit("{broken"), raw)).alias("pos", "raw"))
+    return jsonl.lines(t.sparkSession, _written(flat, "turn", "pos")).withColumn("path", _store_path())
 
 
 def _shown(m: DataFrame, *more: str) -> DataFrame:
@@ -94,14 +106,14 @@ def store_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.concat(F.lit('{"type":"action_result","parts":[{"type":"reasoning","text":"hm"},'), text, F.lit(',{"type":"tool_call","name":"grep","arguments":{"pattern":"p"}}]}'))
     segment = F.lpad(F.floor(F.col("turn") / 2).cast("string"), 4, "0")
     path = F.concat(F.lit("/vibe/unified/"), _uuid(), F.lit("/journal/"), segment, F.lit(".jsonl"))
-    rows = _lines(t, path, F.when(F.col("role") == "user", asked).otherwise(done)).withColumn("line", (F.col("line") - 1) % 4 + 1)
+    rows = _lines(t, path, F.when(F.col("role") == "user", asked).otherwise(done))
     return _shown(logs.vibe_journal_rows(rows), "line", "thinking", "timestamp")
 
 
-@_query(_read("role IN ('user', 'assistant', 'tool')", _UUID_SQL, "role", calls="CASE WHEN role = 'tool' THEN 'bash: ls' ELSE '' END", line=""))
+@_query(_read("true", _UUID_SQL, "role", calls="CASE WHEN role = 'tool' THEN 'bash: ls' ELSE '' END", line=""))
 def store_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk files, each record in two of them and every user turn in a snapshot too: each counts once."""
-    t = _turns(spark, sf_dir).filter("role in ('user', 'assistant', 'tool')")
+    t = _turns(spark, sf_dir)
     text = _json(type=F.lit("text"), text=F.coalesce("text", F.lit("")))
     fixed = F.concat(F.lit(',"id":"'), F.col("turn").cast("string"), F.lit('","createdAt":'), (F.lit(_FIRST_MS) + F.col("turn")).cast("string"))
     said = F.concat(F.lit('{"type":"message","role":"'), "role", F.lit('"'), fixed, F.lit(',"content":['), text, F.lit("]}"))
@@ -111,7 +123,8 @@ def store_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = listed(F.when(F.col("role") == "tool", effect).otherwise(said))
     files = t.groupBy("id").agg(live.alias("live"), F.array_compact(listed(snapshot)).alias("old"))
     content = F.array(F.array_join("live", ","), F.array_join(F.concat("live", "old"), ","))
-    made = files.select("id", F.posexplode(content).alias("n", "text")).select(F.concat(F.lit("/vibe/unified/"), _uuid(), F.lit("/chunks/"), "n", F.lit(".json")).alias("path"), F.timestamp_millis(F.lit(0)).alias("mtime"), F.concat(F.lit("["), "text", F.lit("]")).alias("text"))
+    made = files.select("id", F.posexplode(content).alias("n", "text")).select(F.concat(F.lit("/vibe/unified/"), _uuid(), F.lit("/chunks/"), "n", F.lit(".json")).alias("path"), F.concat(F.lit("["), "text", F.lit("]")).alias("raw"))
+    made = jsonl.whole_files(spark, _written(made)).withColumn("path", _store_path())
     return _shown(jsonl.ordered(logs.merge_chunks(logs.vibe_chunk_rows(made)), "seq"))
 
 
@@ -185,7 +198,7 @@ def questions_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.to_json(F.struct(F.struct(answers.alias("answers")).alias("output")))
     result = F.concat(F.lit('{"role":"tool","tool_call_id":"'), F.col("at").cast("string"), F.lit('","tool_result":'), said, F.lit("}"))
     raw = F.when((F.col("role") == "user") & F.col("text").isNotNull(), call).when((F.col("role") == "assistant") & (F.col("before") == "user") & F.col("asked").isNotNull(), result)
-    rows = _lines(t.filter(raw.isNotNull()), F.concat(F.lit("/vibe/session_20260101_000000_"), "id", F.lit("/messages.jsonl")), raw)
+    rows = _lines(t, F.concat(F.lit("/vibe/session_20260101_000000_"), "id", F.lit("/messages.jsonl")), raw)
     pairs = logs.vibe_question_pairs(rows)
     return pairs.select("session_id", ((F.col("seq") - 2) / 2).cast("long").alias("asked"), F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
