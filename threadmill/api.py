@@ -218,6 +218,32 @@ class Sessions:
     def user_messages(self, limit: int = 0, offset: int | None = None) -> tuple[DataFrame, DataFrame]:
         return reports.extract_messages(self.messages, self.marker, True, limit, offset, users_only=True)
 
+    def respond(self, tool: str, max_bytes: int = 0, folder: str | None = None, **options) -> DataFrame:
+        """A report as one bounded response per session: `extract_messages`, `extract_user_messages`, `extract_by_type` (kinds), `profile` or
+        `said_did`, with the options of their functions.  0 bytes means the ceiling; streams that do not fit go to `folder` whole."""
+        _, most = reports.limits(0, max_bytes)
+        if tool == "extract_messages":
+            meta, rows = self.extract(**options)
+        elif tool == "extract_user_messages":
+            meta, rows = self.user_messages(**options)
+        elif tool == "extract_by_type":
+            counts, rows = self.entries(**options)
+            kinds = F.map_from_entries(F.array_sort(F.collect_list(F.struct("entry_type", "n"))))
+            meta = self.messages.select("session_id").distinct().join(counts.groupBy("session_id").agg(kinds.alias("counts")), "session_id", "left")
+            return reports.respond(tool, meta, rows, most, folder, "idx")
+        elif tool == "profile":
+            meta, events = self.profile()
+            rows = events.withColumns({"at": F.row_number().over(_by("line_number", "event_type")), "json": reports.record("event", *[c for c in events.columns if c != "session_id"])})
+            return reports.respond(tool, meta, rows, most, folder, "at")
+        elif tool == "said_did":
+            said = self.said_did()
+            meta = said.groupBy("session_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("he_said", "she_said", "they_did", "compaction_boundary")))
+            rows = said.withColumns({"at": F.row_number().over(_by("section", "seq", "pos")), "json": F.to_json(F.struct(F.col("kind").alias("type"), "seq", "body"))})
+            return reports.respond(tool, meta, rows, most, folder, "at")
+        else:
+            raise ValueError(f"unknown report {tool!r}")
+        return reports.respond(tool, meta, rows, most, folder)
+
     def derived(self, full: bool = False) -> dict[str, DataFrame]:
         rows = self.messages if full else slicing.since_last_marker(self.messages, self.marker)
         out = {"compaction": rows.filter(self.marker).select("session_id", F.col("seq").alias("n"), "timestamp", F.to_json(F.struct("content")).alias("record"))}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadmill.functions import redact, text
 from threadmill.operators import budget, dedupe, entries, histogram, index, listing, maintain, profile, qa, search, slicing, summary, todos
+from threadmill.plans import reports
 from threadmill.sources.scratch import shared_folder
 from threadmill.sources.tables import conversation_messages as messages
 from threadmill.sources.tables import table
@@ -437,6 +438,23 @@ def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.pair_answers(calls).select("session_id", "pos", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 
+@_query("""
+WITH RECURSIVE m AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, '{"type":"message","role":' || to_json(role) || ',"content":' || to_json(text) || ',"tool_calls_summary":[],"injected":' || (role = 'system') || ',"truncated":false}' AS j FROM conversations),
+t AS (SELECT session_id, -1 AS turn, '{"type":"meta","tool":"extract_messages","session_id":"' || session_id || '","total":' || count(*) || ',"returned":' || count(*) || ',"truncated":0}' AS j FROM m GROUP BY session_id),
+c AS (SELECT *, strlen(j) AS len, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM m)),
+g AS (SELECT session_id, n, len, j, 1 + len + 1 <= 1500 AS ok, CASE WHEN 1 + len + 1 <= 1500 THEN 1 + len ELSE 1 END AS used, CASE WHEN 1 + len + 1 <= 1500 THEN 1 ELSE 0 END AS k FROM c WHERE n = 1
+UNION ALL SELECT c.session_id, c.n, c.len, c.j, g.used + least(g.k, 1) + c.len + 1 <= 1500, CASE WHEN g.used + least(g.k, 1) + c.len + 1 <= 1500 THEN g.used + least(g.k, 1) + c.len ELSE g.used END,
+  CASE WHEN g.used + least(g.k, 1) + c.len + 1 <= 1500 THEN g.k + 1 ELSE g.k END FROM g JOIN c ON c.session_id = g.session_id AND c.n = g.n + 1)
+SELECT session_id, md5('[' || string_agg(j, ',' ORDER BY n) FILTER (ok) || ']') AS response, CAST(sum(len) FILTER (ok) + count(*) FILTER (ok) + 1 AS INTEGER) AS returned_bytes, CAST(sum(len) + count(*) + 1 AS BIGINT) AS total_bytes,
+  count(*) FILTER (ok AND n > 1) AS records_returned, count(*) FILTER (n > 1) AS records_total, bool_or(NOT ok) AS overflow FROM g GROUP BY session_id
+""")
+def respond_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded responses: the meta record first, then the messages that fit 1,500 bytes, greedily."""
+    meta, rows = reports.extract_messages(messages(spark, sf_dir), _marker(), full=True, limit=1000)
+    out = reports.respond("extract_messages", meta, rows, 1500)
+    return out.select("session_id", F.md5("response").alias("response"), "returned_bytes", "total_bytes", "records_returned", "records_total", "overflow")
+
+
 @_query()
 def bounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-bounded prompts of all sessions."""

@@ -38,9 +38,34 @@ def sink(records: DataFrame, max_bytes: int = SINK) -> tuple[DataFrame, DataFram
     return admitted, total.join(got, "session_id", "left").fillna(0)
 
 
-def write_stream(records: DataFrame, path: str) -> None:
-    """All records as JSON lines, in order within each session."""
-    records.repartitionByRange("session_id").sortWithinPartitions("session_id", "seq").select("json").write.mode("overwrite").text(path)
+def respond(tool: str, meta: DataFrame, records: DataFrame, max_bytes: int = SINK, folder: str | None = None, order: str = "seq") -> DataFrame:
+    """What a report answers, per session of `meta`: (session_id, response, returned_bytes, total_bytes, total_lines, records_returned,
+    records_total, overflow, full_report).
+
+    The stream is the meta record (type, tool and the columns of `meta`), then `records` (session_id, json) in their order.  The response is a
+    JSON array of what fits `max_bytes`, admitted greedily in that order and never torn.  Of sessions whose response lacks a record the whole
+    stream goes to `folder`, a JSON line each, and full_report names its files; the others leave none."""
+    first = meta.select("session_id", F.lit(-1).cast("long").alias("at"), F.to_json(F.struct(F.lit("meta").alias("type"), F.lit(tool).alias("tool"), *meta.columns)).alias("json"))
+    rest = records.join(meta.select("session_id"), "session_id", "left_semi").select("session_id", F.col(order).cast("long").alias("at"), "json")
+    stream = first.unionByName(rest).withColumn("len", F.octet_length("json"))
+    told = stream.join(budget.greedy_admission(stream, max_bytes, "len", seq="at"), ["session_id", "at"])
+    # only what is admitted is collected, and that has max_bytes at most
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("admitted"), F.struct("at", "json")))), lambda x: x["json"])
+    out = told.groupBy("session_id").agg(kept.alias("kept"), F.count("*").alias("total_lines"), (F.sum("len") + F.count("*") + 1).alias("total_bytes"), F.count_if(F.col("admitted") & (F.col("at") >= 0)).alias("records_returned"), F.count_if(F.col("at") >= 0).alias("records_total"), F.bool_or(~F.col("admitted")).alias("overflow"))
+    body = F.concat(F.lit("["), F.array_join("kept", ","), F.lit("]"))
+    out = out.select("session_id", body.alias("response"), F.octet_length(body).alias("returned_bytes"), "total_bytes", "total_lines", "records_returned", "records_total", "overflow")
+    if folder is None:
+        return out.withColumn("full_report", F.lit(None).cast("string"))
+    over = out.filter("overflow").select("session_id")
+    write_stream(stream.join(over, "session_id", "left_semi"), folder)
+    return out.withColumn("full_report", F.when(F.col("overflow"), F.concat(F.lit(f"{folder}/session="), F.hex(F.encode("session_id", "utf-8")))))
+
+
+def write_stream(stream: DataFrame, folder: str) -> None:
+    """Streams (session_id, at, json) as JSON lines in order, in a folder per session that is named by the hex digits of its id; a session's
+    earlier stream is replaced."""
+    lines = stream.select(F.hex(F.encode("session_id", "utf-8")).alias("session"), "at", "json").repartition("session").sortWithinPartitions("session", "at")
+    lines.select("session", "json").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").text(folder)
 
 
 def stream_lines(records: DataFrame) -> DataFrame:
