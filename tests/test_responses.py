@@ -4,8 +4,11 @@ import json
 
 import pytest
 
+from threadmill import model
 from threadmill.api import Sessions
+from threadmill.operators import slicing
 from threadmill.plans import reports
+from threadmill.sources import logs
 
 
 @pytest.fixture
@@ -49,3 +52,29 @@ def test_limits_of_responses(store):
         store.respond("extract_messages", reports.CEILING + 1)
     with pytest.raises(ValueError, match="unknown report"):
         store.respond("nothing")
+
+
+def test_period_report_has_its_nine_sections(spark, tmp_path):
+    stream = [("a", 0, "user", "old", [], False), ("a", 1, "user", slicing.MARKER, [], True), ("a", 2, "assistant", "ok", ["bash: git commit -m x"], False), ("a", 3, "user", "steer", [], False), ("b", 0, "user", "hi", [], False)]
+    m = spark.createDataFrame([(s, n, r, c, None, k, None, i) for s, n, r, c, k, i in stream], model.MESSAGES)
+    item = lambda c, s="open": (c, s, None)
+    flushes = spark.createDataFrame([("a", 1, "t1", [item("x")]), ("a", 2, "t2", [item("x"), item("y"), item("z")])], model.TODOS)
+    listed = spark.createDataFrame([("a", "2026-01-02", 10, 4), ("b", "2026-01-01", 20, 1)], "session_id string, end_time string, file_size long, line_count long")
+    (tmp_path / "plans").mkdir()
+    (tmp_path / "plans" / "b.md").write_text("two")
+    (tmp_path / "plans" / "a.md").write_text("one")
+    (tmp_path / "plans" / "c.txt").write_text("no plan")
+    meta, rows = reports.period_report(m, flushes, listed, slicing.is_marker("injected"), logs.plan_files(spark, str(tmp_path / "plans")))
+    got = {}
+    for r in rows.orderBy("session_id", "seq").collect():
+        got.setdefault(r.session_id, {})[r.name] = r.text
+    assert all(list(g) == list(reports.PERIOD) for g in got.values()) and set(got) == {"a", "b"}
+    assert [line.split(" (")[0].rsplit("/", 1)[1] for line in got["a"]["plan_files"].split("\n")] == ["a.md", "b.md"] and "(3 bytes, mtime: 20" in got["a"]["plan_files"]
+    log = got["a"]["todo_log"].split("\n")
+    assert log[:3] == ["t1 added x", "t2 added y", "t2 added z"] and log[3] == "2 opened, 0 closed" and log[4:] == ["steer"]
+    assert got["b"]["todo_log"] == reports.PERIOD["todo_log"] and got["b"]["commits"] == reports.PERIOD["commits"] and "git commit" in got["a"]["commits"]
+    assert got["a"]["recent_rollouts"] == got["b"]["recent_rollouts"] and got["a"]["recent_rollouts"].count("\n") == 1
+    assert "ok" in got["a"]["state_summary"] and "old" not in got["a"]["state_summary"] and "steer" in got["a"]["goals_summary"] and "since" in got["a"]["compaction_footer"]
+    a = {r.session_id: r for r in meta.collect()}["a"]
+    assert (a.session_messages_count, a.full_session_messages_count, a.user_messages_count, a.commits_in_period, a.todo_opens, a.todo_closes, a.todo_events, a.todo_writes, a.todo_baseline, a.rollout_table_rows) == (3, 4, 1, 1, 2, 0, 3, 2, 1, 2)
+    assert a.state_prompt_bytes > 0 and a.goals_prompt_dropped_messages == 0

@@ -61,7 +61,7 @@ def test_damage_is_named_and_sessions_stay_listed(spark, tmp_path):
     (tmp_path / "s" / "session_20260101_000000_a0" / "messages.jsonl").write_text("{broken\n\n{again\n")
     s = Sessions(spark, "vibe", str(tmp_path / "s"))
     rows = {r.session_id[-2:]: r for r in s.list().collect()}
-    assert "a0/messages.jsonl" in rows["a0"].read_error and rows["a0"].line_count == 0 and rows["a1"].read_error is None
+    assert "a0/messages.jsonl" in rows["a0"].read_error and (rows["a0"].line_count, rows["a0"].user_count) == (2, 0) and rows["a1"].read_error is None
     assert sorted((r.session_id[-2:], r.line) for r in s.damage().collect()) == [("a0", 1), ("a0", 3)]
     with pytest.raises(ValueError, match="nosuch"):
         Sessions(spark, "vibe", str(tmp_path / "s"), session="nosuch")

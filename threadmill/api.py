@@ -129,9 +129,11 @@ class Sessions:
         window = self.spark.createDataFrame(rows, found.schema).drop("paths", "head")
         messages = self.store.read(self.spark, paths)
         stamps = profile.first_last(messages).withColumnsRenamed({"first_ts": "start_time", "last_ts": "end_time"})
-        # a listing looks for markers in users' rows only, and knows none in one store
-        marker = {"mock": self.marker & (F.col("role") == "user"), "vibe": self.marker & (F.col("role") == "user"), "pi": F.lit(False)}.get(self.store.name, self.marker)
-        counts = listing.message_counts(messages, marker).drop("file_size")
+        own, unified = [p for p in paths if "/unified/" not in p or self.store.name != "vibe"], [p for p in paths if "/unified/" in p and self.store.name == "vibe"]
+        counts = logs.line_counts(lines(self.spark, own, self.store.file_glob if self.store.name != "vibe" else "messages.jsonl"), self.store.name, self._id("path")) if own else None
+        if unified:  # records of several files make these sessions, so their messages are counted
+            more = listing.message_counts(messages.filter(~F.col("session_id").startswith("session_")), self.marker & (F.col("role") == "user")).drop("file_size")
+            counts = more if counts is None else counts.unionByName(more)
         bad = self._damage([p for p in paths if "/chunks/" not in p], [p for p in paths if "/chunks/" in p])
         bad = bad.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_set("path")), ", ").alias("read_error"))
         out = window.join(counts, "session_id", "left").join(stamps, "session_id", "left").join(bad, "session_id", "left")
@@ -219,8 +221,8 @@ class Sessions:
         return reports.extract_messages(self.messages, self.marker, True, limit, offset, users_only=True)
 
     def respond(self, tool: str, max_bytes: int = 0, folder: str | None = None, **options) -> DataFrame:
-        """A report as one bounded response per session: `extract_messages`, `extract_user_messages`, `extract_by_type` (kinds), `profile` or
-        `said_did`, with the options of their functions.  0 bytes means the ceiling; streams that do not fit go to `folder` whole."""
+        """A report as one bounded response per session: `extract_messages`, `extract_user_messages`, `extract_by_type` (kinds), `profile`,
+        `said_did` or `prior_period_summary`, with the options of their functions.  0 bytes means the ceiling; streams that do not fit go to `folder` whole."""
         _, most = reports.limits(0, max_bytes)
         if tool == "extract_messages":
             meta, rows = self.extract(**options)
@@ -240,10 +242,22 @@ class Sessions:
             meta = said.groupBy("session_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("he_said", "she_said", "they_did", "compaction_boundary")))
             rows = said.withColumns({"at": F.row_number().over(_by("section", "seq", "pos")), "json": F.to_json(F.struct(F.col("kind").alias("type"), "seq", "body"))})
             return reports.respond(tool, meta, rows, most, folder, "at")
+        elif tool == "prior_period_summary":
+            meta, rows = self.period(**options)
         else:
             raise ValueError(f"unknown report {tool!r}")
         return reports.respond(tool, meta, rows, most, folder)
 
+    def period(self, plans: str | None = None, cutoff_ms: int = 0) -> tuple[DataFrame, DataFrame]:
+        """(meta, sections) of each session's period since its last marker; plans: a folder of markdown plans, cutoff_ms: the window of the table
+        of recent sessions.  Stores without todo lists have none."""
+        flushes = self.todo_flushes() if self.store.name == "opencode" else self.spark.createDataFrame([], model.TODOS)
+        files = logs.plan_files(self.spark, plans) if plans else None
+        rows = self.list(cutoff_ms=cutoff_ms)
+        stamp = F.col("end_time") if "end_time" in rows.columns else F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        recent = self.window(cutoff_ms=cutoff_ms).count() if self.store.file_glob else None
+        return reports.period_report(self.messages, flushes, rows.withColumn("end_time", stamp), self.marker, files, recent)
+
     def derived(self, full: bool = False) -> dict[str, DataFrame]:
         rows = self.messages if full else slicing.since_last_marker(self.messages, self.marker)
         out = {"compaction": rows.filter(self.marker).select("session_id", F.col("seq").alias("n"), "timestamp", F.to_json(F.struct("content")).alias("record"))}

@@ -164,3 +164,44 @@ def prior_period(messages: DataFrame, flushes: DataFrame, sessions: DataFrame, m
         sections = sections.unionByName(p)
     meta = rows.groupBy("session_id").agg(F.count("*").alias("messages"), F.count_if((F.col("role") == "user") & ~F.col("injected")).alias("user_messages")).join(churned, "session_id", "left").join(commits(rows).groupBy("session_id").agg(F.count("*").alias("commits")), "session_id", "left").fillna(0)
     return meta, sections
+
+
+#: Sections of a period's report in their order, and what stands where a session has nothing to say.
+PERIOD = {
+    "recent_rollouts": "No recent sessions.", "plan_files": "No plan or todo files found.", "todo_log": "No changes of the todo list.", "commits": "No commits in this period.",
+    "state_summary": "", "goals_summary": "", "compaction_footer": "No compaction yet.",
+    "instructions": "Read the sections in their order; the logs are complete, the summaries are not.",
+    "orientation_warning": "This report does not say what was under way or comes next: look at the work itself before going on.",
+}
+
+
+def period_report(messages: DataFrame, flushes: DataFrame, sessions: DataFrame, marker: Column, plans: DataFrame | None = None, recent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(meta, records) of every session's period since its last marker: records (session_id, seq, name, text, json) are the nine sections
+    of `PERIOD`, meta the counters behind them.  sessions: listing rows; plans: (path, mtime, size) of plan files; recent: sessions in the window,
+    if the listing has fewer."""
+    counted, lines = prior_period(messages, flushes, sessions, marker)
+    rows = slicing.since_last_marker(messages, marker)
+    name = F.create_map(*(F.lit(x) for pair in (("state", "state_summary"), ("goals", "goals_summary"), ("todo_log", "todo_log"), ("churn", "todo_log"), ("steers", "todo_log"), ("commits", "commits"), ("compactions", "compaction_footer")) for x in pair))
+    place = F.when(F.col("section") == "churn", 1).when(F.col("section") == "steers", 2).otherwise(0)
+    churning = lines.filter("section = 'churn'").select("session_id", F.lit(True).alias("churning")).distinct()
+    own = lines.filter("section not in ('rollouts', 'plans')").join(churning, "session_id", "left").filter("section <> 'steers' or churning")  # steers explain churn
+    own = own.withColumns({"name": name[F.col("section")], "at": F.struct(place.alias("place"), "nth")}).groupBy("session_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("own"))
+    table = listing.rollouts_table(sessions).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("table"), F.count("*").alias("rollout_table_rows"))
+    stamp = F.date_format("mtime", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    files = F.lit("").alias("files")
+    shared = table.withColumn("files", files) if plans is None else table.join(plans.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("- %s (%d bytes, mtime: %s)", "path", "size", stamp))), "\n").alias("files")))
+    names = F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), F.lit(n).alias("name"), F.lit(t).alias("none")) for i, (n, t) in enumerate(PERIOD.items())))
+    every = messages.select("session_id").distinct().select("session_id", F.inline(names)).join(own, ["session_id", "name"], "left").join(F.broadcast(shared))
+    text = F.when(F.col("name") == "recent_rollouts", F.col("table")).when(F.col("name") == "plan_files", F.col("files")).otherwise(F.col("own"))
+    told = every.withColumn("text", F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.col("none")))
+    records = told.select("session_id", "seq", "name", "text", F.to_json(F.struct(F.lit("section").alias("type"), "name", "text")).alias("json"))
+    events = todos.todo_events(flushes).groupBy("session_id").agg(F.count("*").alias("todo_events"))
+    writes = flushes.groupBy("session_id").agg(F.count("*").alias("todo_writes"), F.min_by(F.size("todos"), "flush").cast("long").alias("todo_baseline"))
+    whole = messages.groupBy("session_id").agg(F.count("*").alias("full_session_messages_count"))
+    counters = counted.select("session_id", F.col("messages").alias("session_messages_count"), F.col("user_messages").alias("user_messages_count"), F.col("opened").alias("todo_opens"), F.col("closed").alias("todo_closes"), F.col("commits").alias("commits_in_period"))
+    meta = counters.join(whole, "session_id", "left").join(events, "session_id", "left").join(writes, "session_id", "left")
+    for kind, prompt in (("state", bounded_prompt(rows)), ("goals", bounded_prompt(slicing.user_messages(rows)))):
+        sizes = {"bytes": "prompt_bytes", "dropped_bytes": "prompt_dropped_bytes", "dropped_items": "prompt_dropped_messages"}
+        meta = meta.join(prompt.select("session_id", *(F.col(c).cast("long").alias(f"{kind}_{n}") for c, n in sizes.items())), "session_id", "left")
+    meta = meta.join(F.broadcast(table.select("rollout_table_rows"))).fillna(0)
+    return meta.withColumn("recent_sessions_count", F.lit(recent) if recent is not None else F.col("rollout_table_rows")), records

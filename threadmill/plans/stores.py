@@ -86,6 +86,28 @@ def store_vibe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(logs.vibe_rows(_vibe_lines(spark, sf_dir)), "line")
 
 
+_COUNTS = "SELECT {id} AS session_id, 2 * count(*) AS line_count, count(*) FILTER (role = 'user') AS user_count, count(*) FILTER (role = 'assistant') AS assistant_count, count(*) FILTER (role = 'tool') AS tool_count, {mark} AS has_compaction FROM conversations GROUP BY conv_id"
+
+
+@_query(_COUNTS.format(id=_VIBE_ID, mark="bool_or(role = 'user' AND contains(coalesce(text, ''), 'context compaction'))"))
+def store_vibe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of raw lines: roles as they stand, damaged lines counted, markers in users' lines only."""
+    return logs.line_counts(_vibe_lines(spark, sf_dir), "vibe", F.regexp_extract("path", r"/(session_[^/]+)/", 1))
+
+
+@_query(r"""
+WITH e AS (SELECT *, max(CASE WHEN contains(coalesce(text, ''), 'context compaction') THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations)
+""" + f"""
+SELECT {_VIBE_ID} AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role AS entry_type, 2 * turn + 2 AS line,
+  md5('{{"role":' || to_json(role) || CASE WHEN text IS NULL THEN '' ELSE ',"content":' || to_json(text) END || ',"reasoning_content":"hm"' || CASE WHEN role = 'assistant' THEN ',"tool_calls":[{{"function":{{"name":"bash","arguments":"{{\\"command\\":\\"assistant ls\\"}}"}}}},{{"function":{{"name":"bash","arguments":"{{\\"command\\":\\"assistant ls\\"}}"}}}}]' ELSE '' END || ',"injected":false}}') AS record
+FROM e WHERE role IN ('user', 'assistant', 'tool') AND (last IS NULL OR turn >= last)
+""")
+def native_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose records are the lines of the log, byte for byte, from the last marker on."""
+    out = logs.native_entries(_vibe_lines(spark, sf_dir))
+    return out.select("session_id", "idx", "entry_type", "line", F.md5("record").alias("record"))
+
+
 @_query(f"""
 SELECT {_VIBE_ID} AS session_id, 2 * turn + 2 AS line_number, 'UserMessage' AS event_type, 2 * turn + 2 - lag(2 * turn + 2, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS gap_lines
 FROM conversations WHERE role = 'user'
@@ -154,15 +176,31 @@ def store_codex_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.message_counts(logs.codex_rows(_codex_lines(spark, sf_dir)), slicing.is_marker("injected"))
 
 
+@_query(_COUNTS.format(id=_UUID_SQL, mark="bool_or(role = 'system')"))
+def store_codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of raw lines: only typed records count as turns, compactions by their type."""
+    return logs.line_counts(_codex_lines(spark, sf_dir), "codex", F.regexp_extract("path", rf"-({jsonl.UUID})\.jsonl$", 1))
+
+
+@_query(_COUNTS.format(id="CAST(conv_id AS VARCHAR)", mark="false"))
+def store_pi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tallies of raw lines by the role inside of the message; no line marks a compaction."""
+    return logs.line_counts(_pi_lines(spark, sf_dir), "pi", F.regexp_extract("path", r"_([^_/]+)\.jsonl$", 1))
+
+
 @_query(_read("role <> 'system'", "CAST(conv_id AS VARCHAR)", "role", calls="CASE WHEN role = 'assistant' THEN 'grep(p, .)' ELSE '' END", line=", 2 * turn + 2 AS line, CASE WHEN role = 'assistant' THEN 'hm' END AS thinking"))
 def store_pi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of users, the assistant (with thinking and a call) and tools; other roles are left out."""
+    return _shown(logs.pi_rows(_pi_lines(spark, sf_dir)), "line", "thinking")
+
+
+def _pi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     text = _json(type=F.lit("text"), text=F.coalesce("text", F.lit("")))
     more = F.when(F.col("role") == "assistant", F.lit(',{"type":"thinking","thinking":"hm"},{"type":"toolCall","name":"grep","arguments":{"pattern":"p"}}')).otherwise(F.lit(""))
     role = F.when(F.col("role") == "tool", "toolResult").otherwise(F.col("role"))
     raw = F.concat(F.lit('{"type":"message","message":{"role":"'), role, F.lit('","content":['), text, more, F.lit("]}}"))
-    return _shown(logs.pi_rows(_lines(t, F.concat(F.lit("/pi/p/2026_"), "id", F.lit(".jsonl")), raw)), "line", "thinking")
+    return _lines(t, F.concat(F.lit("/pi/p/2026_"), "id", F.lit(".jsonl")), raw)
 
 
 @_query("""

@@ -207,6 +207,26 @@ def first_line_directory(spark: SparkSession, root: str | list[str], glob: str,
     return heads.groupBy("session_id").agg(F.min_by("directory", "path").alias("directory"))
 
 
+def line_counts(rows: DataFrame, store: str, session: Column) -> DataFrame:
+    """Per session, from parsed lines: line_count, turns by role and has_compaction, by the rule of the store.
+
+    A store's rule says whose turn a line is and whether it marks a compaction; lines that are none of these, damaged ones too,
+    count as lines, but in the store whose lines are messages."""
+    rec, role = F.col("rec"), text_at("rec", "$.role")
+    if store == "codex":
+        kind, inner, said = text_at(rec, "$.type"), text_at(rec, "$.payload.type"), text_at(rec, "$.payload.role")
+        who = F.when(inner == "message", said).when(inner.isin("custom_tool_call", "function_call"), "assistant").when(inner.isin("custom_tool_call_output", "function_call_output"), "tool")
+        who, mark = F.when(kind == "response_item", who), kind == "compacted"
+    elif store == "pi":
+        said = text_at(rec, "$.message.role")
+        who, mark = F.when(said == "toolResult", "tool").when(said != "tool", said), F.lit(False)
+    else:
+        who, mark = role, (role == "user") & F.contains(F.coalesce(text_at(rec, "$.content"), F.lit("")), F.lit(MARKER))
+    seen = rows.select(session.alias("session_id"), who.alias("who"), F.coalesce(mark, F.lit(False)).alias("mark"), rec.isNotNull().alias("read")).filter("session_id <> ''")
+    count = F.count_if("read") if store == "mock" else F.count("*")
+    return seen.groupBy("session_id").agg(count.alias("line_count"), *(F.count_if(F.col("who") == r).alias(f"{r}_count") for r in ("user", "assistant", "tool")), F.bool_or("mark").alias("has_compaction"))
+
+
 def plan_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, size) of markdown plans below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
