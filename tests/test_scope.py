@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.api import Sessions
+from threadmill.operators import slicing
 from threadmill.sources import jsonl, opencode
 from threadmill.sources.sqlite_source import SqliteReader, sqlite_table
 from pyspark.sql.types import StructType
@@ -137,3 +138,9 @@ def test_rows_outside_of_the_window_are_not_read(spark, tmp_path):
     assert sqlite_table(spark, path, "part", [("session_id", "in", [])]).count() == 0
     both = sqlite_table(spark, path, "part", [("session_id", "in", ["s1", "s2"]), ("id", "in", ["p1.0", "p3.0"]), ("time_created", ">", 0)])
     assert [r.id for r in both.collect()] == ["p1.0"]
+
+
+def test_directories_are_matched_as_a_database_does(spark):
+    rows = spark.createDataFrame([(1, "/Work/Été"), (2, "/work/été_x"), (3, None), (4, "C:\\work")], "n int, directory string")
+    found = lambda part: [r.n for r in slicing.in_directory(rows, part).orderBy("n").collect()]
+    assert found("WORK") == [1, 2, 4] and found("été") == [2] and found("É") == [1] and found("w_rk/%x") == [2] and found("c:\\") == [4]

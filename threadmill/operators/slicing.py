@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,8 +58,9 @@ def in_directory(sessions: DataFrame, part: str, style: str = "like") -> DataFra
     """Directory filter: `like` (ASCII case-insensitive, % and _ are wildcards, null fails), `folded` (lower-cased
     substring, null passes) or `exact` (substring, null passes)."""
     d = F.col("directory")
-    if style == "like":
-        return sessions.filter(d.ilike(f"%{part}%"))
+    if style == "like":  # as a database's LIKE: only A-Z fold, nothing escapes
+        folded = lambda c: F.translate(c, ascii_uppercase, ascii_lowercase)
+        return sessions.filter(F.like(folded(d), folded(F.lit(f"%{part}%")), F.lit("\x01")))
     return sessions.filter(d.isNull() | (F.contains(F.lower(d), F.lit(part.lower())) if style == "folded" else F.contains(d, F.lit(part))))
 
 
