@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives every node the smallest label among its own and its neighbours', and then the label of that label,
     so known paths double.  Labels only fall, and the rounds end when none changes.  A hub's labels are combined before
     they are shuffled."""
-    apart = edges.filter("a <> b").select("a", "b")
+    apart = cut(edges.filter("a <> b").select("a", "b"))  # read four times below, made once
     both = apart.union(apart.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut(both.union(both.select("a", F.col("a").alias("b"))).distinct())
     label = both.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
