@@ -144,3 +144,25 @@ def test_directories_are_matched_as_a_database_does(spark):
     rows = spark.createDataFrame([(1, "/Work/Été"), (2, "/work/été_x"), (3, None), (4, "C:\\work")], "n int, directory string")
     found = lambda part: [r.n for r in slicing.in_directory(rows, part).orderBy("n").collect()]
     assert found("WORK") == [1, 2, 4] and found("été") == [2] and found("É") == [1] and found("w_rk/%x") == [2] and found("c:\\") == [4]
+
+
+def put(path, *records):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records) + "\n")
+
+
+def test_each_store_counts_its_lines(spark, tmp_path):
+    item = lambda **p: {"type": "response_item", "timestamp": "2026-01-01T00:00:00Z", "payload": p}
+    put(tmp_path / "c" / "2026" / "01" / "01" / f"rollout-2026-01-01T00-00-00-{A}.jsonl", {"type": "session_meta", "payload": {"cwd": "/Work"}}, item(type="message", role="user", content=[]), item(type="message", role="developer", content=[]), item(type="function_call", name="x", arguments="{}"), item(type="function_call_output", output="y"), {"type": "compacted", "payload": {}}, "{broken")
+    message = lambda role: {"type": "message", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": role, "content": [{"type": "text", "text": "context compaction"}]}}
+    put(tmp_path / "p" / "proj" / "2026_p1.jsonl", {"type": "session", "cwd": "/x"}, message("user"), message("assistant"), message("toolResult"), message("system"), "")
+    put(tmp_path / "m" / "m1.jsonl", {"role": "user", "content": "context compaction"}, {"role": "tool", "content": "t"}, "{broken")
+    told = lambda r: (r.session_id, r.line_count, r.user_count, r.assistant_count, r.tool_count, r.has_compaction, r.read_error is not None)
+    codex = Sessions(spark, "codex", str(tmp_path / "c"))
+    row = codex.list().first()
+    assert told(row) == (A, 7, 1, 1, 1, True, True) and row.directory == "/Work" and row.file_size > 100
+    assert codex.list(directory="work").count() == 1 and codex.list(directory="none").count() == 0 and codex.list(cutoff_ms=4_000_000_000_000).count() == 0
+    row = Sessions(spark, "pi", str(tmp_path / "p")).list().first()
+    assert told(row) == ("p1", 5, 1, 1, 1, False, False) and row.directory == "/x"
+    assert told(Sessions(spark, "mock", str(tmp_path / "m")).list().first()) == ("m1", 2, 1, 0, 1, True, True)
+    assert Sessions(spark, "codex", str(tmp_path / "c"), session=A[:8]).messages.count() == 4
