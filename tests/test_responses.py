@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadmill import model
 from threadmill.api import Sessions
-from threadmill.operators import slicing
+from threadmill.operators import budget, slicing
 from threadmill.plans import reports
 from threadmill.sources import logs
 
@@ -78,3 +79,12 @@ def test_period_report_has_its_nine_sections(spark, tmp_path):
     a = {r.session_id: r for r in meta.collect()}["a"]
     assert (a.session_messages_count, a.full_session_messages_count, a.user_messages_count, a.commits_in_period, a.todo_opens, a.todo_closes, a.todo_events, a.todo_writes, a.todo_baseline, a.rollout_table_rows) == (3, 4, 1, 1, 2, 0, 3, 2, 1, 2)
     assert a.state_prompt_bytes > 0 and a.goals_prompt_dropped_messages == 0
+
+
+def test_the_fold_deals_its_records_itself(spark):
+    """Over a union whose sides are dealt by the session, Spark leaves out a repartition by it and may then read the sides apart, so that
+    a session's meta record and its messages meet two folds; the fold's own exchange must stay."""
+    side = lambda: spark.range(40).select((F.col("id") % 9).cast("string").alias("session_id"), F.col("id").alias("seq"), F.lit(5).alias("len")).repartition("session_id")
+    plan = budget.greedy_admission(side().unionByName(side()), 20, "len")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :].split("\n")[1:3]
+    assert "Sort" in below[0] and "Exchange" in below[1]

@@ -37,8 +37,11 @@ def greedy_admission(rows: DataFrame, max_bytes: int, length: str, head: int = 1
     """(key, seq, admitted) of every record: it is admitted if the bytes so far, a comma, its length and the closing bracket
     fit; a smaller one may be after one that did not.  The outcome depends on the path, so a fold reads each session's
     records in order; its state (bytes and whether any was admitted) is carried from batch to batch, so a session may be
-    of any length.  A null length is neither admitted nor refused."""
-    read = rows.select(key, F.col(seq).cast("long").alias(seq), F.col(length).cast("long").alias("__len")).repartition(key).sortWithinPartitions(key, seq)
+    of any length.  A null length is neither admitted nor refused.
+
+    The records are dealt by a hash of the key: Spark leaves out a repartition by the key itself over rows that are dealt by it, as a
+    union is whose sides are, but as the fold requires nothing, it may then read each side's partitions in its own way."""
+    read = rows.select(key, F.col(seq).cast("long").alias(seq), F.col(length).cast("long").alias("__len")).repartition(F.xxhash64(key)).sortWithinPartitions(key, seq)
     schema = T.StructType([*read.schema[:2], T.StructField("admitted", T.BooleanType())])
 
     def fold(batches):
