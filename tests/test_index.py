@@ -2,6 +2,7 @@
 
 import glob
 import json
+import math
 import os
 import random
 import re
@@ -192,3 +193,13 @@ def test_databases_are_indexed_when_asked(spark, tmp_path):
     s.index(str(tmp_path / "i"))
     meta, found = s.search_index(str(tmp_path / "i"), "alpha")
     assert meta.first().not_indexed == [] and found.count() == 1
+
+
+def test_scores_keep_their_digits(spark):
+    """A score rounds to the digits of the sum itself, as SQL's does, not to those of a float near it."""
+    rows = [("a", i, None, "user", "lock " * (i + 1) + "word " * (3 * i)) for i in range(40)]
+    m = spark.createDataFrame([(*r, None, [], False) for r in rows], "session_id string, seq long, timestamp string, role string, content string, thinking string, tool_calls_summary array<string>, injected boolean")
+    got = {r["seq"]: r["score"] for r in search.search(m, "lock", hits=40).collect()}
+    avg = sum(4 * i + 1 for i in range(40)) / 40
+    want = {i: math.log(1 + 0.5 / 40.5) * (i + 1) * 2.2 / (i + 1 + 1.2 * (0.25 + 0.75 * (4 * i + 1) / avg)) for i in range(40)}
+    assert got == pytest.approx(want, rel=1e-12)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadmill.functions.text import fragment, query_tokens
 
 K1, B, HITS = 1.2, 0.75, 10
-HIT = "session_id string, seq long, timestamp string, role string, score float, fragment string, in_thinking boolean, hit_rank int"
+HIT = "session_id string, seq long, timestamp string, role string, score double, fragment string, in_thinking boolean, hit_rank int"
 
 
 #: A clause of a query: whether it must, should or must not hold, and a run of terms or a group of clauses.
@@ -129,7 +129,7 @@ def shown(top: DataFrame, query: str) -> DataFrame:
     tokens = query_tokens(F.lit(query))
     in_content, in_thinking = F.exists(tokens, lambda t: F.contains(low("content"), t)), F.exists(tokens, lambda t: F.contains(low("thinking"), t))
     thinking = ~in_content & in_thinking
-    return top.select("session_id", "seq", "timestamp", "role", F.col("score").cast("float").alias("score"), fragment(F.when(thinking, F.col("thinking")).otherwise(F.col("content")), F.lit(query)).alias("fragment"), thinking.alias("in_thinking"), "hit_rank").orderBy(F.desc("score"), "session_id", "hit_rank")
+    return top.select("session_id", "seq", "timestamp", "role", "score", fragment(F.when(thinking, F.col("thinking")).otherwise(F.col("content")), F.lit(query)).alias("fragment"), thinking.alias("in_thinking"), "hit_rank").orderBy(F.desc("score"), "session_id", "hit_rank")
 
 
 def outcome(found: DataFrame, searched: DataFrame) -> DataFrame:
