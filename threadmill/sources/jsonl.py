@@ -46,17 +46,52 @@ def file_stats(spark: SparkSession, paths: str | list[str], glob: str | None = N
 def numbered_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """(path, mtime, size, line, raw) of every line, with its 1-based physical number.  Files are split: a line's number is
     its place in its split behind the lines of the splits before, so no task holds a file and nothing is sorted."""
-    from pyspark.sql import Window as W
+    return _numbered(_raw_lines(spark, paths, glob)).select("path", "mtime", "size", "line", "raw")
+
 
+def _raw_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, mtime, size, split, id, raw) of every line; ids grow by one from line to line of a split."""
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     with few_listing_tasks(spark):
         raw = (reader.option("pathGlobFilter", glob) if glob else reader).text(paths)
     meta = {"path": "file_path", "mtime": "file_modification_time", "size": "file_size", "split": "file_block_start"}
-    rows = raw.select(*(F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    return raw.select(*(F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with each line's 1-based number in its path."""
+    from pyspark.sql import Window as W
+
     splits = rows.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = splits.select("path", "split", "first", before.alias("before"))
-    return rows.join(placed, ["path", "split"]).select("path", "mtime", "size", (F.col("id") - F.col("first") + F.col("before") + 1).cast("long").alias("line"), "raw")
+    return rows.join(placed, ["path", "split"]).withColumn("line", (F.col("id") - F.col("first") + F.col("before") + 1).cast("long"))
+
+
+def write_bundles(lines: DataFrame, folder: str, *order: str) -> None:
+    """Write `lines` (path, order..., raw: a line each, null: a blank one) as bundles: text files that hold the lines of many logs, each behind
+    its log's path, encoded as in a URL, and a tab.  A log's lines stand together in their order.  The files' number goes with the bytes,
+    not with the logs, of which each would cost the file system and the driver milliseconds."""
+    line = F.concat(F.url_encode("path"), F.lit("\t"), F.coalesce("raw", F.lit("")))
+    lines.repartition(F.xxhash64("path")).sortWithinPartitions("path", *order).select(line.alias("value")).write.text(folder, lineSep="\n")
+
+
+def bundled_numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, mtime, line, raw) of every line of the logs in bundles, with its 1-based number in its own log; mtime is the bundle's."""
+    rows = _raw_lines(spark, paths).withColumn("split", F.struct(F.col("path").alias("file"), "split"))
+    rows = rows.withColumns({"path": F.substring_index("raw", "\t", 1), "raw": F.expr("substring(raw, instr(raw, '\t') + 1)")})
+    return _numbered(rows).select(F.url_decode("path").alias("path"), "mtime", "line", "raw")
+
+
+def bundled_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, mtime, line, raw, rec): the same as `lines`, from bundles."""
+    return parsed(bundled_numbered(spark, paths))
+
+
+def bundled_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, mtime, text): the logs in bundles as whole files."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n")
+    return bundled_numbered(spark, paths).groupBy("path").agg(F.max("mtime").alias("mtime"), text.alias("text"))
 
 
 def parsed(numbered: DataFrame) -> DataFrame:
