@@ -1,10 +1,10 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
 Rows are sharded into blocks and their components into chunks.  A shard of anchors meets a shard of rows of the same chunk in a
-join on (row block, chunk), where a task multiplies them into a partial tile of int64 scores; partial tiles travel in the narrowest
-integers that hold them, are added up by a shuffle on (anchor block, row block), and the whole tiles are written once.  Then
-each tile is reduced twice: to the best rows of an anchor's label, which give its positives, and to the best rows of other labels
-within each anchor-positive window.  What leaves a tile is a few rows per anchor or window; a ranked window merges the tiles.
+join on (row block, chunk), where a task multiplies them into a tile of int64 scores.  Where vectors have several chunks it is a partial
+one: these travel in the narrowest integers that hold them and are added up by a shuffle on (anchor block, row block).  The tiles are made
+and reduced twice, as all of them are anchors times rows and would fill disks: to the best rows of an anchor's label, which give its
+positives, and to the best rows of other labels within each anchor-positive window, which the shards of anchors carry.  What leaves a tile is a few rows per anchor or window; a ranked window merges the tiles.
 
 The anchors are a stated set that is held against all rows, so the work grows with anchors times rows; memory does not: a
 task holds two shards, a tile or the partial tiles of one pair of blocks.  A block is a hash of the row's own number, so labels,
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from threadmill.llm.common import arrow_batches, per_task, workspace
 
 #: Rows of a block, anchors of a block, components of a chunk.
-ROWS, ANCHORS, CHUNK = 2048, 256, 32
+ROWS, ANCHORS, CHUNK = 2048, 256, 256
 NULL = np.iinfo(np.int64).max
 META = "a_uid binary, a_id binary, a_label binary, c_uid binary, c_id binary, c_label binary"
+#: The windows of a block of anchors: anchors, positives, their ids and scores.
+WINDOWS = ("w_a_uid", "w_p_uid", "w_p_id", "w_score")
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
@@ -80,9 +82,14 @@ def shards(rows: DataFrame, blocks: int, chunk: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(pack, "block int, k int, n int, width int, uid binary, id binary, label binary, kind string, part binary")
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
-    """(i, j, kind, tile) and the numbers, ids and labels of both sides: the scores of anchor block i with row block j."""
-    a = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.col("block").alias("i"), "k", *(F.col(c).alias(f"a_{c}") for c in ("n", "width", "uid", "id", "label", "kind", "part")))
+def tiles(anchors: DataFrame, rows: DataFrame, blocks: int, whole: bool) -> DataFrame:
+    """(i, j, kind, tile) and the numbers, ids and labels of both sides: the scores of anchor block i with row block j, and the windows that
+    the anchors carry, if any.  whole: the vectors are of one chunk, so a product is a whole tile.
+
+    The shards of anchors are repeated for each block of rows, so they grow with the product of both: they are shuffled, as a broadcast,
+    which goes by the size before they are repeated, would gather them in the driver."""
+    windows = [c for c in WINDOWS if c in anchors.columns]
+    a = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.col("block").alias("i"), "k", *(F.col(c).alias(f"a_{c}") for c in ("n", "width", "uid", "id", "label", "kind", "part")), *windows)
     c = rows.select(F.col("block").alias("j"), "k", *(F.col(c).alias(f"c_{c}") for c in ("n", "width", "uid", "id", "label", "kind", "part")))
 
     def multiply(batches):
@@ -91,11 +98,13 @@ def tiles(anchors: DataFrame, rows: DataFrame, blocks: int) -> DataFrame:
                 a, c = (np.frombuffer(r[f"{x}_part"], r[f"{x}_kind"]).reshape(r[f"{x}_n"], r[f"{x}_width"]).astype(np.int64) for x in "ac")
                 w = min(a.shape[1], c.shape[1])
                 tile, kind = packed(product(a[:, :w], c[:, :w]))
-                meta = {m: [r[m]] for m in ("a_uid", "a_id", "a_label", "c_uid", "c_id", "c_label")}
+                meta = {m: [r[m]] for m in ("a_uid", "a_id", "a_label", "c_uid", "c_id", "c_label", *windows)}
                 yield {"i": [r["i"]], "j": [r["j"]], "kind": [kind], "tile": [tile], **meta}
 
-    schema = f"i int, j int, kind string, tile binary, {META}"
-    partial = per_task(a.join(c, ["j", "k"]), schema, multiply)
+    schema = ", ".join([f"i int, j int, kind string, tile binary, {META}", *(f"{w} array<long>" for w in windows)])
+    partial = per_task(a.hint("merge").join(c, ["j", "k"]), schema, multiply)
+    if whole:
+        return partial
 
     def add(group: pa.Table) -> pa.Table:
         total, head = None, None
@@ -141,19 +150,27 @@ def best_positives(whole: DataFrame, most: int) -> DataFrame:
     return found.withColumn("nth", first).filter(F.col("nth") <= most)
 
 
-def best_negatives(whole: DataFrame, positives: DataFrame, blocks: int, most: int, low: int, high: int) -> DataFrame:
+def with_windows(anchors: DataFrame, positives: DataFrame) -> DataFrame:
+    """Shards of anchors whose first chunk carries the windows of its block."""
+    names = ("a_uid", "p_uid", "p_id", "score")
+    windows = positives.groupBy("i").agg(F.collect_list(F.struct(*names)).alias("w"))
+    windows = windows.select(F.col("i").alias("block"), F.lit(0).alias("k"), *(F.col("w")[c].alias(f"w_{c}") for c in names))
+    return anchors.join(windows.hint("merge"), ["block", "k"], "left")
+
+
+def best_negatives(whole: DataFrame, most: int, low: int, high: int) -> DataFrame:
     """(a_uid, a_id, p_uid, p_id, p_score, n_uid, n_id, n_score): of each tile the first `most` rows of another label in each
-    anchor-positive window, low % to high % of the positive's score."""
-    windows = positives.groupBy("i").agg(F.collect_list(F.struct("a_uid", "p_uid", "p_id", "score")).alias("windows"))
-    windows = windows.select("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), *(F.col("windows")[c].alias(f"w_{c}") for c in ("a_uid", "p_uid", "p_id", "score")))
+    anchor-positive window that it carries, low % to high % of the positive's score."""
 
     def reduce(batches):
         for batch in batches:
             for r in batch.to_pylist():
+                if r["w_a_uid"] is None:
+                    continue
                 scores, a_uid, a_id, a_label, c_uid, c_id, c_label = _unpacked(r)
                 order, row = _best_first(scores), {u: n for n, u in enumerate(a_uid.tolist())}
                 found, now = [], None
-                for u, p_uid, p_id, p in sorted(zip(r["w_a_uid"], r["w_p_uid"], r["w_p_id"], r["w_score"], strict=True)):
+                for u, p_uid, p_id, p in sorted(zip(*(r[w] for w in WINDOWS), strict=True)):
                     if u != now:
                         now, n = u, row[u]
                         at = order[n][c_label[order[n]] != a_label[n]]
@@ -166,7 +183,7 @@ def best_negatives(whole: DataFrame, positives: DataFrame, blocks: int, most: in
                     names = ("a_uid", "a_id", "p_uid", "p_id", "p_score", "n_uid", "n_id", "n_score")
                     yield {m: np.array(x, np.int64) for m, x in zip(names, zip(*found, strict=True), strict=True)}
 
-    return per_task(whole.join(windows, ["i", "j"]), "a_uid long, a_id long, p_uid long, p_id long, p_score long, n_uid long, n_id long, n_score long", reduce)
+    return per_task(whole, "a_uid long, a_id long, p_uid long, p_id long, p_score long, n_uid long, n_id long, n_score long", reduce)
 
 
 def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, block: int = ROWS, anchors: int = ANCHORS, chunk: int = CHUNK) -> DataFrame:
@@ -182,9 +199,10 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
         if not a:
             return spark.createDataFrame([], RESULT)
         blocks = -(-n // block)
-        whole = keep(tiles(keep(shards(own.filter("anchor"), -(-a // anchors), chunk)), keep(shards(own, blocks, chunk)), blocks))
-        chosen = keep(best_positives(whole, positives))
-        mined = keep(best_negatives(whole, chosen, blocks, negatives, low, high), lasting=True)
+        asked, every = keep(shards(own.filter("anchor"), -(-a // anchors), chunk)), keep(shards(own, blocks, chunk))
+        one = every.filter("k > 0").isEmpty()
+        chosen = keep(best_positives(tiles(asked, every, blocks, one), positives))
+        mined = keep(best_negatives(tiles(with_windows(asked, chosen), every, blocks, one), negatives, low, high), lasting=True)
     rank = F.row_number().over(Window.partitionBy("a_uid", "p_uid").orderBy(F.desc("n_score"), "n_id", "n_uid"))
     known = lambda c: F.when(F.col(c) != int(NULL), F.col(c))
     best = mined.withColumn("rank", rank).filter(F.col("rank") <= negatives)
