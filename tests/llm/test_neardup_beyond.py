@@ -2,7 +2,9 @@
 
 import random
 
-from threadmill.llm import neardup
+import numpy as np
+
+from threadmill.llm import linedup, neardup
 
 
 def test_links_beyond_the_hubs_and_the_kept_candidates(spark):
@@ -37,3 +39,19 @@ def test_chains_by_hot_values_and_few_candidates(spark):
     for hot in (0, 1 << 16):
         got = neardup.near_duplicates(df, k=2, kept=1, hot=hot).collect()
         assert len(got) == len(texts) and {r.doc_id: r.component_id for r in got} == root
+
+
+def test_lines_of_a_list_meet_those_of_like_sizes_alone():
+    """Of a list with lines of many sizes only pairs whose sizes can match are made, and none of the matches is missed."""
+    r = np.random.default_rng(4)
+    n = 3000
+    made = np.sort(r.integers(5, 500, n))
+    x = {"word": np.zeros(n, np.uint64), "doc_id": r.permutation(n), "line": np.zeros(n, np.int64), "m": made, "pos": np.zeros(n, np.int64), "bits": r.integers(0, 4, n).astype(np.uint64), "at": np.full(n, -1), "rest": np.zeros((0, 3), np.uint64)}
+    lists, seen = linedup.LineLists(80, 4096, n), []
+    inner = lists.possible
+    lists.possible = lambda x, i, j: seen.append(len(i)) or inner(x, i, j)
+    got = {(i, j) for a, b, *_ in lists.pairs(x, x["word"]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    i, j = np.nonzero(x["doc_id"][:, None] > x["doc_id"][None, :])
+    ok, _ = inner(x, i, j)
+    assert got == set(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
+    assert sum(seen) < n * (n - 1) // 2 // 3

@@ -9,10 +9,10 @@ in the order of (doc_id, line number), has the same set or a Jaccard similarity
    filter).  A word in a cell of more than `hot` words is listed together with each later word of the prefix, one word
    longer: two lines that match and share first a hot word share a second word there.  So a list of one word has `hot`
    members at most, whatever the corpus.
-3. Postings travel as packed records in buckets.  In each list every line is compared with the earlier ones.  The length
-   filter, the positional filter and a parity bitmap (a bound of the symmetric difference; wider for long lines) leave
+3. Postings travel as packed records in buckets.  In each list every line is compared with those whose sizes can match, which
+   stand next to each other.  The positional filter and a parity bitmap (a bound of the symmetric difference; wider for long lines) leave
    candidate pairs, which are verified on whole lines: first the nearest by bitmap, then the others of the lines that
-   have not matched.  What of them has more candidates than are kept, or stands far down a list, is then compared with
+   have not matched.  What of them has more candidates than are kept, or a list in which too many sizes fit, is then compared with
    all earlier members of its lists.
 
 Words are told apart by 64-bit hashes up to the verification, which compares the words themselves.  Lines with one set are
@@ -27,17 +27,19 @@ text; an empty table gives an empty result; other columns, whatever their names,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.llm.common import MIX, cut, id_bit, lots, mark_cells, marked, near_ids, per_batch, per_task, quoted, scramble, sum_cells, utf8, word_hashes
-from threadmill.llm.lists import HELD, Lists, buckets, dealt, gathered, hot_rank, in_lists, listed, rarity
+from threadmill.llm.lists import HELD, PAIRS, Lists, buckets, dealt, gathered, hot_rank, in_lists, listed, rarity
 
 PERCENT = 80
 #: Cells in which words are counted, and counts above which a word is listed with a second one.
 CELLS, HOT = 1 << 18, 1 << 16
-#: Earlier lines of a list that a line is compared with at first, and candidates that are kept of them.
+#: Lines of a list that a line is compared with at first, and candidates that are kept of them.
 HUBS, KEPT = 4096, 4
 #: Sets that a task remembers to tell copies without a shuffle.
 REMEMBERED = 50_000
@@ -190,12 +192,66 @@ def postings(docs: DataFrame, place: np.ndarray, percent: int, hot: int, some: n
 
 
 class LineLists(Lists):
-    """Lists of lines; the earlier line comes first."""
+    """Lists of lines, in each list by their sizes, so that a line meets those alone whose sizes can match."""
 
     def __init__(self, percent: int, hubs: int, kept: int):
         super().__init__(hubs, kept)
         self.percent = percent
 
+    def pairs(self, x: dict[str, np.ndarray], key: np.ndarray, whole: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As of `Lists`, of rows sorted by list and size; the later line of a pair is the member.  A line is compared with the `hubs` rows
+        before it whose sizes fit; where one has more of them, all members of its list are compared again."""
+        n, p = len(key), self.percent
+        if not n:
+            return
+        new = np.append(True, key[1:] != key[:-1])
+        of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        at, rows = (of << 32) + x["m"], np.arange(n)
+        low = np.searchsorted(at, (of << 32) + (p * x["m"] + 99) // 100)
+        high, cut = rows, np.zeros(len(starts), bool)
+        if whole is None:
+            cut[of[rows - low > self.hubs]] = True
+            low = np.maximum(low, rows - self.hubs)
+        else:
+            high = np.where(whole, np.searchsorted(at, (of << 32) + 100 * x["m"] // p, "right"), low)
+        order = np.lexsort((x["line"], x["doc_id"]))
+        when = np.empty(n, np.int64)
+        when[order] = rows
+        span = high - low
+        done = np.cumsum(span)
+        ends, begin = np.append(starts[1:], n), 0
+        while begin < len(starts):  # whole lists of about PAIRS pairs, or one
+            first = starts[begin]
+            past = max(begin + 1, int(np.searchsorted(done[ends - 1], done[first] - span[first] + PAIRS, "right")))
+            last, held, size = ends[past - 1], [], 0
+            while first < last:  # of one long list, some rows at a time
+                to = max(first + 1, min(last, int(np.searchsorted(done, done[first] - span[first] + PAIRS, "right"))))
+                i = np.repeat(rows[first:to], span[first:to])
+                j = np.arange(len(i)) - np.repeat(done[first:to] - span[first:to] - (done[first] - span[first]) - low[first:to], span[first:to])
+                first = to
+                if whole is not None:
+                    i, j = i[when[j] < when[i]], j[when[j] < when[i]]
+                ok, apart = self.possible(x, i, j)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                swap = when[i] < when[j]
+                held.append((np.where(swap, j, i), np.where(swap, i, j), apart))
+                size += len(i)
+                if whole is not None:
+                    yield self._ranked(*held.pop(), None, True)
+                elif size > 4 * PAIRS:  # one candidate more than are kept tells that there were others
+                    i, j, apart = (np.concatenate([h[k] for h in held]) for k in range(3))
+                    by = np.lexsort((j, apart, i))
+                    i = i[by]
+                    nth = np.arange(len(i)) - np.searchsorted(i, i)
+                    by = by[nth <= self.kept]
+                    i = i[nth <= self.kept]
+                    held, size = [(i, j[by], apart[by])], 0
+            if whole is None:
+                far = np.flatnonzero(cut[of[starts[begin] : last]]) + starts[begin]
+                if held:
+                    yield self._ranked(*(np.concatenate([h[k] for h in held]) for k in range(3)), far, False)
+            begin = past
+
     def possible(self, x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs (i, j) can reach the threshold, and how many bits they differ in."""
         p, m, n = self.percent, x["m"].take(i), x["m"].take(j)
@@ -236,7 +292,7 @@ def read_lists(rows: DataFrame, lists: LineLists, only: np.ndarray | None = None
             x = {c: np.concatenate([a[c], b[c]]) for c in PLACE.names}
             x["at"] = np.concatenate([np.full(len(a), -1), np.arange(len(b))])
             shared = in_lists(x["word"])
-            order = shared[np.lexsort((x["line"][shared], x["doc_id"][shared], x["word"][shared]))]
+            order = shared[np.lexsort((x["m"][shared], x["word"][shared]))]
             x = {c: v[order] for c, v in x.items()} | {"rest": b["rest"]}
             x["m"], x["pos"] = x["m"].astype(np.int64), x["pos"].astype(np.int64)
             whole = None if only is None else marked(only, mark(x["doc_id"], x["line"], 8 * len(only)))
