@@ -43,6 +43,8 @@ CELLS, HOT = 1 << 18, 1 << 16
 HUBS, KEPT = 4096, 4
 #: Sets that a task remembers to tell copies without a shuffle.
 REMEMBERED = 50_000
+#: Hashes by which the tasks know the lines whose texts are wanted.
+HASHES = 4
 #: Lines above this many words have the wide bitmap.
 NARROW = 100
 #: A line of a set, and a line in a list; wide: the rest of its bitmap.
@@ -303,16 +305,22 @@ def read_lists(rows: DataFrame, lists: LineLists, only: np.ndarray | None = None
     return per_task(rows.repartition("bucket").sortWithinPartitions("bucket"), "doc_id long, line int, earlier_doc_id long, earlier_line int, rank int, more boolean", read)
 
 
-def mark(doc_id: np.ndarray, line: np.ndarray, cells: int) -> np.ndarray:
-    """The cell of a line."""
-    return (scramble(scramble(doc_id.astype(np.uint64)) + line.astype(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
+def mark(doc_id: np.ndarray, line: np.ndarray, cells: int, nth: int = 0) -> np.ndarray:
+    """The cell of a line; `nth`: in another hash."""
+    h = scramble(scramble(doc_id.astype(np.uint64)) + line.astype(np.uint64))
+    return ((h + np.uint64(nth) * (h >> np.uint64(32) | np.uint64(1))) & np.uint64(cells - 1)).astype(np.int64)
 
 
 def picked(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(x, text): the lines of `need` (x: doc_id, line), once each, and a few others.  The tasks that read the texts know the
-    wanted lines by marked cells of a hash, so nothing but lines is shuffled."""
-    cells = 1 << min(24, max(20, int(4 * need.count()).bit_length()))
-    bits = mark_cells(need.select("x.doc_id", "x.line"), cells, lambda b: mark(b.column("doc_id").to_numpy(), b.column("line").to_numpy(), cells))
+    wanted lines by marked cells of `HASHES` hashes; the cells' number goes with the lines', so the others stay a few in a hundred."""
+    cells = 1 << min(27, max(20, int(8 * need.count()).bit_length()))
+
+    def cells_of(batch):
+        ids, line = batch.column("doc_id").to_numpy(), batch.column("line").to_numpy()
+        return np.concatenate([mark(ids, line, cells, k) for k in range(HASHES)])
+
+    bits = mark_cells(need.select("x.doc_id", "x.line"), cells, cells_of, max(16, cells >> 17))
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def pick(batch):
@@ -321,7 +329,9 @@ def picked(docs: DataFrame, need: DataFrame) -> DataFrame:
         for low, high, buf, starts in lots(batch):
             doc, line, first = line_starts(buf, starts[:-1])
             doc_id = ids[low:high][doc]
-            want = np.flatnonzero(marked(shared.value, mark(doc_id, line, cells)))
+            want = np.arange(len(line))
+            for k in range(HASHES):
+                want = want[marked(shared.value, mark(doc_id[want], line[want], cells, k))]
             ends = np.append(first[1:], len(buf))[want]
             out["doc_id"].append(doc_id[want])
             out["line"].append(line[want].astype(np.int32))
