@@ -1,8 +1,11 @@
 """What a step holds or moves stays in proportion to what it needs."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from threadmill.llm import linedup
+from threadmill.llm import linedup, toxicity
 
 
 def test_few_other_lines_are_picked_with_the_wanted_ones(spark):
@@ -13,3 +16,15 @@ def test_few_other_lines_are_picked_with_the_wanted_ones(spark):
     got = {r.other: r for r in got}
     assert got[0].n == got[0].once == 250_000 and all(r.same for r in got.values())
     assert 1 not in got or got[1].n < 250_000 * 3 // 100
+
+
+def test_a_chain_is_fitted_in_little_memory():
+    """The cells in which features are counted are many; few arrays of their length are made."""
+    r = np.random.default_rng(5)
+    rows = [(np.unique(r.integers(0, toxicity.CELLS, 50)), i % 2) for i in range(200)]
+    rows = [(np.append(c, 7), t) if t else (c, t) for c, t in rows]
+    tracemalloc.start()
+    chain = toxicity.fit_chain(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(chain.cells) == [7] and most < 80e6

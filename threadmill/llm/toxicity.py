@@ -125,16 +125,18 @@ def fit_chain(rows: list[tuple[np.ndarray, int]], categories: int = CATEGORIES)
         df[t][cells] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     both = df[0] + df[1]
-    pooled = both / len(y)
-    z = np.where(both >= 3, np.abs(df[1] / n1 - df[0] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12), 0)
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[z[chosen] >= APART])
+    used = np.flatnonzero(both >= 3)  # most cells are empty: nothing else is made for all of them
+    pooled = both[used] / len(y)
+    z = np.abs(df[1][used] / n1 - df[0][used] / n0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
+    top = np.argsort(-z, kind="stable")[:FEATURES]
+    top = np.sort(top[z[top] >= APART])
+    chosen, z = used[top], z[top]
     index = {int(c): i for i, c in enumerate(chosen)}
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, (cells, _) in enumerate(rows):
         x[i, [index[c] for c in cells.tolist() if c in index]] = 1
     # what sets toxic documents apart: features that are more frequent in them
-    marks = np.where(df[1][chosen] / n1 > df[0][chosen] / n0, z[chosen], 0).astype(np.float32)
+    marks = np.where(df[1][chosen] / n1 > df[0][chosen] / n0, z, 0).astype(np.float32)
     of = np.full(len(rows), -1)
     of[y == 1] = clusters(x[y == 1] * marks, categories)
     goals = [(of == j).astype(np.float32) for j in range(categories)] + [y]
@@ -161,7 +163,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, others: int) ->
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
     rows = per_batch(picked, "doc_id long, toxic int, cells array<int>", read).toLocalIterator()
-    return [(c, t) for _, c, t in sorted(((r["doc_id"], np.array(r["cells"], np.int64), r["toxic"]) for r in rows), key=lambda r: (r[0], len(r[1])))]
+    return [(c, t) for _, c, t in sorted(((r["doc_id"], np.array(r["cells"], np.int32), r["toxic"]) for r in rows), key=lambda r: (r[0], len(r[1])))]
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others: int = OTHERS, threshold: float = THRESHOLD) -> DataFrame:
