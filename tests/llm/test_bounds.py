@@ -1,11 +1,13 @@
 """What a step holds or moves stays in proportion to what it needs."""
 
+import os
+import re
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadmill.llm import linedup, toxicity
+from threadmill.llm import common, linedup, toxicity
 
 
 def test_few_other_lines_are_picked_with_the_wanted_ones(spark):
@@ -28,3 +30,16 @@ def test_a_chain_is_fitted_in_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert list(chain.cells) == [7] and most < 80e6
+
+
+def test_waiting_workers_give_back_what_they_freed(spark):
+    """A Python worker waits for later tasks, and its executor has its memory: what a task has freed must not stay with it."""
+
+    def work(batch):
+        many = [np.ones(1 << 13) for _ in range(3200)]  # 200 MB in pieces of the heap, of which a few stay between the others
+        os.stay = many[::64]
+        return {"pid": np.array([os.getpid()]), "n": np.array([len(many)])}
+
+    (r,) = common.per_batch(spark.range(1).coalesce(1), "pid long, n long", work).collect()
+    with open(f"/proc/{r.pid}/smaps_rollup") as held:  # in local mode the worker is on this machine
+        assert r.n == 3200 and int(re.search(r"\nPss_Anon:\s+(\d+)", held.read())[1]) < 150 * 1024

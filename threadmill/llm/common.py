@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -92,6 +93,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: Spark keeps Python workers for later tasks, and what they hold while they wait
+    counts on their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # only glibc can be asked
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_task(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object]]]) -> DataFrame:
     """Apply `fn` to the Arrow batches of each task; what it yields are the columns of `schema` in their order."""
     small_batches(df.sparkSession)
@@ -104,6 +113,8 @@ def per_task(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]]
         for cols in fn(b for b in batches if b.num_rows):
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=pa.binary()).cast(f.type) if isinstance(x, list) and x and isinstance(x[0], bytes) else pa.array(x, type=f.type) for x, f in zip(cols.values(), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
+            del cols, made  # else they stay while the next are made
+        give_back()
 
     return df.mapInArrow(run, target)
 

@@ -13,9 +13,9 @@ from threadmill.llm.common import MIX, scramble
 #: Lists up to this long are compared all at once; rows of a longer one that are compared with its hubs at a time.
 SHORT, ROWS = 256, 64
 #: Pairs of short lists that are compared at once, about.
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 #: Postings that a task gathers before it deals them out.
-HELD = 1 << 18
+HELD = 1 << 16
 
 
 def buckets(partitions: int) -> int:

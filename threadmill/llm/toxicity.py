@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.common import per_batch, small_batches, top_by_hash, utf8, xxh
+from threadmill.llm.common import give_back, per_batch, small_batches, top_by_hash, utf8, xxh
 
 #: Labelled documents in the sample: toxic ones, others.
 TOXIC, OTHERS = 2500, 5000
@@ -179,6 +179,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, others
             yield batch if chain.value is None else batch.filter(pa.array([chain.value.predict(t)[-1] < threshold for t in utf8(batch, text)], pa.bool_()))
         if chain.value:  # workers serve later stages too
             chain.value.seen.clear()
+        give_back()
 
     small_batches(docs.sparkSession)
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
